@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, mixing, sharding, substring_dedup, suffix_dedup, url_filters
+from . import language_id, minhash_dedup, mixing, sharding, substring_dedup, suffix_dedup, url_filters
 from .common import table
 
 URL_ALLOW = ["example.com/en/7", "net/de/"]
@@ -30,6 +30,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), repetition_limit=2.0)
     return mixed.select("doc_id", "source", "n_tokens", "copies", F.round("weight", 9).alias("weight"))
