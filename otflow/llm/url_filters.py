@@ -77,13 +77,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     without outgoing edges is lost to the graph, which only scales what they
     would have passed on. Returns (kind, host, mass)."""
     total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    share = materialise(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    share = materialise(edges.join(total, ["kind", "src"]).select(F.col("kind").alias("of"), "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     if share.isEmpty():
         return seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
     start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
     mass = start
     for step in range(1, iterations + 1):
-        moved = mass.join(share, (mass["kind"] == share["kind"]) & (mass["host"] == share["src"])).select(share["kind"], share["dst"].alias("host"), (mass["mass"] * share["share"] * damping).alias("mass"))
+        moved = mass.join(share, (F.col("kind") == F.col("of")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
         mass = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         if step % cut_every == 0:
             mass = materialise(mass)
