@@ -6,9 +6,10 @@ same document. Two passes over the texts:
 
 1. Each partition sketches its windows, partitions' sketches are merged
    (:mod:`.sketch`) and overestimate how often a window occurs. A window is
-   counted through its anchor, the ``gram`` words with the smallest hash in it:
-   equal windows have equal anchors, so the anchor's count is never below the
-   window's, and neighbouring windows share one.
+   counted through its anchors: in each stretch of ``reach`` words the ``gram``
+   words with the smallest hash. Equal windows have equal anchors, so no anchor's
+   count is below the window's, and neighbouring windows share them. The
+   estimate of a window is the least of its anchors'.
 2. Windows estimated to occur twice or more are grouped exactly, by 128 bits of
    hash; all others are unique and are never shuffled. A partition sends a
    window once, with its earliest place in the partition; later places there
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sketch
-from .common import BASES, BYTE_VALUES, RangeHash, slices, word_bounds
+from .common import BASES, BYTE_VALUES, RangeHash, mix, slices, word_bounds
 from .spans import SPAN, covered, keyed, runs, span_lists, text_bytes, with_spans
 
 _POSITION = np.uint64((1 << 30) - 1)
-FLUSH = 1 << 21
+NAMES = ["doc", "mark", "lo", "hi", "one", "two"]
+FLUSH = 1 << 19
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -49,10 +51,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class WordWindows:
-    """Windows of a piece of texts: text index, first word, two hashes, and the anchor of each."""
+    """Windows of a piece of texts: first word of each, and the anchors of its stretches."""
 
-    def __init__(self, window: int, gram: int):
-        self.window, self.gram = window, gram
+    def __init__(self, window: int, reach: int, gram: int):
+        self.window, self.reach, self.gram = window, reach, gram
         self.bytes_, self.one, self.two = RangeHash(BASES[0]), RangeHash(BASES[0]), RangeHash(BASES[1])
 
     def of(self, data: np.ndarray, offsets: np.ndarray):
@@ -69,17 +71,27 @@ class WordWindows:
         i = np.arange(n - self.gram + 1)
         grams = self.one.of(one, i, i + self.gram)
         packed = (grams & ~_POSITION) | i.astype(np.uint64)
-        anchor = (sliding_min(packed, self.window - self.gram + 1)[at] & _POSITION).astype(np.int64)
-        fresh = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        return {"at": at, "text": text, "first": first, "words": words, "one": one, "anchors": grams[anchor[fresh]], "of": np.cumsum(fresh) - 1}
+        anchor = (sliding_min(packed, self.reach - self.gram + 1) & _POSITION).astype(np.int64)
+        # a stretch across two texts belongs to no window
+        inside = np.flatnonzero(text[self.reach - 1 :] == text[: n - self.reach + 1])
+        own = anchor[inside]
+        fresh = np.concatenate([[True], own[1:] != own[:-1]])
+        number = np.zeros(len(anchor), np.int64)
+        number[inside] = np.cumsum(fresh) - 1
+        return {"at": at, "text": text, "first": first, "words": words, "one": one, "anchors": grams[own[fresh]], "number": number}
+
+    def repeated(self, w: dict, anchors: np.ndarray) -> np.ndarray:
+        """First words of the windows all of whose anchors are marked."""
+        odd = np.concatenate([[0], np.cumsum(~anchors[w["number"]])])
+        return w["at"][odd[w["at"] + self.window - self.reach + 1] == odd[w["at"]]]
 
     def hashes(self, w: dict, at: np.ndarray):
         return self.one.of(w["one"], at, at + self.window), self.two.of(self.two.prefix(w["words"]), at, at + self.window)
 
 
-def _sketcher(bits: int, window: int, gram: int):
+def _sketcher(bits: int, shape: tuple):
     def run(batches):
-        kernel, local = WordWindows(window, gram), sketch.LocalSketch(bits)
+        kernel, local = WordWindows(*shape), sketch.LocalSketch(bits)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 if w := kernel.of(data, offsets):
@@ -92,30 +104,31 @@ def _sketcher(bits: int, window: int, gram: int):
 
 
 def _settle(found: list, window: int):
-    """Of a partition's candidate places: the earliest of each window to be sent on, the rest as spans."""
+    """Of a partition's candidate places: the earliest of each window to be sent on in text order, the rest as joined
+    spans, which have no second hash and a first one of their own."""
     doc, mark, start, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((start, mark, doc, two, one))
-    doc, mark, start, one, two = doc[order], mark[order], start[order], one[order], two[order]
-    head = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = (doc != doc[lead]) | (mark != mark[lead]) | (start != start[lead])
+    head = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    lead = order[head][np.cumsum(head) - 1]
+    later = order[(doc[order] != doc[lead]) | (mark[order] != mark[lead]) | (start[order] != start[lead])]
     d, m, lo, hi = runs(doc[later], mark[later], start[later].astype(np.int64), start[later].astype(np.int64) + window)
-    sent = np.flatnonzero(head)
-    empty = pa.nulls(len(d), pa.int64())
-    for cols in ([d, m, lo.astype(np.int32), hi.astype(np.int32), empty, empty], [doc[sent], mark[sent], start[sent], (start[sent] + window).astype(np.int32), one[sent].view(np.int64), two[sent].view(np.int64)]):
-        if len(cols[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=["doc", "mark", "lo", "hi", "one", "two"])
+    own = mix(d.view(np.uint64) ^ mix(lo.view(np.uint64) ^ m.astype(np.uint64)))
+    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(m), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own.view(np.int64)), pa.nulls(len(d), pa.int64())], names=NAMES)
+    at = np.sort(order[head])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], mark[at], start[at], start[at] + np.int32(window), one[at].view(np.int64), two[at].view(np.int64))], names=NAMES)
 
 
-def _finder(whole, bits: int, window: int, gram: int):
+def _finder(whole, bits: int, shape: tuple):
+    window = shape[0]
+
     def run(batches):
-        kernel, found, n = WordWindows(window, gram), [], 0
+        kernel, found, n = WordWindows(*shape), [], 0
         for batch in batches:
             docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for top, _, data, offsets in slices(batch.column(2)):
                 if not (w := kernel.of(data, offsets)):
                     continue
-                at = w["at"][sketch.repeated(whole.value, bits, w["anchors"])[w["of"]]]
+                at = kernel.repeated(w, sketch.repeated(whole.value, bits, w["anchors"]))
                 if len(at):
                     text = w["text"][at]
                     one, two = kernel.hashes(w, at)
@@ -130,16 +143,15 @@ def _finder(whole, bits: int, window: int, gram: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 10) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, reach: int = 14, gram: int = 10) -> DataFrame:
     """(doc, mark, lo, hi): word spans of windows that also start earlier. They may overlap."""
-    texts = keyed(docs)
-    bits = sketch.bits_for(text_bytes(texts) / 6 * 2 / (window - gram + 2))
-    whole = sketch.merged(texts.select("text").mapInArrow(_sketcher(bits, window, gram), sketch.SCHEMA), bits)
-    found = texts.mapInArrow(_finder(whole, bits, window, gram), f"{SPAN}, one long, two long")
+    texts, shape = keyed(docs), (window, reach, gram)
+    bits = sketch.bits_for(text_bytes(texts) / 6 * 2 / (reach - gram + 2))
+    whole = sketch.merged(texts.select("text").mapInArrow(_sketcher(bits, shape), sketch.SCHEMA), bits)
+    found = texts.mapInArrow(_finder(whole, bits, shape), f"{SPAN}, one long, two long")
     place = F.struct("doc", "mark", "lo")
     first = F.min(place).over(Window.partitionBy("one", "two"))
-    later = found.where("one is not null").withColumn("first", first).where(place != F.col("first"))
-    return later.select("doc", "mark", "lo", "hi").unionByName(found.where("one is null").select("doc", "mark", "lo", "hi"))
+    return found.withColumn("first", first).where(F.col("two").isNull() | (place != F.col("first"))).select("doc", "mark", "lo", "hi")
 
 
 def _keep(batches):
@@ -158,10 +170,10 @@ def _keep(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(gone, pa.int64())], names=[*batch.schema.names, "kept_text", "n_words", "n_removed"])
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 10) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, reach: int = 14, gram: int = 10) -> DataFrame:
     """``docs`` with ``spans`` (word spans [lo, hi) to remove), ``kept_text`` (kept words, one space between), ``n_words`` and ``n_removed``."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("spans", "kept_text", "n_words", "n_removed")])
-    joined = with_spans(docs, repeated_spans(docs, window, gram))
+    joined = with_spans(docs, repeated_spans(docs, window, reach, gram))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
     return joined.mapInArrow(_keep, f"{schema}, kept_text string, n_words long, n_removed long")
 

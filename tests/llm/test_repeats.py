@@ -59,7 +59,7 @@ def brute_words(data, window):
 def test_words_against_brute_force(spark, seed):
     data = [r for r in rows(seed) if r[0] != 5 or not (r[1] or "").startswith("other ")]
     df = spark.createDataFrame(data, DOCS).repartition(5)
-    got = substring_dedup.dedup_substrings(df, window=8, gram=4)
+    got = substring_dedup.dedup_substrings(df, window=8, reach=6, gram=4)
     assert {"lang", "source", "n_chars", "spans"} <= set(got.columns)
     from pyspark.sql import functions as F
 
