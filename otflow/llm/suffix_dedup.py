@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sketch
-from .common import BASES, BYTE_VALUES, RangeHash, materialise, slices
+from .common import BASES, BYTE_VALUES, RangeHash, materialise, mix, slices
 from .spans import SPAN, covered, keyed, runs, span_lists, text_bytes, with_spans
 from .substring_dedup import sliding_min
 
 _POSITION = np.uint64((1 << 30) - 1)
-FLUSH = 1 << 21
-RUN = f"{SPAN}, core long, one long, two long, n int"
+FLUSH = 1 << 19
+RUN = f"{SPAN}, core long, one long, two long, n int, settled boolean"
+NAMES = ["doc", "mark", "lo", "hi", "core", "one", "two", "n", "settled"]
 
 
 class SuffixRuns:
@@ -88,21 +89,21 @@ def _sketcher(bits: int, shape: tuple):
 
 
 def _settle(found: list):
-    """A partition's strings: each sent once with its count (to two); those that occur twice here are spans at once."""
+    """A partition's strings: each sent once with its count (to two); those that occur twice here also as joined spans,
+    under keys of their own and with a count of two. Rows are sent in text order, which packs well."""
     doc, mark, lo, hi, core, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((two, one))
-    doc, mark, lo, hi, core, one, two = (x[order] for x in (doc, mark, lo, hi, core, one, two))
-    head = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-    at = np.flatnonzero(head)
-    sizes = np.diff(np.concatenate([at, [len(doc)]]))
-    twice = np.repeat(sizes > 1, sizes)
-    names = ["doc", "mark", "lo", "hi", "core", "one", "two", "n"]
+    head = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    sizes = np.diff(np.concatenate([np.flatnonzero(head), [len(doc)]]))
+    twice = order[np.repeat(sizes > 1, sizes)]
     d, m, a, b = runs(doc[twice], mark[twice], lo[twice].astype(np.int64), hi[twice].astype(np.int64))
-    if len(d):
-        none = pa.nulls(len(d), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(m), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), none, none, none, pa.nulls(len(d), pa.int32())], names=names)
-    sent = [doc[at], mark[at], lo[at], hi[at], core[at].view(np.int64), one[at].view(np.int64), two[at].view(np.int64), np.minimum(sizes, 2).astype(np.int32)]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in sent], names=names)
+    own = mix(d.view(np.uint64) ^ mix(a.view(np.uint64) ^ m.astype(np.uint64)))
+    rows = [d, m, a.astype(np.int32), b.astype(np.int32), np.zeros(len(d), np.int64), own.view(np.int64), mix(~own).view(np.int64), np.full(len(d), 2, np.int32), np.ones(len(d), bool)]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=NAMES)
+    place = np.argsort(order[head])
+    at = order[head][place]
+    rows = [doc[at], mark[at], lo[at], hi[at], core[at].view(np.int64), one[at].view(np.int64), two[at].view(np.int64), np.minimum(sizes, 2).astype(np.int32)[place], np.zeros(len(at), bool)]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=NAMES)
 
 
 def _runs_finder(whole, bits: int, shape: tuple):
@@ -156,6 +157,7 @@ def _suffix_finder(open_cores, bits: int, shape: tuple):
                 if n > FLUSH:
                     yield from _settle(found)
                     found, n = [], 0
+                if len(seen) > FLUSH:
                     seen.clear()
         if n:
             yield from _settle(found)
@@ -183,14 +185,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, reach: int = 96, gram: in
     whole = sketch.merged(texts.select("text").mapInArrow(_sketcher(bits, shape), sketch.SCHEMA), bits)
     found = texts.mapInArrow(_runs_finder(whole, bits, shape), RUN)
     total = F.sum("n").over(Window.partitionBy("one", "two"))
-    sent = found.where("n is not null").withColumn("equal", total >= 2).select("doc", "mark", "lo", "hi", "core", F.col("one").alias("digit"), "equal")
-    here = found.where("n is null").select("doc", "mark", "lo", "hi", F.lit(None).cast("long").alias("core"), F.lit(None).cast("long").alias("digit"), F.lit(True).alias("equal"))
-    judged = materialise(sent.unionByName(here))
-    cores = judged.where("core is not null").groupBy("core").agg(F.min("digit").alias("a"), F.max("digit").alias("b"), F.min("equal").alias("all_equal")).where("a <> b and not all_equal").select("core")
+    judged = materialise(found.withColumn("equal", total >= 2).select("doc", "mark", "lo", "hi", "core", F.col("one").alias("digit"), "equal", "settled"))
+    cores = judged.where("not settled").groupBy("core").agg(F.min("digit").alias("a"), F.max("digit").alias("b"), F.min("equal").alias("all_equal")).where("a <> b and not all_equal").select("core")
     core_bits = sketch.bits_for(size / 400)
     open_cores = sketch.merged(cores.mapInArrow(_core_bits(core_bits), sketch.SCHEMA), core_bits)
     single = texts.mapInArrow(_suffix_finder(open_cores, core_bits, shape), RUN)
-    matched = single.where("n is not null").withColumn("total", total).where("total >= 2").select("doc", "mark", "lo", "hi").unionByName(single.where("n is null").select("doc", "mark", "lo", "hi"))
+    matched = single.withColumn("total", total).where("total >= 2").select("doc", "mark", "lo", "hi")
     return judged.where("equal").select("doc", "mark", "lo", "hi").unionByName(matched)
 
 
