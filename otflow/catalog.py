@@ -1,4 +1,7 @@
 """All registered queries of the security operators, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import flows as _flows
+from .plans import sequences as _sequences
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "_flows", "_sequences"]
