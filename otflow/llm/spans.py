@@ -17,6 +17,15 @@ SPAN = f"{KEY}, lo int, hi int"
 LAST = (1 << 63) - 1
 
 
+def pack(mark: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """mark and lo in one long, in their order; rows in text order then differ in few bytes, which packs well."""
+    return (mark.astype(np.int64) << 32) | lo.astype(np.int64)
+
+
+def unpacked(place: str):
+    return F.shiftright(place, 32).cast("int"), F.col(place).bitwiseAND(0xFFFFFFFF).cast("int")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc, mark, text) of all rows."""
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), F.hash(F.coalesce("text", F.lit(""))).alias("mark"), "text")

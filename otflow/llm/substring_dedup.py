@@ -33,10 +33,10 @@ from pyspark.sql.window import Window
 
 from . import sketch
 from .common import BASES, BYTE_VALUES, RangeHash, mix, slices, word_bounds
-from .spans import SPAN, covered, keyed, runs, span_lists, text_bytes, with_spans
+from .spans import covered, keyed, pack, runs, span_lists, text_bytes, unpacked, with_spans
 
 _POSITION = np.uint64((1 << 30) - 1)
-NAMES = ["doc", "mark", "lo", "hi", "one", "two"]
+NAMES = ["doc", "place", "one", "two", "settled"]
 FLUSH = 1 << 19
 
 
@@ -105,17 +105,18 @@ def _sketcher(bits: int, shape: tuple):
 
 def _settle(found: list, window: int):
     """Of a partition's candidate places: the earliest of each window to be sent on in text order, the rest as joined
-    spans, which have no second hash and a first one of their own."""
+    spans, which have a first hash of their own and their end for the second."""
     doc, mark, start, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((start, mark, doc, two, one))
     head = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
     lead = order[head][np.cumsum(head) - 1]
     later = order[(doc[order] != doc[lead]) | (mark[order] != mark[lead]) | (start[order] != start[lead])]
     d, m, lo, hi = runs(doc[later], mark[later], start[later].astype(np.int64), start[later].astype(np.int64) + window)
-    own = mix(d.view(np.uint64) ^ mix(lo.view(np.uint64) ^ m.astype(np.uint64)))
-    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(m), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own.view(np.int64)), pa.nulls(len(d), pa.int64())], names=NAMES)
+    place = pack(m, lo)
+    own = mix(d.view(np.uint64) ^ mix(place.view(np.uint64)))
+    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(place), pa.array(own.view(np.int64)), pa.array(hi), pa.array(np.ones(len(d), bool))], names=NAMES)
     at = np.sort(order[head])
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], mark[at], start[at], start[at] + np.int32(window), one[at].view(np.int64), two[at].view(np.int64))], names=NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], pack(mark[at], start[at]), one[at].view(np.int64), two[at].view(np.int64), np.zeros(len(at), bool))], names=NAMES)
 
 
 def _finder(whole, bits: int, shape: tuple):
@@ -148,10 +149,12 @@ def repeated_spans(docs: DataFrame, window: int = 20, reach: int = 14, gram: int
     texts, shape = keyed(docs), (window, reach, gram)
     bits = sketch.bits_for(text_bytes(texts) / 6 * 2 / (reach - gram + 2))
     whole = sketch.merged(texts.select("text").mapInArrow(_sketcher(bits, shape), sketch.SCHEMA), bits)
-    found = texts.mapInArrow(_finder(whole, bits, shape), f"{SPAN}, one long, two long")
-    place = F.struct("doc", "mark", "lo")
-    first = F.min(place).over(Window.partitionBy("one", "two"))
-    return found.withColumn("first", first).where(F.col("two").isNull() | (place != F.col("first"))).select("doc", "mark", "lo", "hi")
+    found = texts.mapInArrow(_finder(whole, bits, shape), "doc long, place long, one long, two long, settled boolean")
+    here = F.struct("doc", "place")
+    first = F.min(here).over(Window.partitionBy("one", "two"))
+    later = found.withColumn("first", first).where(F.col("settled") | (here != F.col("first")))
+    mark, lo = unpacked("place")
+    return later.select("doc", mark.alias("mark"), lo.alias("lo"), F.when(F.col("settled"), F.col("two").cast("int")).otherwise(lo + window).alias("hi"))
 
 
 def _keep(batches):
