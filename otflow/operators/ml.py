@@ -128,7 +128,7 @@ def _vector(features: list[str]) -> VectorAssembler:
 
 def fit_boosted(df: DataFrame, features: list[str], label: str = "label", rounds: int = 200, depth: int = 6) -> PipelineModel:
     v = _vector(features)
-    model = GBTClassifier(featuresCol="features", labelCol=label, predictionCol="xgb", probabilityCol="xgb_p", rawPredictionCol="xgb_raw", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42).fit(v.transform(df))
+    model = GBTClassifier(featuresCol="features", labelCol=label, predictionCol="xgb", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42).setProbabilityCol("xgb_p").setRawPredictionCol("xgb_raw").fit(v.transform(df))
     return PipelineModel([v, model])
 
 
