@@ -37,13 +37,14 @@ from pyspark.sql.window import Window
 
 from . import sketch
 from .common import BASES, BYTE_VALUES, RangeHash, materialise, mix, slices
-from .spans import SPAN, covered, keyed, runs, span_lists, text_bytes, with_spans
+from .spans import covered, keyed, pack, runs, span_lists, text_bytes, unpacked, with_spans
 from .substring_dedup import sliding_min
 
 _POSITION = np.uint64((1 << 30) - 1)
 FLUSH = 1 << 19
-RUN = f"{SPAN}, core long, one long, two long, n int, settled boolean"
-NAMES = ["doc", "mark", "lo", "hi", "core", "one", "two", "n", "settled"]
+#: meta: length of the span, a bit for settled ones, count.
+RUN = "doc long, place long, core long, one long, two long, meta long"
+SETTLED = 4
 
 
 class SuffixRuns:
@@ -98,12 +99,21 @@ def _settle(found: list):
     twice = order[np.repeat(sizes > 1, sizes)]
     d, m, a, b = runs(doc[twice], mark[twice], lo[twice].astype(np.int64), hi[twice].astype(np.int64))
     own = mix(d.view(np.uint64) ^ mix(a.view(np.uint64) ^ m.astype(np.uint64)))
-    rows = [d, m, a.astype(np.int32), b.astype(np.int32), np.zeros(len(d), np.int64), own.view(np.int64), mix(~own).view(np.int64), np.full(len(d), 2, np.int32), np.ones(len(d), bool)]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=NAMES)
+    yield _batch(d, m, a, b, np.zeros(len(d), np.uint64), own, mix(~own), np.full(len(d), SETTLED | 2))
     place = np.argsort(order[head])
     at = order[head][place]
-    rows = [doc[at], mark[at], lo[at], hi[at], core[at].view(np.int64), one[at].view(np.int64), two[at].view(np.int64), np.minimum(sizes, 2).astype(np.int32)[place], np.zeros(len(at), bool)]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=NAMES)
+    yield _batch(doc[at], mark[at], lo[at], hi[at], core[at], one[at], two[at], np.minimum(sizes, 2)[place])
+
+
+def _batch(doc, mark, lo, hi, core, one, two, n) -> pa.RecordBatch:
+    meta = ((hi.astype(np.int64) - lo) << 3) | n
+    rows = [doc, pack(mark, lo), core.view(np.int64), one.view(np.int64), two.view(np.int64), meta]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["doc", "place", "core", "one", "two", "meta"])
+
+
+def _opened() -> list:
+    mark, lo = unpacked("place")
+    return ["doc", mark.alias("mark"), lo.alias("lo"), (lo + F.shiftright("meta", 3).cast("int")).alias("hi")]
 
 
 def _runs_finder(whole, bits: int, shape: tuple):
@@ -184,14 +194,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, reach: int = 96, gram: in
     bits = sketch.bits_for(size * 4 / (reach - gram + 2))
     whole = sketch.merged(texts.select("text").mapInArrow(_sketcher(bits, shape), sketch.SCHEMA), bits)
     found = texts.mapInArrow(_runs_finder(whole, bits, shape), RUN)
-    total = F.sum("n").over(Window.partitionBy("one", "two"))
-    judged = materialise(found.withColumn("equal", total >= 2).select("doc", "mark", "lo", "hi", "core", F.col("one").alias("digit"), "equal", "settled"))
-    cores = judged.where("not settled").groupBy("core").agg(F.min("digit").alias("a"), F.max("digit").alias("b"), F.min("equal").alias("all_equal")).where("a <> b and not all_equal").select("core")
+    total = F.sum(F.col("meta").bitwiseAND(3)).over(Window.partitionBy("one", "two"))
+    judged = materialise(found.select("doc", "place", "meta", "core", F.col("one").alias("digit"), (total >= 2).alias("equal")))
+    cores = judged.where(F.col("meta").bitwiseAND(SETTLED) == 0).groupBy("core").agg(F.min("digit").alias("a"), F.max("digit").alias("b"), F.min("equal").alias("all_equal")).where("a <> b and not all_equal").select("core")
     core_bits = sketch.bits_for(size / 400)
     open_cores = sketch.merged(cores.mapInArrow(_core_bits(core_bits), sketch.SCHEMA), core_bits)
     single = texts.mapInArrow(_suffix_finder(open_cores, core_bits, shape), RUN)
-    matched = single.withColumn("total", total).where("total >= 2").select("doc", "mark", "lo", "hi")
-    return judged.where("equal").select("doc", "mark", "lo", "hi").unionByName(matched)
+    matched = single.withColumn("total", total).where("total >= 2")
+    return judged.where("equal").select(*_opened()).unionByName(matched.select(*_opened()))
 
 
 def _keep(batches):
