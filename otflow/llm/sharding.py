@@ -68,6 +68,10 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, block_rows: int
     A DataFrame that isn't a plain scan should be written first, since its rows
     are visited twice and must lie in the same partitions both times; if they
     don't, the query fails instead of giving wrong sizes."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # else the cut of files into partitions follows the executors alive, which may change between the two passes
+        conf.set("spark.sql.files.minPartitionNum", docs.sparkSession.sparkContext.defaultParallelism)
     clash = [c for c in docs.columns if c.lower() in ("shard", "slot", "_at", "_key", "_block", "_first")]
     tagged = docs.drop(*clash).withColumn("_at", F.monotonically_increasing_id())
     part = F.shiftright("_at", _ROW_BITS)
