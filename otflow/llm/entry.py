@@ -59,5 +59,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+SQL = {
+    "op3_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text,'')")} AS ws FROM documents),
+ win AS (SELECT doc_id, s, array_to_string(ws[s:s+19],' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws)-18)) AS s FROM w WHERE len(ws)>=20)),
+ ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win),
+ gone AS (SELECT DISTINCT doc_id, s+o AS p FROM ranked, range(20) t(o) WHERE r>1),
+ pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1,len(ws)+1)) AS p FROM w),
+ kept AS (SELECT pos.doc_id, count(gone.p) AS g, string_agg(word,' ' ORDER BY pos.p) FILTER (gone.p IS NULL) AS t FROM pos LEFT JOIN gone ON pos.doc_id=gone.doc_id AND pos.p=gone.p GROUP BY 1)
+ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g,0)::BIGINT AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op4_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024*x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id<>c.vec_id AND len(q.e)=len(c.e) WHERE q.vec_id%100=0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank<=10""",
+    "op6_minhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+3],' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws)-2,2))) AS i FROM w WHERE len(ws)>0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g=b.g AND a.doc_id<b.doc_id GROUP BY 1,2),
+ links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id=x JOIN n ny ON ny.doc_id=y WHERE 100*c>=80*(nx.n+ny.n-c)),
+ edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+ reach AS (SELECT doc_id AS node, doc_id AS c FROM w UNION SELECT edges.y, reach.c FROM reach JOIN edges ON edges.x=reach.node WHERE reach.c<edges.y),
+ least AS (SELECT node, min(c) AS c FROM reach GROUP BY 1)
+ SELECT w.doc_id, coalesce(n.n,0)::BIGINT AS n_shingles, least.c AS component_id, least.c=w.doc_id AS kept FROM w JOIN least ON least.node=w.doc_id LEFT JOIN n ON n.doc_id=w.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express in a few seconds on the correctness tables; the others are tested by brute force."""
+    return dict(SQL)

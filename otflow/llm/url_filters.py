@@ -38,8 +38,8 @@ def path_of(url: Column) -> Column:
 
 
 def split_rule(rule: str) -> tuple[str, str]:
-    host, _, path = rule.partition("/")
-    return host.translate(str.maketrans(UPPER, LOWER)), f"/{path}"
+    host, slash, path = rule.partition("/")
+    return host.translate(str.maketrans(UPPER, LOWER)), slash + path
 
 
 def best_rule(host: Column, path: Column, allow: list[str], block: list[str]) -> Column:
