@@ -35,22 +35,25 @@ from .common import materialise
 UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|l|ml|s|ms|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|feet|foot|inches|inch|meters|meter|metres|metre|dollars|dollar|euros|euro|cents|cent|percent|degrees|kw|w|v|hz|gb|mb|kb"
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
 _TOKEN = f"[{NAME}{UNIT}]?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|%"
-_TEMPLATE_TOKEN = f"[\\p{{L}}\\p{{M}}]+|[{NAME}{UNIT}{NUMBER}]|%"
+_TEMPLATE_TOKEN = f"[\\p{{L}}\\p{{M}}]+|[{NAME}{UNIT}{NUMBER}%]"
 LITERALS = 2
 BROADCAST_WINDOWS = 500_000
 
 
 def marked(text: Column) -> Column:
     """Text with a mark before each name and unit."""
-    plain = F.translate(F.coalesce(text, F.lit("")), NAME + UNIT + NUMBER, "   ")
-    names = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{Nd},;]\x20)(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    held = F.coalesce(text, F.lit(""))
+    odd = F.contains(held, F.lit(NAME)) | F.contains(held, F.lit(UNIT)) | F.contains(held, F.lit(NUMBER))
+    plain = F.when(odd, F.translate(held, NAME + UNIT + NUMBER, "   ")).otherwise(held)
+    # the capital is tried before what must stand ahead of it, since few places have one
+    names = F.regexp_replace(plain, r"(\p{Lu})(?<=[\p{Ll}\p{Nd},;]\x20\p{Lu})(\p{Ll}+)", f"{NAME}$1$2")
     units = F.regexp_replace(names, rf"(?i)(?<=[0-9])(\x20?)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
     return F.when(F.rlike(plain, F.lit("[0-9]")), units).otherwise(names)
 
 
 def template(mark: Column) -> Column:
     """Template tokens of a marked text: lower-case words and placeholders."""
-    held = F.regexp_replace(mark, f"([{NAME}{UNIT}])[\\p{{L}}\\p{{M}}]+", "$1")
+    held = F.when(F.contains(mark, F.lit(NAME)) | F.contains(mark, F.lit(UNIT)), F.regexp_replace(mark, f"([{NAME}{UNIT}])[\\p{{L}}\\p{{M}}]+", "$1")).otherwise(mark)
     held = F.when(F.rlike(mark, F.lit("[0-9]")), F.regexp_replace(held, "[0-9]+(?:[.,][0-9]+)*", NUMBER)).otherwise(held)
     return F.regexp_extract_all(F.lower(held), F.lit(_TEMPLATE_TOKEN), F.lit(0))
 
@@ -62,7 +65,10 @@ def values(mark: Column) -> Column:
 
 def window_hashes(tokens: Column, window: int) -> Column:
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    return F.transform(F.sequence(F.lit(0), F.size(tokens) - window), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]))
+    starts = F.sequence(F.lit(0), F.size(tokens) - window)
+    # the hashes are bound once by the outer function; a plain reference would be evaluated anew for every window
+    bound = F.transform(F.array(hashes), lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)])))
+    return F.when(F.size(tokens) >= window, F.get(bound, 0))
 
 
 def _is_slot(token: Column) -> Column:
@@ -85,8 +91,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
     texts = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("row_mark"), marked(F.col("text")).alias("mark"))
-    cut = texts.withColumn("tokens", template(F.col("mark"))).where(F.size("tokens") >= window)
-    # outer, since the optimiser would evaluate an inner explode's array twice
+    # no filter on the tokens, and an outer explode: the optimiser would evaluate all expressions below once more for either
+    cut = texts.withColumn("tokens", template(F.col("mark")))
     each = cut.select("doc_id", "row_mark", "mark", "tokens", F.posexplode_outer(window_hashes(F.col("tokens"), window)).alias("place", "doc_hash"))
     hits = each.join(items, F.col("doc_hash") == F.col("hash")).where(F.slice("tokens", F.col("place") + 1, window) == F.col("shape"))
     filled = F.slice(values(F.col("mark")), F.col("place") + 1, window)
