@@ -10,7 +10,7 @@ same document. Two passes over the texts:
    words with the smallest hash. Equal windows have equal anchors, so no anchor's
    count is below the window's, and neighbouring windows share them. The
    estimate of a window is the least of its anchors'.
-2. Windows estimated to occur twice or more are grouped exactly, by 128 bits of
+2. Windows estimated to occur twice or more are grouped exactly, by 96 bits of
    hash; all others are unique and are never shuffled. A partition sends a
    window once, with its earliest place in the partition; later places there
    are settled at once. So no group exceeds the number of partitions, however
@@ -37,7 +37,7 @@ from .spans import covered, keyed, pack, runs, span_lists, text_bytes, unpacked,
 
 _POSITION = np.uint64((1 << 30) - 1)
 NAMES = ["doc", "place", "one", "two", "settled"]
-FLUSH = 1 << 19
+FLUSH = 3 << 18
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -107,6 +107,7 @@ def _settle(found: list, window: int):
     """Of a partition's candidate places: the earliest of each window to be sent on in text order, the rest as joined
     spans, which have a first hash of their own and their end for the second."""
     doc, mark, start, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+    two = two & ~np.uint64(0xFFFFFFFF)  # 32 of its bits are sent
     order = np.lexsort((start, mark, doc, two, one))
     head = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
     lead = order[head][np.cumsum(head) - 1]
@@ -114,9 +115,9 @@ def _settle(found: list, window: int):
     d, m, lo, hi = runs(doc[later], mark[later], start[later].astype(np.int64), start[later].astype(np.int64) + window)
     place = pack(m, lo)
     own = mix(d.view(np.uint64) ^ mix(place.view(np.uint64)))
-    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(place), pa.array(own.view(np.int64)), pa.array(hi), pa.array(np.ones(len(d), bool))], names=NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(place), pa.array(own.view(np.int64)), pa.array(hi.astype(np.int32)), pa.array(np.ones(len(d), bool))], names=NAMES)
     at = np.sort(order[head])
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], pack(mark[at], start[at]), one[at].view(np.int64), two[at].view(np.int64), np.zeros(len(at), bool))], names=NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], pack(mark[at], start[at]), one[at].view(np.int64), (two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(at), bool))], names=NAMES)
 
 
 def _finder(whole, bits: int, shape: tuple):
@@ -149,12 +150,12 @@ def repeated_spans(docs: DataFrame, window: int = 20, reach: int = 14, gram: int
     texts, shape = keyed(docs), (window, reach, gram)
     bits = sketch.bits_for(text_bytes(texts) / 6 * 2 / (reach - gram + 2))
     whole = sketch.merged(texts.select("text").mapInArrow(_sketcher(bits, shape), sketch.SCHEMA), bits)
-    found = texts.mapInArrow(_finder(whole, bits, shape), "doc long, place long, one long, two long, settled boolean")
+    found = texts.mapInArrow(_finder(whole, bits, shape), "doc long, place long, one long, two int, settled boolean")
     here = F.struct("doc", "place")
     first = F.min(here).over(Window.partitionBy("one", "two"))
     later = found.withColumn("first", first).where(F.col("settled") | (here != F.col("first")))
     mark, lo = unpacked("place")
-    return later.select("doc", mark.alias("mark"), lo.alias("lo"), F.when(F.col("settled"), F.col("two").cast("int")).otherwise(lo + window).alias("hi"))
+    return later.select("doc", mark.alias("mark"), lo.alias("lo"), F.when(F.col("settled"), F.col("two")).otherwise(lo + window).alias("hi"))
 
 
 def _keep(batches):
