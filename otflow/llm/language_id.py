@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from .common import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-LONGEST, PART, CACHE, MAX_LANGUAGES = 6, 32, 400_000, 500
+LONGEST, PART, CACHE, MAX_LANGUAGES = 6, 32, 120_000, 500
 UNKNOWN = "und"
 _LETTER, _OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
