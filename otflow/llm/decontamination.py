@@ -7,16 +7,27 @@ placeholders, the values behind them must correspond: along one alignment, equal
 values of the item always stand for equal values of the document. A document is
 contaminated by an item if ``coverage`` of the item's windows are found in it.
 
-A name is a capitalised word that follows a lower-case letter, digit, comma or
-semicolon and one space, so words that start a sentence stay words. A unit is one
-of ``UNITS`` after a digit. Case, punctuation and white space don't matter.
+White space counts as one space, case and punctuation don't matter. A capitalised
+word is a name if it follows a lower-case letter, digit, comma or semicolon and a
+space; one that starts a sentence of the benchmark is a name too if the same item
+has it as one, or if it is neither in ``STARTERS`` nor a lower-case word of the
+benchmark. A unit is one of ``UNITS`` after a digit.
+
+A document's windows are read with its names as placeholders, with all capitalised
+words as placeholders, and with all names as lower-case words; an item's windows
+likewise, where ordinary words that start its sentences stand for themselves only.
+So copies in other case keep their names, and asked anew in proper case they may
+have others. A copy that is both lower-cased and has other names is found by its
+windows without names only. A window whose values are all the same is found
+whatever stands elsewhere.
+
 Windows with fewer than ``LITERALS`` words that aren't placeholders take no part.
 
 The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS`` of them and
 joined by a shuffle beyond.
 
 Nulls and oddities: null and empty texts hold nothing and are clean; items with
-fewer tokens than a window are never found; an empty benchmark leaves all clean;
+fewer tokens than a window are one window as a whole (if it takes part); an empty benchmark leaves all clean;
 items without id or with the same id count as one item each id. Rows sharing
 doc_id are told apart by a hash of their texts; repeated rows get one result
 each. An empty table gives an empty result; extra columns are kept by
@@ -34,75 +45,135 @@ from .common import materialise
 # Units as written after a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|l|ml|s|ms|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|feet|foot|inches|inch|meters|meter|metres|metre|dollars|dollar|euros|euro|cents|cent|percent|degrees|kw|w|v|hz|gb|mb|kb"
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
-_TOKEN = f"[{NAME}{UNIT}]?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|%"
-_TEMPLATE_TOKEN = f"[\\p{{L}}\\p{{M}}]+|[{NAME}{UNIT}{NUMBER}%]"
+#: Marks of capitalised words that start a sentence: ordinary ones, and those of an item that are names.
+START, FREE = "\u0004", "\u0005"
+_MARKS = NAME + UNIT + NUMBER + START + FREE
+_TOKEN = f"[{NAME}{UNIT}{START}]?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|%"
+#: Ordinary words at the start of a sentence, whether or not the benchmark has them in lower case.
+STARTERS = "a an the this that these those it its he she they we you i his her their our your my there here if when where while which who whom whose what why how is are was were do does did can could will would should may might must has have had in on at by for from of to with without after before during between under over about as and or but not no yes so then than because since although each every all some any both many much most more few one two three first second last next let find given suppose consider calculate compute determine choose select name write explain describe show prove solve use".split()
 LITERALS = 2
 BROADCAST_WINDOWS = 500_000
 
 
 def marked(text: Column) -> Column:
-    """Text with a mark before each name and unit."""
+    """Lower-case text with single spaces and a mark before each name, other capitalised word and unit."""
     held = F.coalesce(text, F.lit(""))
-    odd = F.contains(held, F.lit(NAME)) | F.contains(held, F.lit(UNIT)) | F.contains(held, F.lit(NUMBER))
-    plain = F.when(odd, F.translate(held, NAME + UNIT + NUMBER, "   ")).otherwise(held)
+    odd = F.rlike(held, F.lit(f"[{_MARKS}]"))
+    plain = F.when(odd, F.translate(held, _MARKS, " " * len(_MARKS))).otherwise(held)
+    plain = F.regexp_replace(plain, r"[\s\p{Z}&&[^\x20]][\s\p{Z}]*|\x20[\s\p{Z}]+", " ")
+    units = F.regexp_replace(plain, rf"(?i)(?<=[0-9])(\x20?)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
+    held = F.when(F.rlike(plain, F.lit("[0-9]")), units).otherwise(plain)
     # the capital is tried before what must stand ahead of it, since few places have one
-    names = F.regexp_replace(plain, r"(\p{Lu})(?<=[\p{Ll}\p{Nd},;]\x20\p{Lu})(\p{Ll}+)", f"{NAME}$1$2")
-    units = F.regexp_replace(names, rf"(?i)(?<=[0-9])(\x20?)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
-    return F.when(F.rlike(plain, F.lit("[0-9]")), units).otherwise(names)
-
-
-def template(mark: Column) -> Column:
-    """Template tokens of a marked text: lower-case words and placeholders."""
-    held = F.when(F.contains(mark, F.lit(NAME)) | F.contains(mark, F.lit(UNIT)), F.regexp_replace(mark, f"([{NAME}{UNIT}])[\\p{{L}}\\p{{M}}]+", "$1")).otherwise(mark)
-    held = F.when(F.rlike(mark, F.lit("[0-9]")), F.regexp_replace(held, "[0-9]+(?:[.,][0-9]+)*", NUMBER)).otherwise(held)
-    return F.regexp_extract_all(F.lower(held), F.lit(_TEMPLATE_TOKEN), F.lit(0))
+    capitals = F.regexp_replace(held, rf"(\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{Nd}}{UNIT}]\p{{Lu}})(\p{{Ll}}+)", f"{START}$1$2")
+    return F.lower(F.regexp_replace(capitals, rf"{START}(?<=[\p{{Ll}}\p{{Nd}},;]\x20{START})", NAME))
 
 
 def values(mark: Column) -> Column:
-    """The tokens of a marked text as written, in line with :func:`template`."""
+    """The tokens of a marked text with their marks."""
     return F.regexp_extract_all(mark, F.lit(_TOKEN), F.lit(0))
 
 
-def window_hashes(tokens: Column, window: int) -> Column:
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    starts = F.sequence(F.lit(0), F.size(tokens) - window)
-    # the hashes are bound once by the outer function; a plain reference would be evaluated anew for every window
-    bound = F.transform(F.array(hashes), lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)])))
-    return F.when(F.size(tokens) >= window, F.get(bound, 0))
+def _bare(token: Column) -> Column:
+    return F.when(F.substring(token, 1, 1).isin(*_MARKS), F.substr(token, F.lit(2))).otherwise(token)
+
+
+def shaped(token: Column, names: str) -> Column:
+    """A token as a template has it, with the words behind the marks ``names`` as placeholders."""
+    head = F.substring(token, 1, 1)
+    # all words without a mark are beyond "a", all else before it
+    held = F.when(token >= "a", token)
+    if names:
+        held = held.when(head.isin(*names), NAME)
+    return held.when(head.isin(NAME, START, FREE), F.substr(token, F.lit(2))).when(head == UNIT, UNIT).when(token == "%", token).otherwise(NUMBER)
+
+
+def _reading(names: str):
+    return lambda t: shaped(t, names)
+
+
+def _hashed(names: str):
+    return lambda t: F.xxhash64(shaped(t, names))
+
+
+def _windows(h: Column, starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+
+
+#: What counts as a name: in three readings of a document, in four of an item.
+OURS = (NAME, NAME + START, "")
+THEIRS = (NAME, NAME + FREE, NAME + FREE + START, "")
+
+
+def window_hashes(hashes: list[Column], lengths: list[int], starts: Column) -> Column:
+    """Hashes of the windows of each reading, by length and place; what lies beyond the end doesn't count."""
+    # the hashes are bound by the outer function; a plain reference would be evaluated anew for every window
+    return F.flatten(F.transform(F.array(*hashes), lambda h: F.concat(*[_windows(h, starts, n) for n in lengths])))
 
 
 def _is_slot(token: Column) -> Column:
     return token.isin(NAME, UNIT, NUMBER)
 
 
+def _literals(shape: Column) -> Column:
+    return F.size(F.filter(shape, lambda t: ~_is_slot(t)))
+
+
+def item_tokens(benchmark: DataFrame) -> DataFrame:
+    """(item_id, raw): tokens of each item, with names that start a sentence told from ordinary words."""
+    held = materialise(benchmark.select("item_id", values(marked(F.col("text"))).alias("tokens"), F.monotonically_increasing_id().alias("row")).where(F.size("tokens") > 0))
+    each = held.select("row", F.explode("tokens").alias("token"))
+    words = each.where(F.col("token") >= "a").select(F.col("token").alias("word")).distinct()
+    starts = each.where(F.startswith("token", F.lit(START))).select("row", F.substr("token", F.lit(2)).alias("word")).distinct()
+    ordinary = starts.join(words, "word", "left_semi").groupBy("row").agg(F.collect_set("word").alias("known"))
+    held = held.join(ordinary, "row", "left").withColumn("known", F.array_union(F.coalesce("known", F.array().cast("array<string>")), F.array(*[F.lit(w) for w in STARTERS])))
+    named = lambda t: F.array_contains("tokens", F.concat(F.lit(NAME), F.substr(t, F.lit(2))))
+    free = lambda t: F.startswith(t, F.lit(START)) & (named(t) | ~F.array_contains("known", F.substr(t, F.lit(2))))
+    return held.select("item_id", F.transform("tokens", lambda t: F.when(free(t), F.concat(F.lit(FREE), F.substr(t, F.lit(2)))).otherwise(t)).alias("raw"))
+
+
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(hash, item_id, at, shape, filled, n_windows): distinct windows of each item with their values."""
-    held = benchmark.select("item_id", marked(F.col("text")).alias("mark")).withColumn("tokens", template(F.col("mark"))).where(F.size("tokens") >= window)
-    each = held.select("item_id", values(F.col("mark")).alias("raw"), "tokens", F.posexplode(window_hashes(F.col("tokens"), window)).alias("at", "hash"))
-    shape = F.slice("tokens", F.col("at") + 1, window)
-    each = each.select("item_id", "at", "hash", shape.alias("shape"), F.slice("raw", F.col("at") + 1, window).alias("filled")).where(F.size(F.filter("shape", lambda t: ~_is_slot(t))) >= LITERALS)
-    first = each.groupBy("item_id", "hash", "shape").agg(F.min(F.struct("at", "filled")).alias("x"))
-    return first.select("item_id", "hash", "shape", F.col("x.at").alias("at"), F.col("x.filled").alias("filled"), F.count(F.lit(1)).over(Window.partitionBy("item_id")).alias("n_windows"))
+    """(hash, item_id, at, shape, filled, units, n_windows): distinct windows of each item with their values.
+
+    A unit is the first place of a window as words; ``units`` are those that a window stands for."""
+    held = materialise(item_tokens(benchmark))
+    places = F.explode(F.sequence(F.lit(0), F.greatest(F.size("raw") - window, F.lit(0)))).alias("at")
+    each = held.select("item_id", "raw", places).select("item_id", "at", F.slice("raw", F.col("at") + 1, window).alias("filled"))
+    shapes = [F.transform("filled", _reading(n)) for n in THEIRS]
+    each = each.withColumns({"strict": _literals(shapes[1]) >= LITERALS, "words": shapes[3]})
+    own = Window.partitionBy("item_id")
+    # an item of little but names takes part by its words
+    each = each.withColumns({"any": F.max("strict").over(own), "unit": F.min("at").over(Window.partitionBy("item_id", "words"))})
+    each = each.select("item_id", "at", "unit", "filled", "strict", "any", F.explode(F.array_distinct(F.array(*shapes))).alias("shape")).where(F.col("strict") | (~F.col("any") & (_literals(F.col("shape")) >= LITERALS)))
+    first = each.groupBy("item_id", "shape").agg(F.min(F.struct("at", "filled")).alias("x"), F.collect_set("unit").alias("units"))
+    hashes = window_hashes([F.transform("shape", lambda t: F.xxhash64(t))], [window], F.array(F.lit(0)))
+    return first.select("item_id", F.get(hashes, 0).alias("hash"), "shape", F.col("x.at").alias("at"), F.col("x.filled").alias("filled"), "units", F.size(F.array_distinct(F.flatten(F.collect_list("units").over(own)))).alias("n_windows"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.5) -> DataFrame:
     """(doc_id, mark, item_id, found, n_windows) of each document and the items that contaminate it."""
     items = materialise(item_windows(benchmark, window))
+    lengths = sorted(r["n"] for r in items.select(F.size("shape").alias("n")).distinct().collect()) or [window]
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
     texts = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("row_mark"), marked(F.col("text")).alias("mark"))
     # no filter on the tokens, and an outer explode: the optimiser would evaluate all expressions below once more for either
-    cut = texts.withColumn("tokens", template(F.col("mark")))
-    each = cut.select("doc_id", "row_mark", "mark", "tokens", F.posexplode_outer(window_hashes(F.col("tokens"), window)).alias("place", "doc_hash"))
-    hits = each.join(items, F.col("doc_hash") == F.col("hash")).where(F.slice("tokens", F.col("place") + 1, window) == F.col("shape"))
-    filled = F.slice(values(F.col("mark")), F.col("place") + 1, window)
-    has_slots = F.exists("shape", _is_slot)
-    pairs = F.filter(F.zip_with(F.arrays_zip("shape", F.col("filled")), filled, lambda a, b: F.struct(a["shape"].alias("kind"), a["filled"].alias("theirs"), b.alias("ours"))), lambda p: _is_slot(p["kind"]))
-    hits = hits.select("doc_id", "row_mark", "item_id", "n_windows", "at", (F.col("place") - F.col("at")).alias("shift"), has_slots.alias("slots"), F.when(has_slots, pairs).alias("pairs"))
-    aligned = hits.groupBy("doc_id", "row_mark", "item_id", "shift").agg(F.first("n_windows").alias("n_windows"), F.collect_set(F.when(~F.col("slots"), F.col("at"))).alias("plain"), F.collect_set(F.when(F.col("slots"), F.col("at"))).alias("slotted"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    cut = texts.withColumn("tokens", values(F.col("mark")))
+    size = F.size("tokens")
+    hashes = window_hashes([F.transform("tokens", _hashed(n)) for n in OURS], lengths, F.sequence(F.lit(0), size - 1))
+    each = cut.select("doc_id", "row_mark", "tokens", F.posexplode_outer(F.when(size > 0, hashes)).alias("nth", "doc_hash"))
+    hits = each.join(items, F.col("doc_hash") == F.col("hash"))
+    place, reading = F.col("nth") % size, F.floor(F.col("nth") / (size * len(lengths)))
+    hits = hits.select("doc_id", "row_mark", "item_id", "n_windows", "at", "units", "shape", "filled", place.alias("place"), reading.alias("reading"), F.slice("tokens", place + 1, F.size("shape")).alias("ours"))
+    read = F.when(F.col("reading") == 0, F.transform("ours", _reading(OURS[0]))).when(F.col("reading") == 1, F.transform("ours", _reading(OURS[1]))).otherwise(F.transform("ours", _reading(OURS[2])))
+    pairs = F.zip_with(F.arrays_zip("shape", "filled"), F.col("ours"), lambda a, b: F.struct(a["shape"].alias("kind"), F.substring(a["filled"], 1, 1).alias("head"), _bare(a["filled"]).alias("theirs"), _bare(b).alias("ours")))
+    hits = hits.where(read == F.col("shape")).withColumn("pairs", F.filter(pairs, lambda p: _is_slot(p["kind"])))
+    # ordinary words stand for themselves
+    hits = hits.where(F.forall("pairs", lambda p: (p["head"] != START) | (p["theirs"] == p["ours"])))
+    hits = hits.select("doc_id", "row_mark", "item_id", "n_windows", "units", (F.col("place") - F.col("at")).alias("shift"), F.forall("pairs", lambda p: p["theirs"] == p["ours"]).alias("same"), F.transform("pairs", lambda p: F.struct(p["kind"].alias("kind"), p["theirs"].alias("theirs"), p["ours"].alias("ours"))).alias("pairs"))
+    aligned = hits.groupBy("doc_id", "row_mark", "item_id", "shift").agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("same"), F.col("units"))))).alias("plain"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("same"), F.col("units"))))).alias("slotted"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"])))) == F.size("pairs")
-    counted = aligned.select("doc_id", "row_mark", "item_id", "n_windows", F.when(consistent, F.array_union("plain", "slotted")).otherwise(F.col("plain")).alias("at"))
-    found = counted.groupBy("doc_id", "row_mark", "item_id").agg(F.first("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"))
+    counted = aligned.select("doc_id", "row_mark", "item_id", "n_windows", F.when(consistent, F.array_union("plain", "slotted")).otherwise(F.col("plain")).alias("units"))
+    found = counted.groupBy("doc_id", "row_mark", "item_id").agg(F.first("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("units")))).alias("found"))
     return found.where(F.col("found") >= coverage * F.col("n_windows"))
 
 

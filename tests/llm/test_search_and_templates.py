@@ -73,6 +73,21 @@ def test_slots_must_correspond(spark):
     assert found[1] == 18 and found[2] < found[1]
 
 
+def test_names_in_copies(spark):
+    item = "On Monday Maria bought 3 apples in Paris and gave Tom 2 of them before she met Anna in Rome."
+    start = "Alice has 3 apples. Alice buys 4 pears. How many fruits has Alice?"
+    bench = spark.createDataFrame([(1, item), (2, start), (3, "Rivers of Old Spain")], "item_id long, text string")
+    docs = [
+        (1, item), (2, item.lower()), (3, item.replace(" ", "\n")), (4, item.replace(" ", "  ")), (5, item.lower().replace("3", "7")), (6, item.replace(" ", "\u00a0").replace("Maria", "Carla").replace("Tom", "Jim").replace("2", "5")),
+        (7, start.replace("Alice", "Carol").replace("3", "8")), (8, "we saw the rivers of old spain today"), (9, "rivers of old"), (10, "He likes apples. On Sunday they bought a car and gave it to a friend in town. How many were there?"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontamination.judge(df, bench).collect()}
+    assert got == {1: [1], 2: [1], 3: [1], 4: [1], 5: [1], 6: [1], 7: [2], 8: [3], 9: [], 10: []}
+    found = {r.doc_id: (r.found, r.n_windows) for r in decontamination.find(df, bench).where("item_id = 1").collect()}
+    assert all(found[i][0] == found[i][1] for i in (1, 2, 3, 4, 6))
+
+
 def test_rules_and_graph(spark):
     pages = [
         (1, "HTTP://Www.EXAMPLE.com/en/7?x#y", None), (2, "http://a.com/en/1", '<a href="http://b.fr/x">'), (3, "http://c.de", "<a href='//b.fr/'>"),
