@@ -225,7 +225,7 @@ def from_packet_flow(flows: DataFrame) -> DataFrame:
     return flows.select("src_ip", "dst_ip", "src_port", "dst_port", *[finite(x).alias(n) for n, x in out.items()])
 
 
-def from_request(req: DataFrame, features: list[str] | None = None) -> DataFrame:
+def from_request(req: DataFrame, features: list[str] | None = None, keep: tuple = ("row_id",)) -> DataFrame:
     """Features of single-request records; unknown features are 0, load isn't in bits."""
     c = F.col
     d = F.greatest(c("duration"), F.lit(0.001))
@@ -236,5 +236,5 @@ def from_request(req: DataFrame, features: list[str] | None = None) -> DataFrame
         "byte_ratio": over_at_least(fb, bb), "bytes_per_packet": over_at_least(fb + bb, total), "src_inter_packet_avg": c("iat_mean"), "src_packet_rate": fwd / d, "dst_packet_rate": bwd / d, "src_load": fb / d, "dst_load": bb / d,
         "syn_ack_imbalance": F.abs(c("fwd_psh") - c("bwd_psh")) / F.greatest(total, F.lit(1.0)), "timing_regularity": 1 / (1 + c("iat_std")), "flow_burstiness": c("iat_std") / F.greatest(c("iat_mean"), F.lit(0.001)),
     }
-    made = req.select("row_id", *[finite(x).alias(n) for n, x in out.items()])
-    return align(made, features) if features else made
+    made = req.select(*keep, *[finite(x).alias(n) for n, x in out.items()])
+    return align(made, features, keep) if features else made

@@ -226,13 +226,14 @@ def ablation(df: DataFrame, base: list[str], more: list[str], label: str = "labe
     return found[0].join(found[1], "metric").withColumn("delta", F.col("variant") - F.col("baseline"))
 
 
-def score_requests(requests: DataFrame, model: Ensemble, features: DataFrame) -> DataFrame:
-    """Valid requests scored, with the signed score, severity of their zone and the action."""
+def score_requests(model: Ensemble, features: DataFrame) -> DataFrame:
+    """Valid requests scored, with the signed score, severity of their zone and the action. ``features`` has each request
+    as the struct ``request``, which passes through the model, so that nothing is joined back on a key."""
     from ..functions.scalar import recommended_action, zone_of_port, zone_severity
     from .enrich import validate
 
-    scored = model.predict(features).select("row_id", "ensemble_score", "prediction", "confidence")
-    held = validate(requests).where("valid").join(scored, "row_id")
+    scored = model.predict(features, ("request",)).select("request.*", "ensemble_score", "prediction", "confidence")
+    held = validate(scored).where("valid")
     signed: Column = F.when(F.col("prediction") == 1, F.col("confidence")).otherwise(-F.col("confidence"))
     held = held.withColumn("signed_score", signed).withColumns({"zone": zone_of_port(F.col("dst_port")), "zone_severity": zone_severity(F.col("dst_port"), F.col("signed_score"))})
     return held.withColumn("action", recommended_action(F.col("zone_severity"), F.col("prediction") == 1))

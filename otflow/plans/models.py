@@ -78,11 +78,13 @@ def packet_scores(s, d):
 
 
 def request_scores(s, d):
-    req = A.requests(s, d).dropDuplicates(["row_id"])
-    feats = X.from_request(req, REQUEST)
+    req = A.requests(s, d)
+    # (order, line) isn't unique: the forest draws rows by a hash of the whole request
+    req = req.withColumns({"request": F.struct(*req.columns), "row_id": F.xxhash64(*req.columns)})
+    feats = X.from_request(req, REQUEST, ("row_id", "request"))
     labelled = feats.withColumn("label", F.when(F.col("src_packets") > 45, 1).otherwise(0))
     model = ML.fit_ensemble(labelled, REQUEST, forest=FOREST, boosted=BOOSTED, trees=TREES)
-    return ML.score_requests(req, model, feats).select("row_id", "signed_score", "zone", "zone_severity", "action")
+    return ML.score_requests(model, feats).select("row_id", "signed_score", "zone", "zone_severity", "action")
 
 
 def ablation(s, d):

@@ -3,6 +3,7 @@
 import math
 import struct
 import warnings
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from otflow.operators import ml as ML
 from otflow.operators import packets as K
 from otflow.operators import profile as P
 from otflow.operators import sessions as W
+from otflow.plans import models
 from otflow.sources import files
 from otflow.streaming import streams
 
@@ -212,3 +214,13 @@ def test_entropy_and_labels(spark):
     df = spark.createDataFrame([([1.0, 1.0],), ([0.0, 10.0],), ([3.0],)], "v array<double>")
     assert [r.e for r in df.select(S.entropy_hist(F.col("v")).alias("e")).collect()] == [0.0, 1.0, 0.0]
     assert S.rounded(spark.range(1).select(F.lit(1.23456789).alias("x")), 3).first().x == 1.235
+
+
+def test_every_request_is_scored(spark, tmp_path):
+    """Requests that share order and line are all scored."""
+    rows = [(i // 2, 1 + i // 2 % 4, i % 40, 3 * i % 50 + 1.0, 100.0 + 7 * i, i % 10 / 100, i % 8 / 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double").withColumn("l_suppkey", F.col("l_partkey"))
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = models.request_scores(spark, str(tmp_path)).groupBy("row_id").count().collect()
+    valid = Counter((o * 8 + n) for o, n, p, *_ in rows if p * 37 % 70000 <= 65535)
+    assert {r["row_id"]: r["count"] for r in out} == dict(valid) and len(rows) == sum(valid.values())
