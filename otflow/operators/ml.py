@@ -201,14 +201,21 @@ def explain(model: IsolationForest, rows: DataFrame, background: DataFrame, perm
     return ranked.where(F.col("rank") <= top).withColumn("direction", F.when(F.col("contribution") < 0, "toward anomaly").otherwise("toward normal"))
 
 
-def global_attribution(contributions: DataFrame) -> DataFrame:
-    return contributions.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+def global_attribution(contributions: DataFrame, by: tuple = ()) -> DataFrame:
+    """Mean magnitude of each feature, for each class with ``by``; the contributions must not be cut to the top ones."""
+    return contributions.groupBy("feature", *by).agg(F.avg(F.abs("contribution")).alias("mean_abs"))
 
 
-def audit_report(predictions: DataFrame, contributions: DataFrame, label: str = "label", n: int = 5) -> DataFrame:
-    """First true positives with confidence and contributions."""
-    hit = predictions.where((F.col(label) == 1) & (F.col("prediction") == 1)).orderBy("row_id").limit(n).select("row_id", "confidence")
-    return hit.join(contributions, "row_id")
+def true_positives(predictions: DataFrame, label: str = "label", n: int = 5) -> DataFrame:
+    """row_id and confidence of the first ``n`` true positives."""
+    return predictions.where((F.col(label) == 1) & (F.col("prediction") == 1)).orderBy("row_id").limit(n).select("row_id", "confidence")
+
+
+def audit_report(predictions: DataFrame, model: Ensemble, scaled: DataFrame, background: DataFrame, label: str = "label", n: int = 5, top: int = 10, permutations: int = 8) -> DataFrame:
+    """First true positives with confidence and contributions; ``row_id`` must tell rows apart."""
+    hit = true_positives(predictions, label, n)
+    rows = scaled.join(F.broadcast(hit.select("row_id")), "row_id", "left_semi")
+    return explain(model.forest, rows, background, permutations, top).join(F.broadcast(hit), "row_id")
 
 
 def evaluate(predictions: DataFrame, label: str = "label") -> DataFrame:

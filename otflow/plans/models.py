@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import severity_from_score
 from ..operators import features as X
@@ -22,8 +23,14 @@ def training(s, d):
     return X.feature_table(flows, 2, keep=("row_id", F.col("IT_B_Label").alias("label")), sessions=False).select("row_id", "label", *NAMES)
 
 
-def _forest(s, d, **how):
-    df = training(s, d)
+def keyed(df):
+    """``row_id`` as (row_id, nth, label), which tells apart rows that share order and line."""
+    nth = F.row_number().over(Window.partitionBy("row_id").orderBy("label", *NAMES))
+    return df.withColumn("nth", nth).withColumn("row_id", F.struct("row_id", "nth", "label")).drop("nth")
+
+
+def _forest(s, d, df=None, **how):
+    df = training(s, d) if df is None else df
     return ML.scale(df, ML.scale_parameters(df, NAMES)), ML.fit_isolation_forest(ML.scale(df, ML.scale_parameters(df, NAMES)), NAMES, **(FOREST | how))
 
 
@@ -54,12 +61,27 @@ def importance(s, d):
 
 
 def contributions(s, d):
-    """Of the rows whose forest score is in the lowest thousandth."""
-    scaled, model = _forest(s, d)
+    """The top 5 of each row whose forest score is in the lowest thousandth."""
+    scaled, model = _forest(s, d, keyed(training(s, d)))
     scored = model.score(scaled)
     low = scored.agg(F.percentile("iso_score", 0.001).alias("t"))
-    rows = scored.crossJoin(F.broadcast(low)).where(F.col("iso_score") <= F.col("t")).select("row_id", *NAMES).dropDuplicates(["row_id"])
-    return ML.explain(model, rows, W.sample_rows(scaled, 50), permutations=4)
+    rows = scored.crossJoin(F.broadcast(low)).where(F.col("iso_score") <= F.col("t")).select("row_id", *NAMES)
+    return ML.explain(model, rows, W.sample_rows(scaled, 50), permutations=4).select("row_id.row_id", "row_id.nth", "feature", "contribution", "percent", "rank", "direction")
+
+
+def attribution(s, d):
+    """By feature and label, over all features of all rows."""
+    scaled, model = _forest(s, d, keyed(training(s, d)))
+    why = ML.explain(model, scaled, W.sample_rows(scaled, 50), permutations=4, top=len(NAMES))
+    return ML.global_attribution(why.withColumn("label", F.col("row_id.label")), ("label",))
+
+
+def audit(s, d):
+    df = keyed(training(s, d))
+    model = ML.fit_ensemble(df, NAMES, forest=FOREST, boosted=BOOSTED, trees=TREES)
+    scaled = ML.scale(df, model.parameters)
+    out = ML.audit_report(model.predict(df, ("row_id", "label")), model, scaled, W.sample_rows(scaled, 50), permutations=4)
+    return out.select("row_id.row_id", "row_id.nth", "confidence", "feature", "contribution", "percent", "rank", "direction")
 
 
 def guard(s, d):
@@ -99,8 +121,8 @@ add("ml_random_forest", forest)
 add("ml_importance", importance)
 add("top_importance", importance)
 add("ml_explain", contributions)
-add("ml_global_attribution", lambda s, d: ML.global_attribution(contributions(s, d)))
-add("ml_audit_report", lambda s, d: ML.audit_report(details(s, d), contributions(s, d)))
+add("ml_global_attribution", attribution)
+add("ml_audit_report", audit)
 add("ml_train_guard", guard)
 add("ml_score_packet_flows", packet_scores)
 add("ml_score_api_batch", request_scores)

@@ -224,3 +224,15 @@ def test_every_request_is_scored(spark, tmp_path):
     out = models.request_scores(spark, str(tmp_path)).groupBy("row_id").count().collect()
     valid = Counter((o * 8 + n) for o, n, p, *_ in rows if p * 37 % 70000 <= 65535)
     assert {r["row_id"]: r["count"] for r in out} == dict(valid) and len(rows) == sum(valid.values())
+
+
+def test_explained_rows(spark, monkeypatch):
+    """The first five true positives are explained, and all features and rows count in the global attribution, also where row_id repeats."""
+    data = [(i // 2, i % 3 // 2, *[float((i * (k + 3)) % 17 + (i % 3 // 2) * 30) for k in range(len(models.NAMES))]) for i in range(120)]
+    df = spark.createDataFrame(data, "row_id long, label int, " + ", ".join(f"{n} double" for n in models.NAMES))
+    monkeypatch.setattr(models, "training", lambda s, d: df)
+    monkeypatch.setattr(models, "FOREST", {"trees": 10, "psi": 32})
+    report = models.audit(spark, "").collect()
+    assert len({(r.row_id, r.nth) for r in report}) == 5 and len(report) == 5 * min(10, len(models.NAMES))
+    spread = models.attribution(spark, "").collect()
+    assert sorted((r.feature, r.label) for r in spread) == sorted((n, y) for n in models.NAMES for y in (0, 1))
