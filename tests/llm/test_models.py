@@ -86,33 +86,73 @@ def test_lm_scoring(spark, monkeypatch):
     assert lm_scoring.digest(df.limit(0)).collect() == []
 
 
-def test_gradient_is_the_slope():
-    rng = np.random.default_rng(0)
+def test_context_helps_on_held_out_texts(spark):
+    """Texts of three closed vocabularies: their own words before tell which; the base can't."""
+    rng, rows = random.Random(8), []
+    vocabulary = {lang: ["".join(rng.choice(own) for _ in range(rng.randrange(1, 4))) for _ in range(150)] for lang, own in SYLLABLES.items()}
+    for i in range(300):
+        rows.append((i, " ".join(rng.choice(list(vocabulary.values())[i % 3]) for _ in range(40))))
+    got = [r for r in lm_scoring.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect() if r.held_out]
+    assert len(got) > 20 and all(r.score > r.base_score for r in got)
+    # a third of all words each: context is worth up to log10(3) a word
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.6 * math.log10(3)
+
+
+def test_experts_sum_to_one(spark):
+    rows = [(i, t, lang, s, n) for i, t, lang, s, n in texts(5, 90)]
+    train = spark.createDataFrame(rows, DOCS).select("text").repartition(3)
+    ranks = spark.sparkContext.broadcast(lm_scoring.read_ranks(lm_scoring.VOCABULARY))
+    _, model, _ = lm_scoring.fit(train, ranks)
+    assert np.allclose(np.exp(model["logs"]).sum(axis=0) + np.exp(model["rest"]), 1, atol=1e-4)
+    assert np.allclose(model["steps"]["one"].sum(axis=2), 1, atol=1e-4)
+    s, before, row = model["steps"], 65, 7
+    assert np.allclose((s["two"][row] + s["more"][row] * s["one"][:, before]).sum(axis=1) / s["sum"][row], 1, atol=1e-4)
+    # a word outside the head: the product of its steps
+    own = lm_scoring.WordModels(model, ranks.value)
+    own.stream(np.frombuffer(b"xyzzy", np.uint8), np.array([0, 5]))
+    ids = own.codec.encode_ordinary(" xyzzy")
+    word, before, to, row = lm_scoring._steps(np.array(ids), np.array([len(ids)]))
+    assert len(to) == len(ids) + 1 and to[-1] == before[0] == lm_scoring.IDS
+    want = [model["rest"][k] + sum(math.log((s["two"][r, t] + s["more"][r] * s["one"][k, b, t]) / s["sum"][r]) for b, t, r in zip(before, to, row, strict=True)) for k in range(lm_scoring.EXPERTS)]
+    assert np.allclose(own.logs[own.numbers[b"xyzzy"]], want, atol=1e-3)
+
+
+def layer(seed):
+    rng = np.random.default_rng(seed)
     w = lm_scoring.initial_weights()
-    w["out"] = rng.standard_normal(w["out"].shape).astype(np.float32) * 0.1
-    w = {k: x.astype(np.float64) for k, x in w.items()}
+    return rng, {k: rng.standard_normal(x.shape) * (0.3 if k != "out" else 1) for k, x in w.items()}
+
+
+def test_gradient_is_the_slope():
+    rng, w = layer(0)
+    flat = rng.integers(0, 30, 75)
+    first = np.sort(rng.choice(np.arange(1, 75), 49, replace=False))
+    first = np.concatenate([[0], first])  # 50 words of some ids each
     stream, start = rng.integers(0, 50, 40), np.repeat([0, 25], [25, 15])
-    slots, seen, lag = lm_scoring.windows(stream, start)
-    target = rng.integers(0, lm_scoring.CLASSES, len(slots) * lm_scoring.BLOCK)
-    real = np.arange(len(target)) < 40
-    prior = np.zeros((len(target), lm_scoring.CLASSES))
-    loss = lambda: -lm_scoring.log_classes(lm_scoring.attend(w, slots, seen, lag, prior)[0], target)[real].mean()
-    g = lm_scoring.gradient(w, slots, seen, lag, prior, target, real)
-    for name, at in (("query", (int(stream[20]), 3)), ("key", (int(stream[20]), 2)), ("value", (int(stream[5]), 1)), ("self", (int(stream[7]), 0)), ("out", (2, 5)), ("bias", (4,)), ("near", (1,))):
-        kept = w[name][at]
-        w[name][at] = kept + 1e-4
+    x, seen, lag = lm_scoring.windows(stream, start)
+    logs = rng.standard_normal((40, lm_scoring.EXPERTS)) * 2
+
+    def loss():
+        logits, _ = lm_scoring.attend(w, lm_scoring.word_tables(w, flat, first), x, seen, lag)
+        return -lm_scoring.mixed(logits[:40], logs)[0].mean()
+
+    g = lm_scoring.gradient(w, lm_scoring.word_tables(w, flat, first), flat, first, x, seen, lag, logs)
+    at = int(flat[first[stream[20]]])
+    for name, place in (("query", (at, 3)), ("key", (at, 2)), ("value", (at, 1)), ("self", (at, 0)), ("out", (2, 5)), ("bias", (4,)), ("near", (1,))):
+        kept = w[name][place]
+        w[name][place] = kept + 1e-4
         up = loss()
-        w[name][at] = kept - 1e-4
-        assert abs((up - loss()) / 2e-4 - g[name][at]) < 1e-4
-        w[name][at] = kept
+        w[name][place] = kept - 1e-4
+        assert abs((up - loss()) / 2e-4 - g[name][place]) < 1e-4, name
+        w[name][place] = kept
 
 
-def test_windows_score_each_id_once_and_causally():
-    w = lm_scoring.initial_weights()
-    rng = np.random.default_rng(2)
-    w["out"] = rng.standard_normal(w["out"].shape).astype(np.float32)
+def test_windows_score_each_token_once_and_causally():
+    rng, w = layer(2)
+    flat, first = np.arange(50), np.arange(50)
     stream, start = rng.integers(0, 50, 70), np.repeat([0, 33], [33, 37])
-    run = lambda s: lm_scoring.attend(w, *lm_scoring.windows(s, start), np.zeros((0, lm_scoring.CLASSES), np.float32))[0][:70]
+    run = lambda s: lm_scoring.attend(w, lm_scoring.word_tables(w, flat, first), *lm_scoring.windows(s, start))[0][:70]
     a = run(stream)
     changed = stream.copy()
     changed[40] = 49 - changed[40]
