@@ -2,12 +2,16 @@
 
 The text kernel works on Arrow string columns without building Python strings:
 it views the UTF-8 bytes as a numpy array, finds words and takes polynomial
-hashes of any byte or word range from prefix sums.
+hashes of any byte or word range from prefix sums: fast ones modulo 2**64
+(:class:`RangeHash`) where equal hashes only mean "look closer", and fingerprints
+modulo 2**61 - 1 with bases drawn anew for each query (:class:`Fingerprint`)
+where they stand for equal content. Two given strings of n units share a
+fingerprint with a probability of n / 2**61 over the draw, whatever they hold.
 """
 
 from __future__ import annotations
 
-import tempfile
+import secrets
 import uuid
 
 import numpy as np
@@ -23,11 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that all executors share (``spark.checkpoint.dir``). There is no other: a machine's own folder isn't shared."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
-        held = f"file://{tempfile.mkdtemp(prefix='otflow-')}"
-        spark.sparkContext.setCheckpointDir(held)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return held
 
 
@@ -95,6 +98,80 @@ class RangeHash:
         return mix((prefix[end] - prefix[start]) * self.down[start])
 
 
+_PRIME, _LOW31, _LOW30 = np.uint64((1 << 61) - 1), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_31, _30, _61, _1 = (np.uint64(n) for n in (31, 30, 61, 1))
+#: Values that are multiplied at a time, so that what lies between stays in the cache.
+_LANE = 1 << 15
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> _61)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, from halves of 31 bits."""
+    out = np.empty(len(a), np.uint64)
+    for k in range(0, len(a), _LANE):
+        x, y = a[k : k + _LANE], b[k : k + _LANE]
+        x0, x1, y0, y1 = x & _LOW31, x >> _31, y & _LOW31, y >> _31
+        mid = x1 * y0 + x0 * y1
+        out[k : k + _LANE] = _mod(((x1 * y1) << _1) + (mid >> _30) + ((mid & _LOW30) << _31) + x0 * y0)
+    return out
+
+
+def _running(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... values modulo 2**61 - 1."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    high = _mod(np.cumsum(x >> _31))
+    out[1:] = _mod(_mod(np.cumsum(x & _LOW31)) + (high >> _30) + ((high & _LOW30) << _31))
+    return out
+
+
+class Fingerprint:
+    """Like :class:`RangeHash`, modulo 2**61 - 1. Values are below 2**61 - 1; bytes are taken as 1 to 256."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, (1 << 61) - 1)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        while len(self.up) < n:
+            have = len(self.up)
+            for name, base in (("up", self.base), ("down", self.inverse)):
+                own = getattr(self, name)
+                setattr(self, name, np.concatenate([own, times(own, np.full(have, pow(base, have, (1 << 61) - 1), np.uint64))]))
+
+    def prefix(self, values: np.ndarray) -> np.ndarray:
+        if values.dtype == np.uint8:
+            values = values.astype(np.uint64) + _1
+        self._powers(len(values) + 1)
+        return _running(times(values, self.up[: len(values)]))
+
+    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return times(_mod(prefix[end] + _PRIME - prefix[start]), self.down[start])
+
+
+def fresh_bases(n: int) -> list[int]:
+    """Bases of fingerprints for one query; tasks get them with their code, so that repeated tasks have the same."""
+    return [secrets.randbelow((1 << 61) - (1 << 32)) + (1 << 31) for _ in range(n)]
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (sizes[0] of them), first[1], ..."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+def only(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some texts one after the other, and by text (of all) how far its bytes moved."""
+    shift = np.zeros(len(offsets) - 1, np.int64)
+    if len(texts) == len(shift):
+        return data, shift
+    sizes = offsets[texts + 1] - offsets[texts]
+    shift[texts] = np.cumsum(sizes) - sizes - offsets[texts]
+    return data[ranges(offsets[texts], sizes)], shift
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (the public splitmix64 constants)."""
     x = x ^ (x >> np.uint64(30))

@@ -2,16 +2,17 @@
 
 Numbers, names and units are replaced by typed placeholders, so that a question
 asked anew with other values has the template of the benchmark's. Windows of
-template tokens are joined by hash (and compared in full); where a window holds
-placeholders, the values behind them must correspond: along one alignment, equal
+template tokens are hash-joined as text; where a window holds placeholders, the values behind them must correspond: along one alignment, equal
 values of the item always stand for equal values of the document. A document is
 contaminated by an item if ``coverage`` of the item's windows are found in it.
 
-White space counts as one space, case and punctuation don't matter. A capitalised
+White space counts as one space, case and punctuation don't matter; numbers may
+be written in words (``NUMBER_WORDS``). A capitalised
 word is a name if it follows a lower-case letter, digit, comma or semicolon and a
 space; one that starts a sentence of the benchmark is a name too if the same item
 has it as one, or if it is neither in ``STARTERS`` nor a lower-case word of the
-benchmark. A unit is one of ``UNITS`` after a digit.
+benchmark. A unit is one of ``UNITS`` after a digit. A text with names of several
+words is read twice: word by word, and with each such name as one.
 
 A document's windows are read with its names as placeholders, with all capitalised
 words as placeholders, and with all names as lower-case words; an item's windows
@@ -23,8 +24,9 @@ whatever stands elsewhere.
 
 Windows with fewer than ``LITERALS`` words that aren't placeholders take no part.
 
-The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS`` of them and
-joined by a shuffle beyond.
+Documents are cut into stretches of ``STRETCH`` tokens that overlap by a window,
+so that no row grows with a text's windows. The benchmark's windows are broadcast
+up to ``BROADCAST_BYTES`` of them and joined by a shuffle beyond.
 
 Nulls and oddities: null and empty texts hold nothing and are clean; items with
 fewer tokens than a window are one window as a whole (if it takes part); an empty benchmark leaves all clean;
@@ -44,15 +46,20 @@ from .common import materialise
 
 # Units as written after a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|l|ml|s|ms|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|feet|foot|inches|inch|meters|meter|metres|metre|dollars|dollar|euros|euro|cents|cent|percent|degrees|kw|w|v|hz|gb|mb|kb"
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
 #: Marks of capitalised words that start a sentence: ordinary ones, and those of an item that are names.
 START, FREE = "\u0004", "\u0005"
-_MARKS = NAME + UNIT + NUMBER + START + FREE
-_TOKEN = f"[{NAME}{UNIT}{START}]?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|%"
+#: Joins the words of a name that is read as one.
+JOIN = "\u0006"
+_MARKS = NAME + UNIT + NUMBER + START + FREE + JOIN
+_WORD = r"[\p{L}\p{M}]+"
+_TOKEN = f"(?:{NAME}{_WORD}{JOIN})*[{NAME}{UNIT}{START}]?{_WORD}|[0-9]+(?:[.,][0-9]+)*|%"
+_FEW = "(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
 #: Ordinary words at the start of a sentence, whether or not the benchmark has them in lower case.
 STARTERS = "a an the this that these those it its he she they we you i his her their our your my there here if when where while which who whom whose what why how is are was were do does did can could will would should may might must has have had in on at by for from of to with without after before during between under over about as and or but not no yes so then than because since although each every all some any both many much most more few one two three first second last next let find given suppose consider calculate compute determine choose select name write explain describe show prove solve use".split()
 LITERALS = 2
-BROADCAST_WINDOWS = 500_000
+STRETCH, BROADCAST_BYTES = 2_000, 64 << 20
 
 
 def marked(text: Column) -> Column:
@@ -73,6 +80,14 @@ def values(mark: Column) -> Column:
     return F.regexp_extract_all(mark, F.lit(_TOKEN), F.lit(0))
 
 
+def forms(mark: Column) -> Column:
+    """The readings of names of several words: (form 0, tokens), and (form 1, tokens) where there are such names."""
+    several = F.rlike(mark, F.lit(f"{NAME}{_WORD} {NAME}"))
+    joined = F.regexp_replace(mark, f"({NAME}{_WORD}) (?={NAME})", f"$1{JOIN}")
+    form = lambda k, m: F.struct(F.lit(k).alias("form"), values(m).alias("tokens"))
+    return F.when(several, F.array(form(0, mark), form(1, joined))).otherwise(F.array(form(0, mark)))
+
+
 def _bare(token: Column) -> Column:
     return F.when(F.substring(token, 1, 1).isin(*_MARKS), F.substr(token, F.lit(2))).otherwise(token)
 
@@ -81,7 +96,7 @@ def shaped(token: Column, names: str) -> Column:
     """A token as a template has it, with the words behind the marks ``names`` as placeholders."""
     head = F.substring(token, 1, 1)
     # all words without a mark are beyond "a", all else before it
-    held = F.when(token >= "a", token)
+    held = F.when(_bare(token).isin(*NUMBER_WORDS), NUMBER).when(token >= "a", token)
     if names:
         held = held.when(head.isin(*names), NAME)
     return held.when(head.isin(NAME, START, FREE), F.substr(token, F.lit(2))).when(head == UNIT, UNIT).when(token == "%", token).otherwise(NUMBER)
@@ -91,23 +106,24 @@ def _reading(names: str):
     return lambda t: shaped(t, names)
 
 
-def _hashed(names: str):
-    return lambda t: F.xxhash64(shaped(t, names))
-
-
-def _windows(h: Column, starts: Column, n: int) -> Column:
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+#: What counts as a name in four readings of an item; a document has those without FREE.
+THEIRS = (NAME, NAME + FREE, NAME + FREE + START, "")
 
 
-#: What counts as a name: in three readings of a document, in four of an item.
-OURS = (NAME, NAME + START, "")
-THEIRS = (NAME, NAME + FREE, NAME + FREE + START, "")
+def templates(tokens: Column) -> list[Column]:
+    """A document's tokens as text in three readings, each token followed by a space: no names, names, all capitalised words as names."""
+    held = F.concat(F.array_join(tokens, " "), F.lit(" "))
+    held = F.when(F.rlike(held, F.lit("[0-9]")), F.regexp_replace(F.regexp_replace(held, f"{UNIT}[^ ]+", UNIT), "(?<![^ ])[0-9][^ ]*", NUMBER)).otherwise(held)
+    held = F.regexp_replace(held, f"(?<![^ ])[{NAME}{START}]?{_FEW}(?= )", NUMBER)
+    names = F.regexp_replace(held, f"{NAME}[^ ]+", NAME)
+    capitals = F.regexp_replace(held, f"[{NAME}{START}][^ ]+", NAME)
+    return [F.translate(held, NAME + START, ""), F.translate(names, START, ""), capitals]
 
 
-def window_hashes(hashes: list[Column], lengths: list[int], starts: Column) -> Column:
-    """Hashes of the windows of each reading, by length and place; what lies beyond the end doesn't count."""
-    # the hashes are bound by the outer function; a plain reference would be evaluated anew for every window
-    return F.flatten(F.transform(F.array(*hashes), lambda h: F.concat(*[_windows(h, starts, n) for n in lengths])))
+def windows(text: Column, n: int, named: bool) -> Column:
+    """For each token the window of ``n`` that starts there, or an empty text: at the end, and where a window ``named`` is asked for and has no name."""
+    has = f"(?=(?:[^ ]+ ){{0,{n - 1}}}{NAME})" if named else ""
+    return F.regexp_extract_all(text, F.lit(f"(?={has}((?:[^ ]+ ){{{n}}})|)[^ ]+ "), F.lit(1))
 
 
 def _is_slot(token: Column) -> Column:
@@ -119,62 +135,67 @@ def _literals(shape: Column) -> Column:
 
 
 def item_tokens(benchmark: DataFrame) -> DataFrame:
-    """(item_id, raw): tokens of each item, with names that start a sentence told from ordinary words."""
-    held = materialise(benchmark.select("item_id", values(marked(F.col("text"))).alias("tokens"), F.monotonically_increasing_id().alias("row")).where(F.size("tokens") > 0))
-    each = held.select("row", F.explode("tokens").alias("token"))
+    """(item_id, form, raw): tokens of each item, with names that start a sentence told from ordinary words."""
+    held = materialise(benchmark.select("item_id", marked(F.col("text")).alias("mark"), F.monotonically_increasing_id().alias("row")).select("item_id", "row", values(F.col("mark")).alias("plain"), forms(F.col("mark")).alias("forms")).where(F.size("plain") > 0))
+    each = held.select("row", F.explode("plain").alias("token"))
     words = each.where(F.col("token") >= "a").select(F.col("token").alias("word")).distinct()
     starts = each.where(F.startswith("token", F.lit(START))).select("row", F.substr("token", F.lit(2)).alias("word")).distinct()
     ordinary = starts.join(words, "word", "left_semi").groupBy("row").agg(F.collect_set("word").alias("known"))
     held = held.join(ordinary, "row", "left").withColumn("known", F.array_union(F.coalesce("known", F.array().cast("array<string>")), F.array(*[F.lit(w) for w in STARTERS])))
-    named = lambda t: F.array_contains("tokens", F.concat(F.lit(NAME), F.substr(t, F.lit(2))))
+    named = lambda t: F.array_contains("plain", F.concat(F.lit(NAME), F.substr(t, F.lit(2))))
     free = lambda t: F.startswith(t, F.lit(START)) & (named(t) | ~F.array_contains("known", F.substr(t, F.lit(2))))
-    return held.select("item_id", F.transform("tokens", lambda t: F.when(free(t), F.concat(F.lit(FREE), F.substr(t, F.lit(2)))).otherwise(t)).alias("raw"))
+    held = held.withColumn("each", F.explode("forms"))
+    return held.select("item_id", "each.form", F.transform("each.tokens", lambda t: F.when(free(t), F.concat(F.lit(FREE), F.substr(t, F.lit(2)))).otherwise(t)).alias("raw"))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(hash, item_id, at, shape, filled, units, n_windows): distinct windows of each item with their values.
+    """(key, item_id, item_form, at, shape, filled, units, n_windows): distinct windows of each item with their values.
 
     A unit is the first place of a window as words; ``units`` are those that a window stands for."""
     held = materialise(item_tokens(benchmark))
     places = F.explode(F.sequence(F.lit(0), F.greatest(F.size("raw") - window, F.lit(0)))).alias("at")
-    each = held.select("item_id", "raw", places).select("item_id", "at", F.slice("raw", F.col("at") + 1, window).alias("filled"))
+    each = held.select("item_id", "form", "raw", places).select("item_id", "form", "at", F.slice("raw", F.col("at") + 1, window).alias("filled"))
     shapes = [F.transform("filled", _reading(n)) for n in THEIRS]
     each = each.withColumns({"strict": _literals(shapes[1]) >= LITERALS, "words": shapes[3]})
-    own = Window.partitionBy("item_id")
+    own = Window.partitionBy("item_id", "form")
     # an item of little but names takes part by its words
-    each = each.withColumns({"any": F.max("strict").over(own), "unit": F.min("at").over(Window.partitionBy("item_id", "words"))})
-    each = each.select("item_id", "at", "unit", "filled", "strict", "any", F.explode(F.array_distinct(F.array(*shapes))).alias("shape")).where(F.col("strict") | (~F.col("any") & (_literals(F.col("shape")) >= LITERALS)))
-    first = each.groupBy("item_id", "shape").agg(F.min(F.struct("at", "filled")).alias("x"), F.collect_set("unit").alias("units"))
-    hashes = window_hashes([F.transform("shape", lambda t: F.xxhash64(t))], [window], F.array(F.lit(0)))
-    return first.select("item_id", F.get(hashes, 0).alias("hash"), "shape", F.col("x.at").alias("at"), F.col("x.filled").alias("filled"), "units", F.size(F.array_distinct(F.flatten(F.collect_list("units").over(own)))).alias("n_windows"))
+    each = each.withColumns({"any": F.max("strict").over(own), "unit": F.min("at").over(Window.partitionBy("item_id", "form", "words"))})
+    each = each.select("item_id", "form", "at", "unit", "filled", "strict", "any", F.explode(F.array_distinct(F.array(*shapes))).alias("shape")).where(F.col("strict") | (~F.col("any") & (_literals(F.col("shape")) >= LITERALS)))
+    first = each.groupBy("item_id", "form", "shape").agg(F.min(F.struct("at", "filled")).alias("x"), F.collect_set("unit").alias("units"))
+    key = F.concat(F.array_join("shape", " "), F.lit(" ")).alias("key")
+    return first.select("item_id", F.col("form").alias("item_form"), key, "shape", F.col("x.at").alias("at"), F.col("x.filled").alias("filled"), "units", F.size(F.array_distinct(F.flatten(F.collect_list("units").over(own)))).alias("n_windows"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.5) -> DataFrame:
     """(doc_id, mark, item_id, found, n_windows) of each document and the items that contaminate it."""
     items = materialise(item_windows(benchmark, window))
     lengths = sorted(r["n"] for r in items.select(F.size("shape").alias("n")).distinct().collect()) or [window]
-    if items.count() <= BROADCAST_WINDOWS:
+    held = items.agg(F.sum(F.octet_length("key") + F.octet_length(F.array_join("filled", " ")) + 8 * F.size("units") + 24 * F.size("shape") + 100)).first()[0]
+    if (held or 0) <= BROADCAST_BYTES:
         items = F.broadcast(items)
     texts = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("row_mark"), marked(F.col("text")).alias("mark"))
-    # no filter on the tokens, and an outer explode: the optimiser would evaluate all expressions below once more for either
-    cut = texts.withColumn("tokens", values(F.col("mark")))
-    size = F.size("tokens")
-    hashes = window_hashes([F.transform("tokens", _hashed(n)) for n in OURS], lengths, F.sequence(F.lit(0), size - 1))
-    each = cut.select("doc_id", "row_mark", "tokens", F.posexplode_outer(F.when(size > 0, hashes)).alias("nth", "doc_hash"))
-    hits = each.join(items, F.col("doc_hash") == F.col("hash"))
-    place, reading = F.col("nth") % size, F.floor(F.col("nth") / (size * len(lengths)))
-    hits = hits.select("doc_id", "row_mark", "item_id", "n_windows", "at", "units", "shape", "filled", place.alias("place"), reading.alias("reading"), F.slice("tokens", place + 1, F.size("shape")).alias("ours"))
-    read = F.when(F.col("reading") == 0, F.transform("ours", _reading(OURS[0]))).when(F.col("reading") == 1, F.transform("ours", _reading(OURS[1]))).otherwise(F.transform("ours", _reading(OURS[2])))
+    cut = texts.select("doc_id", "row_mark", F.explode_outer(forms(F.col("mark"))).alias("x")).select("doc_id", "row_mark", F.col("x.form").alias("doc_form"), F.col("x.tokens").alias("all"))
+    cut = cut.select("doc_id", "row_mark", "doc_form", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(STRETCH))).alias("from"))
+    cut = cut.select("doc_id", "row_mark", "doc_form", "from", F.slice("all", F.col("from") + 1, STRETCH + max(lengths) - 1).alias("tokens"))
+    size, readings = F.size("tokens"), templates(F.col("tokens"))
+    found = F.concat(*[windows(text, n, k > 0) for k, text in enumerate(readings) for n in lengths])
+    # an outer explode: for an inner one the optimiser would evaluate all expressions below once more in a filter
+    each = cut.select("doc_id", "row_mark", "doc_form", "from", "tokens", F.posexplode_outer(F.when(size > 0, found)).alias("nth", "window")).where("window <> ''")
+    hits = each.join(items, F.col("window") == F.col("key"))
+    place = F.col("nth") % size
+    hits = hits.select("doc_id", "row_mark", "doc_form", "item_id", "item_form", "n_windows", "at", "units", "shape", "filled", (F.col("from") + place).alias("place"), F.slice("tokens", place + 1, F.size("shape")).alias("ours"))
     pairs = F.zip_with(F.arrays_zip("shape", "filled"), F.col("ours"), lambda a, b: F.struct(a["shape"].alias("kind"), F.substring(a["filled"], 1, 1).alias("head"), _bare(a["filled"]).alias("theirs"), _bare(b).alias("ours")))
-    hits = hits.where(read == F.col("shape")).withColumn("pairs", F.filter(pairs, lambda p: _is_slot(p["kind"])))
+    hits = hits.withColumn("pairs", F.filter(pairs, lambda p: _is_slot(p["kind"])))
     # ordinary words stand for themselves
     hits = hits.where(F.forall("pairs", lambda p: (p["head"] != START) | (p["theirs"] == p["ours"])))
-    hits = hits.select("doc_id", "row_mark", "item_id", "n_windows", "units", (F.col("place") - F.col("at")).alias("shift"), F.forall("pairs", lambda p: p["theirs"] == p["ours"]).alias("same"), F.transform("pairs", lambda p: F.struct(p["kind"].alias("kind"), p["theirs"].alias("theirs"), p["ours"].alias("ours"))).alias("pairs"))
-    aligned = hits.groupBy("doc_id", "row_mark", "item_id", "shift").agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("same"), F.col("units"))))).alias("plain"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("same"), F.col("units"))))).alias("slotted"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    both = ["doc_id", "row_mark", "doc_form", "item_id", "item_form"]
+    hits = hits.select(*both, "n_windows", "units", (F.col("place") - F.col("at")).alias("shift"), F.forall("pairs", lambda p: p["theirs"] == p["ours"]).alias("same"), F.transform("pairs", lambda p: F.struct(p["kind"].alias("kind"), p["theirs"].alias("theirs"), p["ours"].alias("ours"))).alias("pairs"))
+    aligned = hits.groupBy(*both, "shift").agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("same"), F.col("units"))))).alias("plain"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("same"), F.col("units"))))).alias("slotted"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"])))) == F.size("pairs")
-    counted = aligned.select("doc_id", "row_mark", "item_id", "n_windows", F.when(consistent, F.array_union("plain", "slotted")).otherwise(F.col("plain")).alias("units"))
-    found = counted.groupBy("doc_id", "row_mark", "item_id").agg(F.first("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("units")))).alias("found"))
-    return found.where(F.col("found") >= coverage * F.col("n_windows"))
+    counted = aligned.select(*both, "n_windows", F.when(consistent, F.array_union("plain", "slotted")).otherwise(F.col("plain")).alias("units"))
+    found = counted.groupBy(*both).agg(F.first("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("units")))).alias("found"))
+    best = found.where(F.col("found") >= coverage * F.col("n_windows")).groupBy("doc_id", "row_mark", "item_id").agg(F.max(F.struct(F.col("found") / F.col("n_windows"), "found", "n_windows")).alias("x"))
+    return best.select("doc_id", "row_mark", "item_id", "x.n_windows", "x.found")
 
 
 def _matches():

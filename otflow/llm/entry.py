@@ -11,6 +11,8 @@ from . import decontamination, language_id, lm_scoring, minhash_dedup, mixing, s
 from .common import table
 
 URL_ALLOW = ["example.com/en/7", "net/de/"]
+#: Token budget of the mixture, in times all tokens.
+MIXED = 1.25
 URL_BLOCK = ["com/en/", "example.net/de/8", "org/es/"]
 
 
@@ -43,8 +45,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), repetition_limit=2.0)
-    return mixed.select("doc_id", "source", "n_tokens", "copies", F.round("weight", 9).alias("weight"))
+    mixed = mixing.block_permutations(table(spark, sf_dir, "documents"), repetition_limit=2.0, budget_share=MIXED)
+    return mixed.withColumn("weight", F.round("weight", 9))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

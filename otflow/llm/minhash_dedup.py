@@ -3,8 +3,9 @@
 A document is the set of its distinct ``shingle``-word shingles (lower-cased);
 documents are linked where 100 * intersection >= 80 * union.
 
-1. Sets get a fingerprint and a signature of 64 minhashes of 16 bits. Equal sets
-   are one class from here on.
+1. A shingle is a fingerprint modulo 2**61 - 1 of its words' fingerprints, with
+   bases drawn for each query. Sets get a fingerprint and a signature of 64
+   minhashes of 16 bits. Equal sets are one class from here on.
 2. Signatures are split into 16 chunks of 4. Two signatures that differ in at
    most 31 places have, by the pigeonhole principle, a chunk with at most one
    difference; every chunk is a key in 4 ways, one place left out each time.
@@ -39,12 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sketch
-from .common import BASES, BYTE_VALUES, RangeHash, ascii_lower, materialise, mix, slices, word_bounds
+from .common import BASES, Fingerprint, ascii_lower, fresh_bases, materialise, mix, slices, word_bounds
 from .graph import components
 
 PLACES, CHUNKS = 64, 16
 REACH = 2 * CHUNKS - 1
-#: Node numbers of rows without doc_id start here; real ids lie below.
+#: Node numbers of rows without doc_id start here, or behind the largest doc_id.
 NAMELESS = 1 << 62
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 63, PLACES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -53,15 +54,17 @@ SIGNED = "doc_id long, node long, n_shingles long, f1 long, f2 long, sig binary"
 
 
 class Shingles:
-    def __init__(self, size: int):
+    """Shingles of ``size`` words; ``bases``: of the fingerprints of bytes and of words."""
+
+    def __init__(self, size: int, bases: list[int]):
         self.size = size
-        self.bytes_, self.words = RangeHash(BASES[0]), RangeHash(BASES[1])
+        self.bytes_, self.words = (Fingerprint(b) for b in bases)
 
     def of(self, data: np.ndarray, offsets: np.ndarray):
         """(text index, hash) of the distinct shingles of each text, in text order."""
         data = ascii_lower(data)
         starts, ends, first = word_bounds(data, offsets)
-        words = self.bytes_.of(self.bytes_.prefix(BYTE_VALUES[0][data]), starts, ends)
+        words = self.bytes_.of(self.bytes_.prefix(data), starts, ends)
         prefix = self.words.prefix(words)
         counts = np.diff(first)
         sizes = np.where(counts >= self.size, counts - self.size + 1, np.minimum(counts, 1))
@@ -84,9 +87,14 @@ def signatures(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signer(size: int):
+def nameless_node(f1: np.ndarray, first: int) -> np.ndarray:
+    """A node from ``first`` on for a row without doc_id, from its set."""
+    return (np.uint64(first) + f1.view(np.uint64) % np.uint64((1 << 63) - first)).view(np.int64)
+
+
+def _signer(size: int, bases: list[int], nameless_from: int):
     def run(batches):
-        kernel = Shingles(size)
+        kernel = Shingles(size, bases)
         for batch in batches:
             ids = batch.column(0)
             nameless = np.array(ids.is_null())
@@ -101,7 +109,7 @@ def _signer(size: int):
                     f1[has] = np.add.reduceat(mix(hashes ^ np.uint64(BASES[0])), heads).view(np.int64)
                     f2[has] = np.add.reduceat(mix(hashes ^ np.uint64(BASES[1])), heads).view(np.int64)
                     sig[has] = signatures(hashes, heads)
-                node = np.where(nameless[top:end], NAMELESS + (f1 & (NAMELESS - 1)), known[top:end])
+                node = np.where(nameless[top:end], nameless_node(f1, nameless_from), known[top:end])
                 raw = sig.astype("<u2").tobytes()
                 width = 2 * PLACES
                 yield pa.RecordBatch.from_arrays(
@@ -258,11 +266,11 @@ def _near_groups(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
-def _confirm(size: int, percent: int):
+def _confirm(size: int, percent: int, bases: list[int]):
     """Confirmed links of each unit of a cluster, as a spanning forest."""
 
     def run(batches):
-        kernel = Shingles(size)
+        kernel = Shingles(size, bases)
         for table, heads, n in _units(batches, ["cluster", "lo", "hi", "block", "node", "sig", "text"]):
             ends = np.concatenate([heads[1:], [n]])
             for a, b in zip(heads, ends, strict=True):
@@ -317,7 +325,14 @@ def link_documents(docs: DataFrame, shingle: int = 4, percent: int = 80, block:
     if percent < 80:
         raise ValueError("the signature distance is set for similarities of 0.8 or more")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(slim.mapInArrow(_signer(shingle), SIGNED))
+    bases, top = fresh_bases(2), slim.agg(F.max("doc_id")).first()[0]
+    nameless_from = max(NAMELESS, (top or 0) + 1)
+    if nameless_from > (1 << 63) - (1 << 40):
+        # too few numbers are left for rows without doc_id
+        if not slim.where("doc_id is null").limit(1).isEmpty():
+            raise ValueError("doc_id reaches the end of its range, and there are rows without one")
+        nameless_from = (1 << 63) - 1
+    signed = materialise(slim.mapInArrow(_signer(shingle, bases, nameless_from), SIGNED))
     filled = signed.where("n_shingles > 0")
     classes = materialise(filled.groupBy("f1", "f2").agg(F.min("node").alias("node"), F.first("sig").alias("sig")))
     same = filled.join(classes.select("f1", "f2", F.col("node").alias("rep")), ["f1", "f2"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -330,11 +345,12 @@ def link_documents(docs: DataFrame, shingle: int = 4, percent: int = 80, block:
     members = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     members = members.join(classes.select("node", "sig", "f1", "f2"), "node").select(F.col("component").alias("cluster"), "node", "sig", "f1", "f2")
     # one row speaks for each class: the one with the class's node; its text is looked up by doc_id and set
-    texts = _texts_of(docs, members, shingle)
-    links = in_blocks(texts, "cluster", block).select("cluster", "lo", "hi", "block", "node", "sig", "text").repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_confirm(shingle, percent), "a long, b long")
+    texts = _texts_of(docs, members, shingle, bases, nameless_from)
+    links = in_blocks(texts, "cluster", block).select("cluster", "lo", "hi", "block", "node", "sig", "text").repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_confirm(shingle, percent, bases), "a long, b long")
     linked = components(links.unionByName(same))
     out = signed.join(linked, "node", "left").withColumn("least", F.coalesce("component", "node"))
-    own = F.when(F.col("least") < NAMELESS, F.col("least"))
+    named = F.col("least") <= F.lit(top if top is not None else -(1 << 63))
+    own = F.when(named, F.col("least"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"), "node")
 
 
@@ -350,14 +366,14 @@ def _wanted(bits: int):
     return run
 
 
-def _texts_of(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+def _texts_of(docs: DataFrame, members: DataFrame, shingle: int, bases: list[int], nameless_from: int) -> DataFrame:
     """Members with the text of one row each. A sketch of the members' nodes keeps other texts out of the exchange."""
     members = materialise(members)
     bits = sketch.bits_for(members.count())
     whole = sketch.merged(members.select("node").mapInArrow(_wanted(bits), sketch.SCHEMA), bits)
 
     def wanted(batches):
-        kernel = Shingles(shingle)
+        kernel = Shingles(shingle, bases)
         for batch in batches:
             ids = batch.column(0)
             named = np.array(ids.is_valid())
@@ -374,7 +390,7 @@ def _texts_of(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
                     sums[np.unique(text)] = np.add.reduceat(mix(hashes ^ np.uint64(BASES[0])), heads)
                 f1.append(sums.view(np.int64))
             f1 = np.concatenate(f1)
-            node = np.where(np.array(ids.is_null()), NAMELESS + (f1 & (NAMELESS - 1)), ids.fill_null(0).to_numpy())
+            node = np.where(np.array(ids.is_null()), nameless_node(f1, nameless_from), ids.fill_null(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(f1), batch.column(1)], names=["node", "f1", "text"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(wanted, "node long, f1 long, text string")
@@ -388,7 +404,10 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without all but one document of each component. Of rows that share a doc_id the one whose text has the
     smallest hash stays; rows without doc_id can't be named by a result and stay."""
-    linked = link_documents(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(linked, F.col("doc_id") == F.col("_id"), "left_semi")
+    linked = link_documents(docs.select("doc_id", "text"), **how).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(linked, "doc_id", "left_semi").select(*docs.columns)
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return named.withColumn("_turn", turn).where("_turn = 1").drop("_turn").unionByName(docs.where("doc_id is null"))
+    name = "_turn"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return named.withColumn(name, turn).where(F.col(name) == 1).drop(name).unionByName(docs.where("doc_id is null"))

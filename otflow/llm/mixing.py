@@ -6,11 +6,14 @@ mixture reaches a target entropy, or the smallest (flattest) at which no source
 is passed over more than a repetition limit. The weights are then realised
 under a token budget: each source is a sequence of random permutations of its
 documents (blocks), taken whole as often as the budget allows and cut in the
-last one where the budget ends.
+last one where the budget ends. :func:`block_permutations` gives the sequence
+itself, one row for each time that a document is taken, with its block and its
+position there; :func:`mix` gives the documents with how often they are taken.
 
-Only per-source totals (one row a source, at most ``MAX_SOURCES``) reach the
-driver. The cut in the last block is found from token sums of small random
-buckets, so a source with a third of all rows never lies in one task.
+Tokens are counted once and written. Only per-source totals (one row a source, at
+most ``MAX_SOURCES``) reach the driver. A block is ordered in random buckets of
+about ``bucket_rows`` rows, so a source with a third of all rows never lies in one
+task; the buckets' sums, a thousandth of the rows, give where each starts.
 
 Nulls and oddities: a null source is a source of its own; null or empty texts
 have no tokens, pass with their source's whole blocks and cost no budget; all
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialise
+
 MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,41 +79,91 @@ def bisect_exponent(tokens: dict, target_entropy: float | None = None, repetitio
     return high
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, seed: int = 11, bucket_rows: int = 2_000) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``weight`` and ``copies``: in how many blocks the document is taken.
+class Plan:
+    """What the totals decide: ``held`` (doc_id, source, n_tokens, draw of every row, written) and ``sources``, one broadcast row each."""
+
+    def __init__(self, docs: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget: float | None, budget_share: float | None, seed: int, bucket_rows: int):
+        self.held = materialise(docs.select("doc_id", "source", counted(F.col("text")).alias("n_tokens"), _draw(seed).alias("draw")))
+        totals = self.held.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
+        if len(totals) > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources")
+        tokens = {r["source"]: r["tokens"] for r in totals}
+        if budget_share is not None:
+            budget = budget_share * sum(tokens.values())
+        self.alpha = bisect_exponent(tokens, target_entropy, repetition_limit, budget)
+        weights = shares(tokens, self.alpha)
+        times = passes(tokens, weights, budget)
+        rows = []
+        for i, r in enumerate(sorted(totals, key=lambda r: (r["source"] is not None, r["source"]))):
+            n = float(times.get(r["source"], 1.0))
+            whole = math.floor(n + 1e-9)
+            rows.append((i, r["source"], weights[r["source"]], whole, (n - whole) * r["tokens"], max(1, -(-r["rows"] // bucket_rows))))
+        self.sources = F.broadcast(docs.sparkSession.createDataFrame(rows, "_number int, _source string, weight double, _whole int, _cut double, _buckets long"))
+
+    def with_sources(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+    def starts(self, copies: DataFrame) -> DataFrame:
+        """Where each bucket of a block starts, in rows and tokens; written."""
+        sums = copies.groupBy("_number", "block", "_bucket").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n_tokens").alias("_tokens"))
+        before = Window.partitionBy("_number", "block").orderBy("_bucket")
+        return materialise(sums.select("_number", "block", "_bucket", (F.sum("_rows").over(before) - F.col("_rows")).alias("_first"), (F.sum("_tokens").over(before) - F.col("_tokens")).alias("_before"), "_tokens"))
+
+
+def counted(text):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _draw(seed: int):
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _place(draw: str, block):
+    """A document's place in a block's permutation: its bucket, and the order there."""
+    turn = F.xxhash64(draw, block)
+    return F.pmod(turn, F.col("_buckets")), turn
+
+
+def block_permutations(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, budget_share: float | None = None, seed: int = 11, bucket_rows: int = 2_000) -> DataFrame:
+    """doc_id, source, n_tokens, weight, block and position: one row for each time that a document is taken.
+
+    The budget is in tokens, or as a share of all tokens; without one it is the smallest at which each source is passed
+    once. A block's positions are 0, 1, 2, ...; a source's last block ends before the document that would exceed its budget."""
+    plan = Plan(docs, target_entropy, repetition_limit, budget, budget_share, seed, bucket_rows)
+    last = F.col("_whole") - F.when(F.col("_cut") > 0, 0).otherwise(1)
+    copies = plan.with_sources(plan.held).where(last >= 0).withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    bucket, turn = _place("draw", F.col("block"))
+    copies = copies.withColumns({"_bucket": bucket, "_turn": turn})
+    inside = Window.partitionBy("_number", "block", "_bucket").orderBy("_turn", "doc_id")
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = copies.withColumns({"_at": F.row_number().over(inside), "_used": F.sum("n_tokens").over(running)})
+    # the buckets' starts have the rows' partitioning already
+    placed = placed.join(plan.starts(copies).drop("_tokens"), ["_number", "block", "_bucket"])
+    taken = placed.where((F.col("block") < F.col("_whole")) | (F.col("_before") + F.col("_used") <= F.col("_cut")))
+    return taken.select("doc_id", "source", "n_tokens", "weight", "block", (F.col("_first") + F.col("_at") - 1).alias("position"))
+
+
+def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, budget_share: float | None = None, seed: int = 11, bucket_rows: int = 2_000) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``weight`` and ``copies``: in how many blocks of :func:`block_permutations` the document is taken.
 
     Documents taken in no block (only with a budget below the one of ``passes``)
     are left out. Expand with ``explode(sequence(1, copies))`` for one row a copy."""
-    own = ("n_tokens", "weight", "copies", "_draw", "_bucket", "_passes", "_whole", "_before", "_cut", "_n")
-    base = docs.drop(*[c for c in docs.columns if c.lower() in own]).withColumns({"n_tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_draw": F.xxhash64(F.lit(seed), "doc_id", "text")})
-    slim = base.select("source", "n_tokens", "_draw")
-    totals = slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    tokens = {r["source"]: r["tokens"] for r in totals}
-    alpha = bisect_exponent(tokens, target_entropy, repetition_limit, budget)
-    weights = shares(tokens, alpha)
-    times = passes(tokens, weights, budget)
-    plan = docs.sparkSession.createDataFrame(
-        [(r["source"], weights[r["source"]], float(times.get(r["source"], 1.0)), max(1, -(-r["rows"] // bucket_rows)), int(r["tokens"])) for r in totals], "source string, weight double, _passes double, _buckets long, _tokens long"
-    )  # one row a source, at most MAX_SOURCES
-    plan = F.broadcast(plan.withColumns({"_whole": F.floor(F.col("_passes") + 1e-9), "_cut": (F.col("_passes") - F.floor(F.col("_passes") + 1e-9)) * F.col("_tokens")}))
-    bucket = F.pmod(F.col("_draw"), F.col("_buckets"))
-    # token sums of (source, bucket) in the order of the last block
-    sums = slim.join(plan, slim["source"].eqNullSafe(plan["source"])).select(slim["source"], bucket.alias("_bucket"), "n_tokens").groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_n"))
-    before = sums.select("source", "_bucket", (F.sum("_n").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_n")).alias("_before"), "_n")
-    held = base.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_bucket", bucket).drop("_source")
+    plan = Plan(docs, target_entropy, repetition_limit, budget, budget_share, seed, bucket_rows)
+    own = ("n_tokens", "weight", "copies", "_draw", "_number", "_source", "_whole", "_cut", "_buckets", "_bucket", "_turn", "_edge", "_before", "_of")
+    base = docs.drop(*[c for c in docs.columns if c.lower() in own])
+    bucket, turn = _place("draw", F.col("_whole"))
+    partial = plan.with_sources(plan.held).where("_cut > 0").withColumn("block", F.col("_whole")).withColumn("_bucket", bucket)
     # only the bucket that holds the cut is ordered row by row; no other needs more than its sums
-    edge = before.join(plan, before["source"].eqNullSafe(plan["source"])).where("_before < _cut and _before + _n >= _cut").select(before["source"].alias("_source"), before["_bucket"].alias("_edge"), "_before")
-    edge = F.broadcast(edge.limit(MAX_SOURCES))  # at most one row a source
-    held = held.join(edge, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return _cut_blocks(held)
-
-
-def _cut_blocks(held: DataFrame) -> DataFrame:
-    at_edge = F.col("_bucket") == F.col("_edge")
-    columns = [c for c in held.columns if c not in ("_draw", "_bucket", "_buckets", "_passes", "_tokens", "_whole", "_cut", "_source", "_edge", "_before")]
-    running = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("_draw", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = plan.starts(partial).join(plan.sources.select("_number", "_cut"), "_number").where("_before <= _cut and _before + _tokens > _cut")
+    edge = edge.groupBy(F.col("_number").alias("_of")).agg(F.min("_bucket").alias("_edge"), F.min("_before").alias("_before"))  # at most one row a source
+    held = plan.with_sources(base.withColumns({"n_tokens": counted(F.col("text")), "_draw": _draw(seed)}))
+    bucket, turn = _place("_draw", F.col("_whole"))
+    held = held.withColumns({"_bucket": bucket, "_turn": turn}).join(F.broadcast(edge), F.col("_number") == F.col("_of"), "left")
+    columns = [c for c in held.columns if not c.startswith("_") or c in base.columns]
+    at_edge = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
+    running = F.sum("n_tokens").over(Window.partitionBy("_number").orderBy("_turn", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     taken = held.where(at_edge).withColumn("copies", F.col("_whole") + F.when(F.col("_before") + running <= F.col("_cut"), 1).otherwise(0))
-    outer = held.where(~F.coalesce(at_edge, F.lit(False))).withColumn("copies", F.col("_whole") + F.when(F.col("_bucket") < F.col("_edge"), 1).otherwise(0))
+    # without an edge the cut lies behind all buckets, or there is none
+    more = F.when(F.col("_cut") <= 0, False).when(F.col("_edge").isNull(), True).otherwise(F.col("_bucket") < F.col("_edge"))
+    outer = held.where(~at_edge).withColumn("copies", F.col("_whole") + F.when(more, 1).otherwise(0))
     return taken.unionByName(outer).where("copies > 0").select(*columns, F.col("copies").cast("int").alias("copies"))

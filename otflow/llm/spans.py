@@ -52,10 +52,15 @@ def runs(doc: np.ndarray, mark: np.ndarray, lo: np.ndarray, hi: np.ndarray):
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with ``spans``: the list of [lo, hi) of each document, null for none. A list is bounded by its document's length."""
-    lists = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    own = docs.drop(*[c for c in docs.columns if c.lower() in ("_doc", "_mark", "spans")]).withColumns({"_doc": F.coalesce("doc_id", F.lit(LAST)).cast("long"), "_mark": F.hash(F.coalesce("text", F.lit("")))})
-    return own.join(lists, (F.col("_doc") == F.col("doc")) & (F.col("_mark") == F.col("mark")), "left").drop("_doc", "_mark", "doc", "mark")
+    """``docs`` with ``spans``: the list of [lo, hi) of each document, null for none. A list is bounded by its document's length.
+
+    The keys have names that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: name if name not in taken else free(f"{name}_")
+    ours, theirs = (free("_doc"), free("_mark")), (free("_found_doc"), free("_found_mark"))
+    lists = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed(dict(zip(("doc", "mark"), theirs, strict=True)))
+    own = docs.drop(*[c for c in docs.columns if c.lower() == "spans"]).withColumns({ours[0]: F.coalesce("doc_id", F.lit(LAST)).cast("long"), ours[1]: F.hash(F.coalesce("text", F.lit("")))})
+    return own.join(lists, (F.col(ours[0]) == F.col(theirs[0])) & (F.col(ours[1]) == F.col(theirs[1])), "left").drop(*ours, *theirs)
 
 
 def span_lists(column: pa.Array):

@@ -10,8 +10,9 @@ same document. Two passes over the texts:
    words with the smallest hash. Equal windows have equal anchors, so no anchor's
    count is below the window's, and neighbouring windows share them. The
    estimate of a window is the least of its anchors'.
-2. Windows estimated to occur twice or more are grouped exactly, by 96 bits of
-   hash; all others are unique and are never shuffled. A partition sends a
+2. Windows estimated to occur twice or more are grouped exactly, by 93 bits of
+   fingerprints of their words' fingerprints, whose bases are drawn for each query;
+   all others are unique and are never shuffled. A partition sends a
    window once, with its earliest place in the partition; later places there
    are settled at once. So no group exceeds the number of partitions, however
    common a passage is.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sketch
-from .common import BASES, BYTE_VALUES, RangeHash, mix, slices, word_bounds
+from .common import BASES, BYTE_VALUES, Fingerprint, RangeHash, fresh_bases, mix, only, slices, word_bounds
 from .spans import covered, keyed, pack, runs, span_lists, text_bytes, unpacked, with_spans
 
 _POSITION = np.uint64((1 << 30) - 1)
@@ -51,11 +52,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class WordWindows:
-    """Windows of a piece of texts: first word of each, and the anchors of its stretches."""
+    """Windows of a piece of texts: first word of each, and the anchors of its stretches. ``bases``: of fingerprints of bytes and words, twice."""
 
-    def __init__(self, window: int, reach: int, gram: int):
+    def __init__(self, window: int, reach: int, gram: int, bases: list[int] | None = None):
         self.window, self.reach, self.gram = window, reach, gram
-        self.bytes_, self.one, self.two = RangeHash(BASES[0]), RangeHash(BASES[0]), RangeHash(BASES[1])
+        self.bytes_, self.words = RangeHash(BASES[0]), RangeHash(BASES[0])
+        self.prints = [(Fingerprint(a), Fingerprint(b)) for a, b in zip(bases[::2], bases[1::2], strict=True)] if bases else []
 
     def of(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, first = word_bounds(data, offsets)
@@ -67,9 +69,9 @@ class WordWindows:
         at = np.flatnonzero(text[self.window - 1 :] == text[: n - self.window + 1])
         if not len(at):
             return None
-        one = self.one.prefix(words)
+        prefix = self.words.prefix(words)
         i = np.arange(n - self.gram + 1)
-        grams = self.one.of(one, i, i + self.gram)
+        grams = self.words.of(prefix, i, i + self.gram)
         packed = (grams & ~_POSITION) | i.astype(np.uint64)
         anchor = (sliding_min(packed, self.reach - self.gram + 1) & _POSITION).astype(np.int64)
         # a stretch across two texts belongs to no window
@@ -78,15 +80,28 @@ class WordWindows:
         fresh = np.concatenate([[True], own[1:] != own[:-1]])
         number = np.zeros(len(anchor), np.int64)
         number[inside] = np.cumsum(fresh) - 1
-        return {"at": at, "text": text, "first": first, "words": words, "one": one, "anchors": grams[own[fresh]], "number": number}
+        return {"at": at, "text": text, "first": first, "starts": starts, "ends": ends, "anchors": grams[own[fresh]], "number": number}
 
     def repeated(self, w: dict, anchors: np.ndarray) -> np.ndarray:
         """First words of the windows all of whose anchors are marked."""
         odd = np.concatenate([[0], np.cumsum(~anchors[w["number"]])])
         return w["at"][odd[w["at"] + self.window - self.reach + 1] == odd[w["at"]]]
 
-    def hashes(self, w: dict, at: np.ndarray):
-        return self.one.of(w["one"], at, at + self.window), self.two.of(self.two.prefix(w["words"]), at, at + self.window)
+    def hashes(self, w: dict, data: np.ndarray, offsets: np.ndarray, at: np.ndarray):
+        """Two fingerprints of the windows that start at some words, from the texts that hold these."""
+        texts = np.unique(w["text"][at])
+        data, moved = only(data, offsets, texts)
+        chosen = np.zeros(len(offsets) - 1, bool)
+        chosen[texts] = True
+        words = np.flatnonzero(chosen[w["text"]])
+        shift = moved[w["text"][words]]
+        number = np.zeros(len(w["text"]), np.int64)
+        number[words] = np.arange(len(words))
+        at, out = number[at], []
+        for bytes_, words_ in self.prints:
+            each = bytes_.of(bytes_.prefix(data), w["starts"][words] + shift, w["ends"][words] + shift)
+            out.append(words_.of(words_.prefix(each), at, at + self.window))
+        return out
 
 
 def _sketcher(bits: int, shape: tuple):
@@ -107,7 +122,7 @@ def _settle(found: list, window: int):
     """Of a partition's candidate places: the earliest of each window to be sent on in text order, the rest as joined
     spans, which have a first hash of their own and their end for the second."""
     doc, mark, start, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
-    two = two & ~np.uint64(0xFFFFFFFF)  # 32 of its bits are sent
+    two = (two & np.uint64(0xFFFFFFFF)) << np.uint64(32)  # 32 of its bits are sent
     order = np.lexsort((start, mark, doc, two, one))
     head = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
     lead = order[head][np.cumsum(head) - 1]
@@ -120,11 +135,11 @@ def _settle(found: list, window: int):
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], pack(mark[at], start[at]), one[at].view(np.int64), (two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(at), bool))], names=NAMES)
 
 
-def _finder(whole, bits: int, shape: tuple):
+def _finder(whole, bits: int, shape: tuple, bases: list[int]):
     window = shape[0]
 
     def run(batches):
-        kernel, found, n = WordWindows(*shape), [], 0
+        kernel, found, n = WordWindows(*shape, bases), [], 0
         for batch in batches:
             docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for top, _, data, offsets in slices(batch.column(2)):
@@ -133,7 +148,7 @@ def _finder(whole, bits: int, shape: tuple):
                 at = kernel.repeated(w, sketch.repeated(whole.value, bits, w["anchors"]))
                 if len(at):
                     text = w["text"][at]
-                    one, two = kernel.hashes(w, at)
+                    one, two = kernel.hashes(w, data, offsets, at)
                     found.append((docs[top + text], marks[top + text], (at - w["first"][text]).astype(np.int32), one, two))
                     n += len(at)
                     if n > FLUSH:
@@ -150,7 +165,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, reach: int = 14, gram: int
     texts, shape = keyed(docs), (window, reach, gram)
     bits = sketch.bits_for(text_bytes(texts) / 6 * 2 / (reach - gram + 2))
     whole = sketch.merged(texts.select("text").mapInArrow(_sketcher(bits, shape), sketch.SCHEMA), bits)
-    found = texts.mapInArrow(_finder(whole, bits, shape), "doc long, place long, one long, two int, settled boolean")
+    found = texts.mapInArrow(_finder(whole, bits, shape, fresh_bases(4)), "doc long, place long, one long, two int, settled boolean")
     here = F.struct("doc", "place")
     first = F.min(here).over(Window.partitionBy("one", "two"))
     later = found.withColumn("first", first).where(F.col("settled") | (here != F.col("first")))

@@ -3,22 +3,27 @@
 Suffixes are ordered only through the first ``length`` bytes, by passes over
 digits, the most significant first; suffixes alone in their group leave after
 each pass, and the groups that are equal to the full depth are exactly the
-repeated strings. Digits are cut by content so that neighbouring suffixes share
-them: in each stretch of ``reach`` bytes the ``gram``-byte string with the
-smallest hash is an anchor.
-
-1. First digit: the bytes from a suffix's first anchor to its last (those of its
-   first and last ``reach`` bytes). All suffixes between the same two anchors
-   form one run with one digit. A merged count-min sketch drops runs whose digit
-   occurs once.
-2. Second digit: all bytes that the run's suffixes read. Runs with equal second
-   digits are equal to full depth at once. A digit is sent once by a partition.
-3. Last digit: where a first digit has several second ones, some of them alone
-   (runs at the ends of a copied passage), their suffixes are told apart one by
-   one by all ``length`` bytes.
-
-Equality is that of 128 bits of hash. No group exceeds the number of
-partitions, as each partition settles its own repeats.
+repeated strings. Neighbouring suffixes are taken together as runs, so that a
+pass moves one row for about forty suffixes.
+
+1. First digit, cut by content: in each stretch of ``reach`` bytes the ``gram``-byte
+   string with the smallest hash is an anchor, and a suffix's digit is what lies
+   between its first anchor and its last. All suffixes between the same two
+   anchors form one run. A merged count-min sketch drops runs whose digit occurs
+   once in the table.
+2. Each partition orders its remaining runs by length, first digit and then their
+   bytes, ``DIGIT`` at a time from the front: every pass splits the groups by the
+   next digit and drops those of one run (:func:`radix_groups`). Groups that are
+   left at the runs' ends are equal strings; they are settled here, and one row
+   speaks for each, as for each run that was alone.
+3. Rows of all partitions meet by a last digit that stands for all their bytes: two
+   fingerprints modulo 2**61 - 1 with bases drawn for each query.
+4. Where a first digit has several last ones, some of them alone (runs at the ends
+   of a copied passage), their suffixes are told apart one by one, by the same
+   passes over all ``length`` bytes.
+
+No group exceeds the number of partitions, as each partition settles its own
+repeats.
 
 Nulls and oddities: a null text is an empty one; texts shorter than ``length``
 are kept whole; rows are documents even if repeated, so repeated long rows lose
@@ -36,21 +41,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sketch
-from .common import BASES, BYTE_VALUES, RangeHash, materialise, mix, slices
+from .common import BASES, BYTE_VALUES, Fingerprint, RangeHash, fresh_bases, materialise, mix, only, ranges, slices
 from .spans import covered, keyed, pack, runs, span_lists, text_bytes, unpacked, with_spans
 from .substring_dedup import sliding_min
 
 _POSITION = np.uint64((1 << 30) - 1)
-FLUSH = 1 << 19
+FLUSH, HELD = 1 << 19, 1 << 24
+DIGIT = 8
 #: meta: length of the span, a bit for settled ones, count.
 RUN = "doc long, place long, core long, one long, two long, meta long"
 SETTLED = 4
 
 
 class SuffixRuns:
-    def __init__(self, length: int, reach: int, gram: int):
+    """Runs of suffixes of a piece of texts. ``bases``: of the two fingerprints."""
+
+    def __init__(self, length: int, reach: int, gram: int, bases: list[int] | None = None):
         self.length, self.reach, self.gram = length, reach, gram
-        self.one, self.two = RangeHash(BASES[0]), RangeHash(BASES[1])
+        self.one, self.prints = RangeHash(BASES[0]), [Fingerprint(b) for b in bases or ()]
 
     def of(self, data: np.ndarray, offsets: np.ndarray):
         """Runs of suffixes: text, first and last start (in the piece), and the hash of their first digit."""
@@ -71,8 +79,76 @@ class SuffixRuns:
         tail = np.concatenate([head[1:], [len(at)]]) - 1
         return {"text": text[head], "lo": at[head], "hi": at[tail], "core": self.one.of(one, first[head], last[head] + self.gram), "one": one}
 
-    def hashes(self, prefix: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        return self.one.of(prefix, start, end), self.two.of(self.two.prefix(BYTE_VALUES[1][data]), start, end)
+    def last_digits(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        return [f.of(f.prefix(data), start, end) for f in self.prints]
+
+
+def radix_groups(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings that occur twice or more, ordered: their numbers, group by group, and the number of each one's group.
+
+    The digits are a string's size, its ``first`` digit, and then its bytes from the front, ``DIGIT`` at a time; strings
+    alone in their group leave after each pass. Strings hold ``DIGIT`` bytes at least."""
+    at = np.lexsort((first, size))
+    done, groups, n_groups = [], [], 0
+    key = (size[at], first[at])
+    head = np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
+    wide = np.ndarray(max(0, len(data) - DIGIT + 1), ">u8", data, strides=(1,)) if len(data) >= DIGIT else np.zeros(0, ">u8")
+    depth = 0
+    while len(at):
+        group = np.cumsum(head) - 1
+        stay = np.bincount(group)[group] > 1
+        at, head = at[stay], head[stay]
+        ended = size[at] <= depth
+        if ended.any():  # a group's strings have one size and end together
+            done.append(at[ended])
+            groups.append(np.cumsum(head[ended]) - 1 + n_groups)
+            n_groups += int(head[ended].sum())
+            at, head = at[~ended], head[~ended]
+        if not len(at):
+            break
+        # the last digit of a string may overlap the one before
+        digit = wide[start[at] + np.minimum(depth, size[at] - DIGIT)]
+        group = np.cumsum(head) - 1
+        if (digit != digit[np.flatnonzero(head)][group]).any():
+            order = np.lexsort((digit, group))
+            at, digit, group = at[order], digit[order], group[order]
+            head = np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])
+        depth += DIGIT
+    if not done:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(done), np.concatenate(groups)
+
+
+class Found:
+    """A partition's strings until they are settled: places, last digits, and the bytes of the texts they lie in."""
+
+    def __init__(self):
+        self.rows, self.texts, self.n, self.held = [], [], 0, 0
+
+    def add(self, data: np.ndarray, doc, mark, lo, hi, core, start, digits) -> None:
+        self.rows.append((doc, mark, lo.astype(np.int32), hi.astype(np.int32), core, start + self.held, *digits))
+        self.texts.append(data)
+        self.n += len(doc)
+        self.held += len(data)
+
+    def settled(self, least: int = FLUSH, held: int = HELD):
+        """Each string once with its count (to two); those that occur twice here also as joined spans, under keys of their
+        own and with a count of two. Rows are sent in text order, which packs well. Nothing yet where no more than
+        ``least`` strings and ``held`` bytes are there."""
+        if not self.n or (self.n <= least and self.held <= held):
+            return
+        doc, mark, lo, hi, core, start, one, two = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        data = np.concatenate(self.texts)
+        self.__init__()
+        twice, group = radix_groups(data, start, (hi - lo).astype(np.int64), core)
+        d, m, a, b = runs(doc[twice], mark[twice], lo[twice].astype(np.int64), hi[twice].astype(np.int64))
+        own = mix(d.view(np.uint64) ^ mix(a.view(np.uint64) ^ m.astype(np.uint64)))
+        yield _batch(d, m, a, b, np.zeros(len(d), np.uint64), own, mix(~own), np.full(len(d), SETTLED | 2))
+        count = np.ones(len(doc), np.int64)
+        count[twice] = 0
+        count[twice[np.concatenate([[True], group[1:] != group[:-1]])] if len(twice) else twice] = 2
+        at = np.flatnonzero(count)
+        yield _batch(doc[at], mark[at], lo[at], hi[at], core[at], one[at], two[at], count[at])
 
 
 def _sketcher(bits: int, shape: tuple):
@@ -89,22 +165,6 @@ def _sketcher(bits: int, shape: tuple):
     return run
 
 
-def _settle(found: list):
-    """A partition's strings: each sent once with its count (to two); those that occur twice here also as joined spans,
-    under keys of their own and with a count of two. Rows are sent in text order, which packs well."""
-    doc, mark, lo, hi, core, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((two, one))
-    head = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
-    sizes = np.diff(np.concatenate([np.flatnonzero(head), [len(doc)]]))
-    twice = order[np.repeat(sizes > 1, sizes)]
-    d, m, a, b = runs(doc[twice], mark[twice], lo[twice].astype(np.int64), hi[twice].astype(np.int64))
-    own = mix(d.view(np.uint64) ^ mix(a.view(np.uint64) ^ m.astype(np.uint64)))
-    yield _batch(d, m, a, b, np.zeros(len(d), np.uint64), own, mix(~own), np.full(len(d), SETTLED | 2))
-    place = np.argsort(order[head])
-    at = order[head][place]
-    yield _batch(doc[at], mark[at], lo[at], hi[at], core[at], one[at], two[at], np.minimum(sizes, 2)[place])
-
-
 def _batch(doc, mark, lo, hi, core, one, two, n) -> pa.RecordBatch:
     meta = ((hi.astype(np.int64) - lo) << 3) | n
     rows = [doc, pack(mark, lo), core.view(np.int64), one.view(np.int64), two.view(np.int64), meta]
@@ -116,9 +176,9 @@ def _opened() -> list:
     return ["doc", mark.alias("mark"), lo.alias("lo"), (lo + F.shiftright("meta", 3).cast("int")).alias("hi")]
 
 
-def _runs_finder(whole, bits: int, shape: tuple):
+def _runs_finder(whole, bits: int, shape: tuple, bases: list[int]):
     def run(batches):
-        kernel, found, n = SuffixRuns(*shape), [], 0
+        kernel, found = SuffixRuns(*shape, bases), Found()
         for batch in batches:
             docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for top, _, data, offsets in slices(batch.column(2)):
@@ -127,23 +187,20 @@ def _runs_finder(whole, bits: int, shape: tuple):
                 at = np.flatnonzero(sketch.repeated(whole.value, bits, r["core"]))
                 if len(at):
                     text, lo, hi = r["text"][at], r["lo"][at], r["hi"][at] + kernel.length
-                    one, two = kernel.hashes(r["one"], data, lo, hi)
-                    found.append((docs[top + text], marks[top + text], (lo - offsets[text]).astype(np.int32), (hi - offsets[text]).astype(np.int32), r["core"][at], one, two))
-                    n += len(at)
-                    if n > FLUSH:
-                        yield from _settle(found)
-                        found, n = [], 0
-        if n:
-            yield from _settle(found)
+                    own, moved = only(data, offsets, np.unique(text))
+                    digits = kernel.last_digits(own, lo + moved[text], hi + moved[text])
+                    found.add(own, docs[top + text], marks[top + text], lo - offsets[text], hi - offsets[text], r["core"][at], lo + moved[text], digits)
+                    yield from found.settled()
+        yield from found.settled(0, 0)
 
     return run
 
 
-def _suffix_finder(open_cores, bits: int, shape: tuple):
+def _suffix_finder(open_cores, bits: int, shape: tuple, bases: list[int]):
     """Single suffixes of runs whose first digit is open; of equal runs in a partition, one speaks for all."""
 
     def run(batches):
-        kernel, found, n, seen = SuffixRuns(*shape), [], 0, set()
+        kernel, found, seen = SuffixRuns(*shape, bases), Found(), set()
         for batch in batches:
             docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for top, _, data, offsets in slices(batch.column(2)):
@@ -152,25 +209,23 @@ def _suffix_finder(open_cores, bits: int, shape: tuple):
                 at = np.flatnonzero(sketch.repeated(open_cores.value, bits, r["core"]))
                 if not len(at):
                     continue
-                key = kernel.one.of(r["one"], r["lo"][at], r["hi"][at] + kernel.length)
-                fresh = [k not in seen and not seen.add(k) for k in key.tolist()]
+                own, moved = only(data, offsets, np.unique(r["text"][at]))
+                shift = moved[r["text"][at]]
+                keys = kernel.last_digits(own, r["lo"][at] + shift, r["hi"][at] + kernel.length + shift)
+                fresh = [k not in seen and not seen.add(k) for k in zip(*(k.tolist() for k in keys), strict=True)]
                 at = at[np.array(fresh, bool)]
                 if not len(at):
                     continue
                 sizes = r["hi"][at] - r["lo"][at] + 1
-                text = np.repeat(r["text"][at], sizes)
-                start = np.arange(sizes.sum()) + np.repeat(r["lo"][at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-                one, two = kernel.hashes(r["one"], data, start, start + kernel.length)
-                lo = (start - offsets[text]).astype(np.int32)
-                found.append((docs[top + text], marks[top + text], lo, lo + np.int32(kernel.length), np.zeros(len(lo), np.uint64), one, two))
-                n += len(lo)
-                if n > FLUSH:
-                    yield from _settle(found)
-                    found, n = [], 0
+                text, start = np.repeat(r["text"][at], sizes), ranges(r["lo"][at], sizes)
+                here = start + moved[text]
+                digits = kernel.last_digits(own, here, here + kernel.length)
+                lo = start - offsets[text]
+                found.add(own, docs[top + text], marks[top + text], lo, lo + kernel.length, np.zeros(len(lo), np.uint64), here, digits)
+                yield from found.settled()
                 if len(seen) > FLUSH:
                     seen.clear()
-        if n:
-            yield from _settle(found)
+        yield from found.settled(0, 0)
 
     return run
 
@@ -189,17 +244,17 @@ def _core_bits(bits: int):
 
 def repeated_spans(docs: DataFrame, length: int = 400, reach: int = 96, gram: int = 24) -> DataFrame:
     """(doc, mark, lo, hi): byte spans whose every ``length`` bytes occur elsewhere. They may overlap."""
-    texts, shape = keyed(docs), (length, reach, gram)
+    texts, shape, bases = keyed(docs), (length, reach, gram), fresh_bases(2)
     size = text_bytes(texts)
     bits = sketch.bits_for(size * 4 / (reach - gram + 2))
     whole = sketch.merged(texts.select("text").mapInArrow(_sketcher(bits, shape), sketch.SCHEMA), bits)
-    found = texts.mapInArrow(_runs_finder(whole, bits, shape), RUN)
+    found = texts.mapInArrow(_runs_finder(whole, bits, shape, bases), RUN)
     total = F.sum(F.col("meta").bitwiseAND(3)).over(Window.partitionBy("one", "two"))
     judged = materialise(found.select("doc", "place", "meta", "core", F.col("one").alias("digit"), (total >= 2).alias("equal")))
     cores = judged.where(F.col("meta").bitwiseAND(SETTLED) == 0).groupBy("core").agg(F.min("digit").alias("a"), F.max("digit").alias("b"), F.min("equal").alias("all_equal")).where("a <> b and not all_equal").select("core")
     core_bits = sketch.bits_for(size / 400)
     open_cores = sketch.merged(cores.mapInArrow(_core_bits(core_bits), sketch.SCHEMA), core_bits)
-    single = texts.mapInArrow(_suffix_finder(open_cores, core_bits, shape), RUN)
+    single = texts.mapInArrow(_suffix_finder(open_cores, core_bits, shape, bases), RUN)
     matched = single.withColumn("total", total).where("total >= 2")
     return judged.where("equal").select(*_opened()).unionByName(matched.select(*_opened()))
 

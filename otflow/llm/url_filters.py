@@ -1,11 +1,17 @@
 """URL filters: rules first, then link-graph propagation for what no rule fits.
 
-Trust flows forward along host links from hosts with allowed pages
-(personalised PageRank), distrust flows backward from hosts with blocked pages:
-a host that links to bad hosts is suspect. A host whose share of distrust
-exceeds the threshold is blocked. All steps are DataFrame operations; pages are
-reduced to host pairs before the graph is built, so that a host with a third of
-all pages is one vertex.
+Trust flows forward along host edges from hosts with allowed pages (personalised
+PageRank), distrust flows backward from hosts with blocked pages: a host that
+links to bad hosts is suspect. Each kind of seed has a mass of one in all, shared
+by pages. A host whose share of distrust exceeds the threshold is blocked.
+
+Edges are links in html to another host, and one in each direction between a host
+and its parent domain (``blog.example.org`` and ``example.org``; domains of two
+labels have no parent), so that hosts of one domain, and hosts without links, have
+a neighbourhood. All steps are DataFrame operations; pages are reduced to host
+pairs before the graph is built, so that a host with a third of all pages is one
+vertex, and scores come back to the pages of hosts with more than a thousandth of
+all rows (a thousand hosts at most) by a broadcast, to all others by a shuffle.
 
 Nulls and oddities: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is allowed. Repeated rows are judged one by one, each
@@ -70,7 +76,16 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), host_of(full).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20, cut_every: int = 5) -> DataFrame:
+def domain_links(hosts: DataFrame) -> DataFrame:
+    """(src, dst, weight): an edge in each direction between hosts, or their domains, and the next domain above."""
+    labels = F.split("host", r"\.")
+    chain = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    steps = hosts.where(F.size(labels) > 2).select(F.explode(F.arrays_zip(F.slice(chain, 1, F.size(chain) - 1).alias("a"), F.slice(chain, 2, F.size(chain)).alias("b"))).alias("x")).select("x.a", "x.b").distinct()
+    ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return steps.select(ends.alias("x")).select("x.src", "x.dst", F.lit(1.0).alias("weight"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10, cut_every: int = 5) -> DataFrame:
     """Personalised PageRank of several kinds at once.
 
     edges: (kind, src, dst, weight); seeds: (kind, host, mass). Mass of vertices
@@ -97,11 +112,22 @@ def filter_urls(pages: DataFrame, allow: list[str], block: list[str], threshold:
     host's distrust is more than ``threshold`` of its trust and distrust, else
     ``allow`` (also where it has neither)."""
     judged = pages.select("page_id", "html", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path")).withColumn("best", best_rule(F.col("host"), F.col("path"), allow, block))
-    evidence = judged.where("best is not null").groupBy(F.col("best.verdict").alias("kind"), "host").agg(F.count(F.lit(1)).cast("double").alias("mass"))
-    links = host_links(judged)
+    of = lambda verdict: F.sum(F.when(F.col("best.verdict") == verdict, 1.0).otherwise(0.0))
+    hosts = materialise(judged.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), of("allow").alias("allow"), of("block").alias("block")))
+    total = hosts.agg(F.sum("pages").alias("pages"), F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+    seeds = [hosts.where(F.col(kind) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(kind) / F.lit(total[kind] or 1.0)).alias("mass")) for kind in ("allow", "block")]
+    links = host_links(judged).unionByName(domain_links(hosts.where("host <> ''"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     edges = links.select(F.lit("allow").alias("kind"), "src", "dst", "weight").unionByName(links.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    mass = propagate(edges, evidence, **graph)
-    scores = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("mass"))).alias("distrust")).select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    held = judged.drop("html").join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
+    mass = propagate(edges, seeds[0].unionByName(seeds[1]), **graph)
+    scores = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("mass")).otherwise(0.0)).alias("distrust"))
+    scores = materialise(hosts.select("host", "pages").join(scores, "host"))
+    hot = F.col("pages") * 1000 > F.lit(total["pages"] or 0)
+    many = F.broadcast(scores.where(hot).select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust")))  # less than 1,000 rows
+    few = scores.where(~hot).select(F.col("host").alias("_key"), "trust", "distrust")
+    held = judged.drop("html").join(many, F.col("host") == F.col("_host"), "left")
+    # pages of hot hosts have no partner in the second join and are spread over its tasks
+    key = F.when(F.col("_host").isNotNull(), F.concat(F.lit(" "), F.xxhash64("page_id", "path").cast("string"))).otherwise(F.col("host"))
+    held = held.withColumn("_of", key).join(few, F.col("_of") == F.col("_key"), "left")
+    held = held.withColumns({k: F.coalesce(f"_{k}", k, F.lit(0.0)) for k in ("trust", "distrust")})
     own = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit("block")).otherwise(F.lit("allow"))
     return held.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), own).alias("verdict"), "trust", "distrust")

@@ -66,3 +66,21 @@ def test_odd_rows(spark):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.digest(df).collect())
     assert got == sorted([("None", 47, 4, False), ("None", 48, 4, False), ("4", 47, 4, True), ("4", 47, 4, True), ("9", 2, 9, True), ("9", 2, 9, True), ("None", 1, None, True), ("7", 0, 7, True)])
     assert minhash_dedup.digest(df.limit(0)).collect() == []
+
+
+def test_long_words_that_collide_modulo_a_power_of_two(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    df = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash_dedup.digest(df).collect()} == {(1, 1), (2, 2)}
+
+
+def test_large_ids_and_clashing_columns(spark):
+    long, top = " ".join(f"w{i}" for i in range(50)), (1 << 62) + 5
+    rows = [(top, long, "a"), (top + 1, long, "b"), (-7, "alone in the world here", "c"), (None, long, "d"), (None, "other words than all the rest", "e")]
+    for name in ("_id", "_turn", "node", "n", "component", "sig"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {name} string")
+        got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.digest(df).collect()}
+        assert got == {(top, top, True), (top + 1, top, False), (-7, -7, True), (None, top, False), (None, None, True)}
+        if name in ("_id", "_turn"):
+            kept = minhash_dedup.keep_one(df, shingle=5, percent=80)
+            assert sorted(r[name] for r in kept.collect()) == ["a", "c", "d", "e"] and kept.columns == df.columns

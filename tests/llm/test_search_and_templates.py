@@ -20,7 +20,7 @@ def test_topk(spark, scale):
     data += [(400, data[7][1]), (401, data[7][1]), (500, None), (501, [1.0, None] * 3), (502, [float("nan")] * 6), (600, [1.0, 2.0]), (700, [2.0, 1.0]), (None, data[3][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).repartition(3)
     rows = topk_search.whole_vectors(df)
-    got = [tuple(r) for r in topk_search.search(rows, rows.where("vec_id % 100 = 0"), 10, shard_rows=90, block_rows=2).collect()]
+    got = [tuple(r) for r in topk_search.search(rows, rows.where("vec_id % 100 = 0"), 10, shard_rows=90).collect()]
     fit = {i: [math.floor(1024 * x) for x in v] for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     want = []
     for q, v in fit.items():
@@ -30,6 +30,23 @@ def test_topk(spark, scale):
     assert sorted(got) == sorted(want)
 
 
+def test_topk_odd_rows(spark):
+    """Repeated query rows are one query; ids with several vectors; values that no double product holds; ties; clashing names."""
+    data = [(100, [1.0, 2.0]), (100, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.5])]
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame(data, schema)
+    for name in ("v", "dim", "shard", "floor", "score", "tree"):
+        got = [(r.query_id, r["rank"], r.vec_id) for r in topk_search.digest(df.withColumn(name, F.lit("x"))).collect()]
+        assert sorted(got) == [(100, 1, 1), (100, 2, 1), (100, 3, 2), (100, 4, 3)]
+    huge = spark.createDataFrame([(100, [1e306, 1.0]), (1, [1e300, -1e300]), (2, [1e9, 3.0]), (200, [1e12, 1.0]), (3, [1e12, 0.0])], schema)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.digest(huge).collect()}
+    top = (1 << 63) - 1
+    assert got == {(200, 1): (1, top), (200, 2): (2, top), (200, 3): (3, top)}
+    exact = spark.createDataFrame([(0, [float(2**20), 3.0]), (1, [float(2**20), 1.0 + 2**-10]), (2, [float(2**20), 1.0])], schema)
+    got = [(r.vec_id, r.score) for r in topk_search.digest(exact).orderBy("rank").collect()]
+    assert got == [(1, 2**60 + 3 * 1024 * 1025), (2, 2**60 + 3 * 1024 * 1024)]
+
+
 ITEMS = [
     (1, "A train leaves the station with Alice at 40 km per hour and then meets Bob after 3 hours. How far did it go?"),
     (2, "Which of the following rivers crosses the old border before it turns to the north sea near the lighthouse?"),
@@ -63,6 +80,33 @@ def test_templates(spark):
     assert decontamination.judge(df.limit(0), bench).collect() == []
 
 
+def test_case_names_and_numbers(spark):
+    item = "Yesterday Alice Smith sold 12 apples to Bob in the old market and then gave Carla Maria Jones 3 more of them before lunch."
+    copies = {
+        1: item, 2: item.lower(), 3: item.upper(), 4: item.replace(" ", "\n  "),
+        5: item.replace("Alice Smith", "Dora").replace("Carla Maria Jones", "Erik Meyer"), 6: item.replace("12", "twelve").replace("3", "five"),
+        7: "Yesterday nobody sold a thing at the market, and lunch was late for all of them.",
+    }
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    df = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontamination.judge(df, bench).collect()} == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False}
+
+
+def test_stretches_of_long_texts(spark):
+    """A passage across the cut of a very long text, and one at its end; ties and clashing names."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(6000)]
+    item = "the quick question about seven rivers and their long bridges near old towns and harbours in spring"
+    at = decontamination.STRETCH - 7
+    docs = [(1, " ".join(words[:at] + item.split() + words[at:])), (2, " ".join(words + item.split())), (2, " ".join(words + item.split())), (3, " ".join(words))]
+    bench = spark.createDataFrame([(5, item), (6, item)], "item_id long, text string")
+    for name in ("window", "key", "tokens", "form", "mark", "row_mark", "_key", "found"):
+        df = spark.createDataFrame([(*d, "x") for d in docs], f"doc_id long, text string, {name} string")
+        got = sorted((r.doc_id, r.contaminated, tuple(r.item_ids)) for r in decontamination.judge(df, bench).collect())
+        assert got == [(1, True, (5, 6)), (2, True, (5, 6)), (2, True, (5, 6)), (3, False, ())]
+    found = {(r.doc_id, r.item_id): r.found - r.n_windows for r in decontamination.find(df, bench).collect()}
+    assert set(found.values()) == {0}
+
+
 def test_slots_must_correspond(spark):
     item = "If x equals 5 and later 5 is added to the old sum of all of the given coins we have enough"
     same = item.replace("5", "8")
@@ -169,3 +213,97 @@ def test_mixing(spark, budget, target):
     if "target_entropy" in target:
         assert abs(mixing.entropy(weights) - 1.2) < 1e-6
     assert mixing.mix(df.limit(0), repetition_limit=2.0).collect() == []
+    # the sequence itself: gapless permutations of each source's documents, cut by the budget in the last block
+    rows = mixing.block_permutations(df, budget=budget, bucket_rows=40, **target).collect()
+    assert Counter((r.source, r.doc_id) for r in rows) == Counter({(r.source, r.doc_id): 0 for r in got} | Counter({k: sum(r.copies for r in got if (r.source, r.doc_id) == k) for k in {(r.source, r.doc_id) for r in got}}))
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r.source, r.block), []).append(r)
+    n_docs = Counter(s for _, _, _, s, _ in data)
+    orders = {}
+    for (source, block), own in blocks.items():
+        own.sort(key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(len(own)))
+        whole = math.floor(passes.get(source, 1.0) + 1e-9)
+        assert len(own) == n_docs[source] if block < whole else sum(r.n_tokens for r in own) <= (passes[source] - whole) * tokens[source] + 1e-6
+        orders[source, block] = [r.doc_id for r in own]
+    for (source, block), order in orders.items():
+        if block == 0 and len(order) > 20:
+            assert order != sorted(order) and order != orders.get((source, 1), [])[: len(order)]
+
+
+def test_mixing_of_odd_tables(spark):
+    """Repeated rows, no tokens, null sources and ids, a very long text, clashing names."""
+    data = [(1, "a b", None), (1, "a b", None), (None, None, "x"), (2, "", "x"), (3, "w " * 50_000, "y"), (4, "w " * 50_000, "y")]
+    for name in ("_number", "weight", "block", "position", "draw", "n_tokens", "_of"):
+        df = spark.createDataFrame([(*r, "kept") for r in data], f"doc_id long, text string, source string, {name} string")
+        rows = mixing.block_permutations(df, repetition_limit=2.0).collect()
+        assert Counter(r.source for r in rows if r.block == 0) == {None: 2, "x": 2, "y": 2}
+        got = mixing.mix(df, repetition_limit=2.0)
+        assert sum(r.copies for r in got.collect()) == len(rows)
+        if name in ("block", "position", "draw"):
+            assert {r[name] for r in got.collect()} == {"kept"}
+    empty = spark.createDataFrame([(1, None, "x"), (2, " ", None)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.block, r.position) for r in mixing.block_permutations(empty, repetition_limit=2.0).collect()) == [(1, 0, 0), (2, 0, 0)]
+    assert mixing.block_permutations(empty.limit(0), repetition_limit=2.0).collect() == []
+
+
+def brute_verdicts(pages, allow, block, iterations=10):
+    """Hosts, rules and verdicts in plain Python."""
+    import re
+
+    rules = [(*url_filters.split_rule(r), r, v) for v, rs in (("allow", allow), ("block", block)) for r in rs]
+    out, hosts, links = {}, {}, Counter()
+    for key, url, html in pages:
+        rest = (url or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fit = [(len(r), r, v) for h, p, r, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        out[key] = (host, path, *(max(fit)[1:] if fit else (None, None)))
+        hosts.setdefault(host, Counter())[out[key][3]] += 1
+        for target in re.findall(r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)""", html or ""):
+            to = re.match(r"[^/?#]*", target.partition("//")[2])[0].lower()
+            if host and to and to != host:
+                links[host, to] += 1
+    steps = set()
+    for h in hosts:
+        labels = h.split(".")
+        steps |= {(".".join(labels[i:]), ".".join(labels[i + 1 :])) for i in range(len(labels) - 2)} if h else set()
+    for a, b in steps:
+        links[a, b] += 1
+        links[b, a] += 1
+    mass = {}
+    for kind in ("allow", "block"):
+        total = sum(c[kind] for c in hosts.values())
+        seeds = {h: c[kind] / total for h, c in hosts.items() if c[kind]}
+        edges = links if kind == "allow" else {(b, a): n for (a, b), n in links.items()}
+        degree = Counter()
+        for (a, _), n in edges.items():
+            degree[a] += n
+        now = {h: 0.15 * m for h, m in seeds.items()}
+        for _ in range(iterations):
+            new = Counter({h: 0.15 * m for h, m in seeds.items()})
+            for (a, b), n in edges.items():
+                new[b] += 0.85 * now.get(a, 0.0) * n / degree[a]
+            now = new
+        mass[kind] = now
+    for key, (host, path, rule, verdict) in out.items():
+        trust, distrust = mass["allow"].get(host, 0.0), mass["block"].get(host, 0.0)
+        out[key] = (host, path, rule, verdict or ("block" if distrust > 0.5 * (trust + distrust) else "allow"))
+    return out
+
+
+def test_urls_against_brute_force(spark):
+    rng = random.Random(6)
+    names = ["a.example.com", "b.example.com", "www.a.example.com", "bad.example.org", "m.bad.example.org", "good.net", "x.good.net", "solo.fr", "Deep.x.good.net"]
+    paths = ["/en/7", "/en/8?x", "/de/8", "/de/9", "/es/1", "/es/", "", "#z", "/fr/"]
+    pages = [(i, f"http://{rng.choice(names)}{rng.choice(paths)}", " ".join(f'<a href="http://{rng.choice(names)}/q">' for _ in range(rng.randrange(3)))) for i in range(150)]
+    pages += [(200, None, None), (201, "nothing", '<a href="//good.net">'), (202, "x://very.long.fr/" + "p" * 100_000, "y " * 100_000)]
+    allow, block = ["example.com/en/7", "net/de/"], ["com/en/", "example.net/de/8", "org/es/"]
+    want = brute_verdicts(pages, allow, block)
+    assert len({v[3] for k, v in want.items() if v[2] is None}) == 2
+    for name in ("_host", "trust", "_of", "best", "mass", "rule"):
+        df = spark.createDataFrame([(*p, "x") for p in pages], f"page_id long, url string, html string, {name} string").repartition(3)
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.filter_urls(df, allow, block).collect()}
+        assert got == want
