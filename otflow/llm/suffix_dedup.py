@@ -46,7 +46,7 @@ from .spans import covered, keyed, pack, runs, span_lists, text_bytes, unpacked,
 from .substring_dedup import sliding_min
 
 _POSITION = np.uint64((1 << 30) - 1)
-FLUSH, HELD = 1 << 19, 1 << 24
+FLUSH, HELD = 3 << 17, 1 << 23
 DIGIT = 8
 #: meta: length of the span, a bit for settled ones, count.
 RUN = "doc long, place long, core long, one long, two long, meta long"

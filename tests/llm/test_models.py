@@ -105,16 +105,16 @@ def test_experts_sum_to_one(spark):
     ranks = spark.sparkContext.broadcast(lm_scoring.read_ranks(lm_scoring.VOCABULARY))
     _, model, _ = lm_scoring.fit(train, ranks)
     assert np.allclose(np.exp(model["logs"]).sum(axis=0) + np.exp(model["rest"]), 1, atol=1e-4)
-    assert np.allclose(model["steps"]["one"].sum(axis=2), 1, atol=1e-4)
+    assert np.allclose(model["steps"]["one"].sum(axis=1), 1, atol=1e-4)
     s, before, row = model["steps"], 65, 7
-    assert np.allclose((s["two"][row] + s["more"][row] * s["one"][:, before]).sum(axis=1) / s["sum"][row], 1, atol=1e-4)
+    assert np.allclose((s["two"][row][:, None] + s["more"][row] * s["one"][before]).sum(axis=0) / s["sum"][row], 1, atol=1e-4)
     # a word outside the head: the product of its steps
     own = lm_scoring.WordModels(model, ranks.value)
     own.stream(np.frombuffer(b"xyzzy", np.uint8), np.array([0, 5]))
     ids = own.codec.encode_ordinary(" xyzzy")
     word, before, to, row = lm_scoring._steps(np.array(ids), np.array([len(ids)]))
     assert len(to) == len(ids) + 1 and to[-1] == before[0] == lm_scoring.IDS
-    want = [model["rest"][k] + sum(math.log((s["two"][r, t] + s["more"][r] * s["one"][k, b, t]) / s["sum"][r]) for b, t, r in zip(before, to, row, strict=True)) for k in range(lm_scoring.EXPERTS)]
+    want = [model["rest"][k] + sum(math.log((s["two"][r, t] + s["more"][r] * s["one"][b, t, k]) / s["sum"][r]) for b, t, r in zip(before, to, row, strict=True)) for k in range(lm_scoring.EXPERTS)]
     assert np.allclose(own.logs[own.numbers[b"xyzzy"]], want, atol=1e-3)
 
 
@@ -134,12 +134,12 @@ def test_gradient_is_the_slope():
     logs = rng.standard_normal((40, lm_scoring.EXPERTS)) * 2
 
     def loss():
-        logits, _ = lm_scoring.attend(w, lm_scoring.word_tables(w, flat, first), x, seen, lag)
+        logits, _ = lm_scoring.attend(w, lm_scoring.embedded(w, flat, first), x, seen, lag)
         return -lm_scoring.mixed(logits[:40], logs)[0].mean()
 
-    g = lm_scoring.gradient(w, lm_scoring.word_tables(w, flat, first), flat, first, x, seen, lag, logs)
+    g = lm_scoring.gradient(w, lm_scoring.embedded(w, flat, first), flat, first, x, seen, lag, logs)
     at = int(flat[first[stream[20]]])
-    for name, place in (("query", (at, 3)), ("key", (at, 2)), ("value", (at, 1)), ("self", (at, 0)), ("out", (2, 5)), ("bias", (4,)), ("near", (1,))):
+    for name, place in (("ids", (at, 3)), ("ids", (at, 10)), ("ids", (at, 17)), ("ids", (int(flat[first[stream[5]]]), 20)), ("out", (2, 5)), ("bias", (4,)), ("near", (1,))):
         kept = w[name][place]
         w[name][place] = kept + 1e-4
         up = loss()
@@ -152,7 +152,7 @@ def test_windows_score_each_token_once_and_causally():
     rng, w = layer(2)
     flat, first = np.arange(50), np.arange(50)
     stream, start = rng.integers(0, 50, 70), np.repeat([0, 33], [33, 37])
-    run = lambda s: lm_scoring.attend(w, lm_scoring.word_tables(w, flat, first), *lm_scoring.windows(s, start))[0][:70]
+    run = lambda s: lm_scoring.attend(w, lm_scoring.embedded(w, flat, first), *lm_scoring.windows(s, start))[0][:70]
     a = run(stream)
     changed = stream.copy()
     changed[40] = 49 - changed[40]
