@@ -51,15 +51,31 @@ IEC_VIOLATIONS = [
     ("replay_attack", "SR 3.3", "Security Functionality Verification", "SL-2"),
 ]
 
-#: Steps against a pattern, in order.
-MITIGATIONS = {
-    "modbus_flooding": ["Limit Modbus requests per source at the switch", "Place a protocol-aware firewall before the controllers", "Enable rule 9000001", "Review session limits of the controllers"],
-    "plc_scanning": ["Allow Modbus only from known stations", "Enable rule 9000002", "Look for unknown devices by passive discovery", "Separate engineering and control networks"],
-    "unauthorized_write": ["Allow writes only from the authorised server", "Enable rules 9000003 and 9000053", "Compare registers with the last good state", "Use a read-only proxy for displays", "Compare with published write attacks"],
-    "man_in_the_middle": ["Enable rule 9000004", "Inspect ARP and DHCP on the switches", "Check devices with a time to live of 128", "Encrypt sensitive segments", "Look for duplicate hardware addresses"],
-    "replay_attack": ["Enable rule 9000005", "Check sequence numbers or times at a proxy", "Review repeated transaction ids", "Keep captured traffic out of the segment"],
+#: Controls by requirement, worded here after the public titles of IEC 62443-3-3 system requirements and NIST SP 800-82.
+CONTROLS = {
+    "SR 1.2": "Let a device speak on the control network only after it has proved its identity",
+    "SR 2.1": "Tie each write to a role, and refuse those of all other roles",
+    "SR 2.8": "Record who sent which command, when, and what came of it",
+    "SR 3.1": "Authenticate messages on the way, so that changed ones are refused",
+    "SR 3.4": "Compare programs and set points with an approved state and raise differences",
+    "SR 3.8": "Bind messages to a session, and refuse those that belong to an old one",
+    "SR 5.1": "Divide the network into zones by function and criticality",
+    "SR 5.2": "Deny what crosses a zone boundary unless a conduit is documented for it",
+    "SR 6.2": "Watch traffic against its usual level and alert operators",
+    "SR 7.1": "Keep the control loop running under load: cap what a peer may send",
+    "SR 7.6": "Switch off ports and services that the process doesn't need",
 }
-DEFAULT_MITIGATION = "Investigate the flows and isolate the source if confirmed"
+#: What each pattern calls for.
+_CALLS_FOR = {
+    "modbus_flooding": ("SR 7.1", "SR 6.2", "SR 5.2"),
+    "plc_scanning": ("SR 7.6", "SR 5.1", "SR 6.2"),
+    "unauthorized_write": ("SR 2.1", "SR 2.8", "SR 3.4"),
+    "man_in_the_middle": ("SR 3.1", "SR 1.2", "SR 5.1"),
+    "replay_attack": ("SR 3.8", "SR 3.1", "SR 2.8"),
+    "command_injection": ("SR 2.1", "SR 5.2", "SR 3.4"),
+}
+MITIGATIONS = {pattern: [f"{c}: {CONTROLS[c]}" for c in controls] for pattern, controls in _CALLS_FOR.items()}
+DEFAULT_MITIGATION = "SR 6.1: Review the recorded events and decide on a response"
 
 # fixed values: rule ids, class types, priorities
 RULES = [
@@ -116,5 +132,5 @@ def mitre(spark: SparkSession) -> DataFrame:
 
 def values_sql(data: list, columns: str, name: str) -> str:
     """The same rows as a common table expression."""
-    quote = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in data)})"

@@ -57,15 +57,27 @@ def report_summary(summary: DataFrame) -> DataFrame:
 
 
 def top_examples(detections: DataFrame, n: int = 3) -> DataFrame:
-    w = Window.partitionBy("pattern")
-    held = detections.withColumns({"place": F.row_number().over(w.orderBy("row_id", "confidence")), "total": F.count(F.lit(1)).over(w)})
-    return held.where(F.col("place") <= n).select("pattern", "place", "row_id", F.greatest(F.col("total") - n, F.lit(0)).alias("more"))
-
-
-def affected_ips(detections: DataFrame, flows: DataFrame) -> DataFrame:
+    """The first ``n`` detections of a pattern, kept by map-side combination, and how many more there are."""
+    each = detections.select("pattern", F.struct("row_id", "confidence").alias("x"))
+    part = F.pmod(F.xxhash64("x"), F.lit(256))
+    first = F.row_number().over(Window.partitionBy("pattern", "part").orderBy("x"))
+    few = each.withColumn("part", part).withColumn("turn", first).where(F.col("turn") <= n)  # n rows of each part
+    place = F.row_number().over(Window.partitionBy("pattern").orderBy("x"))
+    held = few.select("pattern", "x", place.alias("place")).where(F.col("place") <= n)
+    totals = detections.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))  # one row a pattern
+    return held.join(F.broadcast(totals), "pattern").select("pattern", "place", "x.row_id", F.greatest(F.col("total") - n, F.lit(0)).alias("more"))
+
+
+def affected_ips(detections: DataFrame, flows: DataFrame, n: int = 5) -> DataFrame:
+    """Per pattern: how many addresses, and the first ``n``. No row holds more than ``n`` of them."""
     held = detections.select("pattern", "row_id").join(flows.select("row_id", "sIPs", "rIPs"), "row_id")
     each = held.select("pattern", F.explode(F.array("sIPs", "rIPs")).alias("ip")).distinct()
-    return each.groupBy("pattern").agg(F.count("ip").alias("n_ips"), F.array_join(F.slice(F.array_sort(F.collect_list("ip")), 1, 5), ",").alias("first_ips"))
+    counts = each.groupBy("pattern").agg(F.count("ip").alias("n_ips"))
+    part = F.pmod(F.xxhash64("ip"), F.lit(256))
+    turn = F.row_number().over(Window.partitionBy("pattern", "part").orderBy("ip"))
+    few = each.where("ip is not null").withColumn("part", part).withColumn("turn", turn).where(F.col("turn") <= n)
+    first = few.groupBy("pattern").agg(F.array_join(F.slice(F.array_sort(F.collect_list("ip")), 1, n), ",").alias("first_ips"))  # n rows of 256 parts
+    return counts.join(first, "pattern", "left").select("pattern", "n_ips", F.coalesce("first_ips", F.lit("")).alias("first_ips"))
 
 
 def port_protocol(flows: DataFrame) -> DataFrame:
@@ -129,6 +141,7 @@ def anomaly_detection(rate: Column, enabled: Column) -> tuple[Column, Column]:
 CONFIG = "site string, auth boolean, mfa boolean, logging boolean, siem boolean, retention_days int, rbac boolean, least_privilege boolean, checksums boolean, signing boolean, detection boolean, target_sl string"
 
 
+# fixed values: the scores
 def site_scores(config: DataFrame) -> DataFrame:
     """Scores of four requirements from a table of sites."""
     c = F.col

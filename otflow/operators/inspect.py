@@ -13,10 +13,14 @@ def tcp(packets: DataFrame) -> DataFrame:
     return packets.where("proto = 6")
 
 
+#: Protocols without a decoder.
+PLAIN = ("BACnet", "Niagara Fox", "Red Lion Crimson")
+
+
 def route(packets: DataFrame) -> DataFrame:
     """TCP packets to a known port, with the protocol's name; protocols without a decoder are MEDIUM at once."""
     dim = F.broadcast(rows(packets.sparkSession, DPI_PORTS, "dst_port int, protocol string"))
-    plain = F.col("protocol").isin("BACnet", "Niagara Fox", "Red Lion Crimson")
+    plain = F.col("protocol").isin(*PLAIN)
     return tcp(packets).join(dim, "dst_port").withColumn("severity", F.when(plain, "MEDIUM")).withColumn("alert", F.when(plain, F.concat("protocol", F.lit(" detected on port "), F.col("dst_port").cast("string"))))
 
 
@@ -85,14 +89,39 @@ def opcua(packets: DataFrame) -> DataFrame:
     return tcp(packets).where("dst_port = 4840").select("pkt_id", F.lit("OPC UA").alias("protocol"), F.lit("MEDIUM").alias("severity"))
 
 
+def event_of(port: Column, payload: Column) -> Column:
+    """(protocol, severity) of a packet from its port and payload, null where no decoder takes it.
+
+    The payload's first bytes are taken once, as numbers, and bound by a lambda: written out, the decoders' conditions
+    would repeat their extraction hundreds of times and outgrow what a generated method can hold."""
+    head = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.conv(F.hex(F.substring(payload, i, F.lit(1))), 16, 10).cast("int"))
+
+    def judged(x: Column) -> Column:
+        b, n, code = (lambda i: F.get(x["b"], i)), x["n"], F.get(x["b"], 7)
+        be, le = (lambda i: b(i) * 256 + b(i + 1)), (lambda i: b(i + 1) * 256 + b(i))
+        known, enough, critical = code.isin([k for k, _ in MODBUS_FUNCTIONS]), n >= 12, is_critical(be(8))
+        strange = F.coalesce(be(2) != 0, F.lit(False)) | ~known
+        on_modbus = F.when(strange | ((code == 16) & (n >= 13)) | ((code == 6) & enough & critical), "CRITICAL").when(((code == 3) & enough & critical) | ((code == 6) & enough), "HIGH").otherwise("LOW")
+        command = F.when(n >= 24, le(0))
+        event = lambda p, s: F.struct(F.lit(p).alias("protocol"), s.alias("severity"))
+        out = (
+            F.when((x["port"] == 502) & (n >= 8), event("Modbus/TCP", on_modbus))
+            .when((x["port"] == 20000) & (n >= 10) & (b(0) == 5) & (b(1) == 0x64), event("DNP3", F.when((le(4) > 65000) | (le(6) > 65000), "CRITICAL").otherwise("HIGH")))
+            .when(x["port"].isin(44818, 2222), event("EtherNet/IP", F.when(command.isin([c for c, name in ENIP_COMMANDS if name.startswith("Send")]), "HIGH").otherwise("MEDIUM")))
+            .when(x["port"] == 102, event("S7comm", F.when((n >= 4) & (b(0) == 3), "CRITICAL").otherwise("HIGH")))
+            .when(x["port"] == 4840, event("OPC UA", F.lit("MEDIUM")))
+        )
+        for p, name in DPI_PORTS:
+            if name in PLAIN:
+                out = out.when(x["port"] == p, event(name, F.lit("MEDIUM")))
+        return out
+
+    return F.get(F.transform(F.array(F.struct(port.alias("port"), F.coalesce(F.length(payload), F.lit(0)).alias("n"), head.alias("b"))), judged), 0)
+
+
 def events(packets: DataFrame) -> DataFrame:
-    """All inspection events with what they share."""
-    plain = route(packets).where("severity is not null").select("pkt_id", "protocol", "severity")
-    parts = [f(packets).select("pkt_id", "protocol", "severity") for f in (modbus, dnp3, ethernetip, s7comm, opcua)]
-    out = plain
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    """All inspection events with what they share, in one pass over the packets."""
+    return tcp(packets).select("pkt_id", event_of(F.col("dst_port"), F.col("payload")).alias("event")).where("event is not null").select("pkt_id", "event.protocol", "event.severity")
 
 
 def alerts(found: DataFrame) -> DataFrame:

@@ -9,6 +9,44 @@ from pyspark.sql.window import Window
 from ..functions.scalar import clip
 
 
+def cumulative(counts: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = 64, descending: bool = False) -> DataFrame:
+    """``counts`` (one row for each of ``keys`` and ``value``) with running sums of ``sums`` in the order of the value.
+
+    A key's values are cut into ``parts`` ranges at approximate quantiles; a range is summed in one task, and starts from
+    the sums of the ranges before it, so that no task holds all values of a key. The ends only share out the work:
+    sums are exact wherever they lie."""
+    number = F.col(value).cast("double")
+    ends = counts.groupBy(*keys).agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 1_000).alias("_ends"))
+    of = F.size(F.filter(F.coalesce("_ends", F.array().cast("array<double>")), lambda e: e < number))
+    # ``ends`` has one row a key
+    held = counts.join(F.broadcast(ends), keys) if keys else counts.crossJoin(F.broadcast(ends))
+    held = held.withColumn("_part", of).drop("_ends")
+    order = (lambda c: F.desc(c)) if descending else F.col
+    totals = held.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_all_{c}") for c in sums])
+    before = Window.partitionBy(*keys).orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    inside = Window.partitionBy(*keys, "_part").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = held.withColumns({f"running_{c}": F.sum(c).over(inside) for c in sums})
+    # ``parts`` rows a key
+    out = running.join(F.broadcast(starts), [*keys, "_part"])
+    return out.withColumns({f"running_{c}": F.col(f"running_{c}") + F.col(f"_before_{c}") for c in sums}).drop("_part", *[f"_before_{c}" for c in sums])
+
+
+def quantiles(long: DataFrame, shares: dict[str, float], key: str = "feature", value: str = "value") -> DataFrame:
+    """Quantiles (linear between neighbours) of each key, exact, from counts of distinct values."""
+    counts = long.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(key).agg(F.sum("n").alias("_n"))
+    held = cumulative(counts, [key], value, ["n"]).join(F.broadcast(totals), key)  # one row a key
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("running_n") > rank, F.col(value)))
+
+    place = lambda q: (F.col("_n") - 1) * q
+    ends = held.groupBy(key, "_n").agg(*[at(F.floor(place(q))).alias(f"_low_{n}") for n, q in shares.items()], *[at(F.ceil(place(q))).alias(f"_high_{n}") for n, q in shares.items()])
+    between = lambda n, q: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * (place(q) - F.floor(place(q)))
+    return ends.select(key, *[between(n, q).alias(n) for n, q in shares.items()])
+
+
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
@@ -22,7 +60,9 @@ def value_counts(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std (sample), min, quartiles (linear) and max, one row a column."""
     long = df.unpivot([], columns, "feature", "value")
-    return long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), *[F.percentile("value", q / 100).alias(f"p{q}") for q in (25, 50, 75)], F.max("value").alias("max"))
+    plain = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    found = quantiles(long, {f"p{q}": q / 100 for q in (25, 50, 75)})
+    return plain.join(F.broadcast(found), "feature", "left").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")  # one row a feature
 
 
 def class_comparison(df: DataFrame, columns: list[str], label: Column) -> DataFrame:
@@ -65,7 +105,7 @@ def feature_ratio(df: DataFrame, columns: list[str], label: Column) -> DataFrame
 
 
 def class_histogram(df: DataFrame, column: str, label: Column, bins: int = 50) -> DataFrame:
-    ends = df.agg(F.percentile(column, 0.01).alias("low"), F.percentile(column, 0.99).alias("high"))
+    ends = quantiles(df.select(F.lit(column).alias("feature"), F.col(column).alias("value")), {"low": 0.01, "high": 0.99}).drop("feature")
     held = df.select(label.alias("y"), F.col(column).alias("x")).where("x is not null").crossJoin(F.broadcast(ends))
     x = F.least(F.greatest("x", "low"), F.col("high"))
     index = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)))
@@ -103,16 +143,19 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
 
 def roc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Points by falling threshold: one row for each distinct score."""
+    return _roc(df, truth, score).select("threshold", "tpr", "fpr")
+
+
+def _roc(df: DataFrame, truth: str, score: str) -> DataFrame:
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold"))
     total = counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return counts.crossJoin(F.broadcast(total)).select("threshold", (F.sum("p").over(w) / F.col("all_p")).alias("tpr"), (F.sum("n").over(w) / F.col("all_n")).alias("fpr"))
+    held = cumulative(counts, [], "threshold", ["p", "n"], descending=True).crossJoin(F.broadcast(total))
+    return held.withColumns({"tpr": F.col("running_p") / F.col("all_p"), "fpr": F.col("running_n") / F.col("all_n"), "t0": (F.col("running_p") - F.col("p")) / F.col("all_p"), "f0": (F.col("running_n") - F.col("n")) / F.col("all_n")})
 
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold"))
-    held = roc(df, truth, score).select("tpr", "fpr", F.coalesce(F.lag("tpr").over(w), F.lit(0.0)).alias("t0"), F.coalesce(F.lag("fpr").over(w), F.lit(0.0)).alias("f0"))
-    return held.agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"))
+    """Area of the trapezia between a point and the one before, which is the point without its own rows."""
+    return _roc(df, truth, score).agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"))
 
 
 def attack_recall(df: DataFrame, kind: str, predicted: str) -> DataFrame:
@@ -152,9 +195,8 @@ def ks_drift(base: DataFrame, now: DataFrame, columns: list[str]) -> DataFrame:
     side = lambda df, name: df.unpivot([], columns, "feature", "value").where("value is not null").withColumn("side", F.lit(name))
     counts = side(base, 0).unionByName(side(now, 1)).groupBy("feature", "value").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
     totals = counts.groupBy("feature").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
-    w = Window.partitionBy("feature").orderBy("value")
-    held = counts.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w)}).join(totals, "feature")
-    return held.groupBy("feature").agg(F.max(F.abs(F.col("ca") / F.col("all_a") - F.col("cb") / F.col("all_b"))).alias("ks"))
+    held = cumulative(counts, ["feature"], "value", ["a", "b"]).join(F.broadcast(totals), "feature")  # one row a feature
+    return held.groupBy("feature").agg(F.max(F.abs(F.col("running_a") / F.col("all_a") - F.col("running_b") / F.col("all_b"))).alias("ks"))
 
 
 def clipped(df: DataFrame, column: str, low: float, high: float) -> DataFrame:

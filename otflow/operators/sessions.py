@@ -52,6 +52,16 @@ def _from_lists(df: DataFrame) -> DataFrame:
     )
 
 
+def entropy_by(df: DataFrame, key: str, value: str, bins: int = 10) -> DataFrame:
+    """(key, e): entropy in bits of ``bins`` equal bins between a key's least and largest value, from counts of the bins."""
+    ends = df.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    held = df.where(F.col(value).isNotNull()).join(ends.select(F.col(key).alias("_key"), "low", "high"), F.col(key).eqNullSafe(F.col("_key")))
+    index = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)))
+    counts = held.groupBy("_key", index.alias("bin")).agg(F.count(F.lit(1)).alias("k")).where("bin is not null")  # at most ``bins`` rows a key
+    joined = ends.join(counts, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.groupBy(key).agg(F.coalesce(-F.sum(F.col("k") / F.col("n") * F.log2(F.col("k") / F.col("n"))), F.lit(0.0)).alias("e"))
+
+
 def session_window(df: DataFrame, seconds: int = 60, strategy: str = "range") -> DataFrame:
     """Session columns over [t - seconds, t + seconds] of the same source. ``bucket`` spreads a heavy source over time buckets."""
     base = _clean(df)

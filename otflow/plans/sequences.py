@@ -45,7 +45,7 @@ def window_columns(df):
 add("win_session_60s", lambda s, d: window_columns(W.session_window(A.sessions(s, d), SECONDS)), _W60, "sessions", _FRAME, _HIST)
 add("win_session_60s_buckets", lambda s, d: window_columns(W.session_window(A.sessions(s, d), SECONDS, "bucket")), _W60, "sessions", _FRAME, _HIST)
 add("join_neighbours_60s", lambda s, d: W.neighbours(A.sessions(s, d).withColumn("payload", F.col("sPayloadAvg")), SECONDS).groupBy("row_id").agg(F.count(F.lit(1)).alias("n")), "SELECT row_id, n FROM near", "sessions", _FRAME)
-add("fn_entropy_hist", lambda s, d: R(A.sessions(s, d).groupBy("sIPs").agg(F.collect_list("sPayloadAvg").alias("v")).select("sIPs", S.entropy_hist(F.col("v")).alias("e"))), "SELECT sIPs, round(coalesce(max(e),0),6) AS e FROM (SELECT sIPs, -sum(p*log2(p)) AS e FROM (SELECT sIPs, bin, count(*)/max(m)::DOUBLE AS p FROM (SELECT sIPs, least(floor((sPayloadAvg-lo)/(hi-lo)*10),9) AS bin, m FROM (SELECT *, min(sPayloadAvg) OVER (PARTITION BY sIPs) AS lo, max(sPayloadAvg) OVER (PARTITION BY sIPs) AS hi, count(*) OVER (PARTITION BY sIPs) AS m FROM sessions) WHERE hi>lo) GROUP BY 1,2) GROUP BY 1) GROUP BY 1", "sessions")
+add("fn_entropy_hist", lambda s, d: R(W.entropy_by(A.sessions(s, d), "sIPs", "sPayloadAvg")), "SELECT sIPs, round(coalesce(max(e),0),6) AS e FROM (SELECT sIPs, -sum(p*log2(p)) AS e FROM (SELECT sIPs, bin, count(*)/max(m)::DOUBLE AS p FROM (SELECT sIPs, least(floor((sPayloadAvg-lo)/(hi-lo)*10),9) AS bin, m FROM (SELECT *, min(sPayloadAvg) OVER (PARTITION BY sIPs) AS lo, max(sPayloadAvg) OVER (PARTITION BY sIPs) AS hi, count(*) OVER (PARTITION BY sIPs) AS m FROM sessions) WHERE hi>lo) GROUP BY 1,2) GROUP BY 1) GROUP BY 1", "sessions")
 add("win_rate_excess", lambda s, d: W.rate_excess(A.sessions(s, d).select("row_id", "sIPs", "start"), "sIPs", "start", 3, 86_400).select("row_id", "in_window"), "SELECT row_id, n AS in_window FROM (SELECT row_id, count(*) OVER (PARTITION BY sIPs ORDER BY start RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM sessions) WHERE n>3", "sessions")
 add("agg_analysis_window", lambda s, d: R(A.sessions(s, d).agg(F.min("start").alias("first"), F.max("start").alias("last")), 3), "SELECT round(min(start),3) AS first, round(max(start),3) AS last FROM sessions", "sessions")
 add("fn_parse_timestamp", lambda s, d: A.table(s, d, "events").select("event_id", F.unix_seconds(S.parse_timestamp(F.when(F.col("event_id") % 7 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))).alias("t")), "SELECT event_id, CASE WHEN event_id%7<>0 THEN floor(epoch_us(ts)/1e6)::BIGINT END AS t FROM events")
