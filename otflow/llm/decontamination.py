@@ -24,6 +24,11 @@ whatever stands elsewhere.
 
 Windows with fewer than ``LITERALS`` words that aren't placeholders take no part.
 
+Templates are made of those documents only that can be contaminated. Each window of
+an item has a word that is no placeholder in any reading, the longest one
+(:func:`keywords`); a document that holds ``coverage`` of the windows holds their
+words. Documents with the words of fewer windows, of each item, are clean.
+
 Documents are cut into stretches of ``STRETCH`` tokens that overlap by a window,
 so that no row grows with a text's windows. The benchmark's windows are broadcast
 up to ``BROADCAST_BYTES`` of them and joined by a shuffle beyond.
@@ -167,14 +172,45 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return first.select("item_id", F.col("form").alias("item_form"), key, F.xxhash64(F.concat(F.array_join("shape", " "), F.lit(" "))).alias("hash"), "shape", F.col("x.at").alias("at"), F.col("x.filled").alias("filled"), "units", F.size(F.array_distinct(F.flatten(F.collect_list("units").over(own)))).alias("n_windows"))
 
 
+def keywords(items: DataFrame, coverage: float) -> DataFrame:
+    """(word, item_id, item_form, k, need): an item's words, the windows that each stands for, and of how many windows a document
+    needs the words to be contaminated. ``need`` is 0 or less where windows without a word could be enough."""
+    words = F.filter("shape", lambda t: ~_is_slot(t) & (t != "%"))
+    each = items.select("item_id", "item_form", "n_windows", F.explode("units").alias("unit"), words.alias("words"))
+    held = each.groupBy("item_id", "item_form", "unit").agg(F.first("n_windows").alias("n"), F.collect_list("words").alias("all"))
+    # words that stand for themselves in all readings of the window
+    common = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", 0), lambda a, x: F.array_intersect(a, x))
+    best = F.array_max(F.transform(common, lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))
+    held = held.select("item_id", "item_form", "n", best["word"].alias("word"))
+    own = Window.partitionBy("item_id", "item_form")
+    held = held.withColumn("need", F.ceil(F.col("n") * coverage) - F.count(F.when(F.col("word").isNull(), 1)).over(own))
+    return held.groupBy("word", "item_id", "item_form", "need").agg(F.count(F.lit(1)).alias("k"))
+
+
+def _broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def possible(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of (doc_id, row_mark, text) with as many of an item's words as contamination takes; all rows where an item needs none."""
+    least = words.agg(F.min(F.length("word")).alias("n"), F.min("need").alias("need")).first()
+    if least["n"] is None or least["need"] <= 0:
+        return docs
+    own = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"[\p{{L}}\p{{M}}]{{{least['n']},}}"), F.lit(0)))).alias("word")
+    hits = docs.select("doc_id", "row_mark", own).join(_broadcast_if_small(words, F.octet_length("word") + 60), "word")
+    found = hits.groupBy("doc_id", "row_mark", "item_id", "item_form").agg(F.sum("k").alias("k"), F.first("need").alias("need")).where("k >= need")
+    found = materialise(found.select(F.col("doc_id").alias("_found"), F.col("row_mark").alias("_mark")).distinct())
+    return docs.join(_broadcast_if_small(found, F.lit(50)), F.col("doc_id").eqNullSafe(F.col("_found")) & (F.col("row_mark") == F.col("_mark")), "left_semi")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.5) -> DataFrame:
     """(doc_id, mark, item_id, found, n_windows) of each document and the items that contaminate it."""
     items = materialise(item_windows(benchmark, window))
     lengths = sorted(r["n"] for r in items.select(F.size("shape").alias("n")).distinct().collect()) or [window]
-    held = items.agg(F.sum(F.octet_length("key") + F.octet_length(F.array_join("filled", " ")) + 8 * F.size("units") + 24 * F.size("shape") + 100)).first()[0]
-    if (held or 0) <= BROADCAST_BYTES:
-        items = F.broadcast(items)
-    texts = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("row_mark"), marked(F.col("text")).alias("mark"))
+    words = materialise(keywords(items, coverage))
+    items = _broadcast_if_small(items, F.octet_length("key") + F.octet_length(F.array_join("filled", " ")) + 8 * F.size("units") + 24 * F.size("shape") + 100)
+    texts = possible(docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("row_mark"), "text"), words)
+    texts = texts.select("doc_id", "row_mark", marked(F.col("text")).alias("mark"))
     cut = texts.select("doc_id", "row_mark", F.explode_outer(forms(F.col("mark"))).alias("x")).select("doc_id", "row_mark", F.col("x.form").alias("doc_form"), F.col("x.tokens").alias("all"))
     cut = cut.select("doc_id", "row_mark", "doc_form", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(STRETCH))).alias("from"))
     cut = cut.select("doc_id", "row_mark", "doc_form", "from", F.slice("all", F.col("from") + 1, STRETCH + max(lengths) - 1).alias("tokens"))
