@@ -107,6 +107,11 @@ def title(x: Column) -> Column:
     return F.initcap(F.replace(x, F.lit("_"), F.lit(" ")))
 
 
+def cut(x: Column, n: int) -> Column:
+    """The first n letters."""
+    return F.substring(x, 1, n)
+
+
 def percent_text(ratio: Column) -> Column:
     return F.format_string("%.1f%%", ratio * 100)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.knowledge import CVE_KEYWORDS, DEFAULT_MITIGATION, FLOW_PORTS, ICS_PORTS, IEC_VIOLATIONS, MITIGATIONS, RULES, SEVERITIES, VENDORS, ZONES, mitre, patterns, rows
-from ..functions.scalar import cvss_severity, cvss_to_sl, percent_text, title, zone_of_port, zone_severity
+from ..functions.scalar import cut, cvss_severity, cvss_to_sl, percent_text, title, zone_of_port, zone_severity
 
 RANK = {s: n for s, n in SEVERITIES}
 
@@ -104,7 +104,7 @@ def cves_of(response: DataFrame) -> DataFrame:
     kinds = each.schema["c"].dataType["metrics"].dataType.names
     score = F.coalesce(*[F.get(F.col(f"c.metrics.{k}"), 0)["cvssData"]["baseScore"].cast("double") for k in ("cvssMetricV31", "cvssMetricV30", "cvssMetricV2") if k in kinds], F.lit(None).cast("double"))
     english = F.get(F.filter("c.descriptions", lambda d: d["lang"] == "en"), 0)["value"]
-    return each.select(F.col("c.id").alias("cve_id"), F.substring(F.coalesce(english, F.lit("")), 1, 300).alias("description"), score.alias("cvss_score"), cvss_severity(score).alias("severity"), cvss_to_sl(score).alias("iec_sl"), F.col("c.published").alias("published"))
+    return each.select(F.col("c.id").alias("cve_id"), cut(F.coalesce(english, F.lit("")), 300).alias("description"), score.alias("cvss_score"), cvss_severity(score).alias("severity"), cvss_to_sl(score).alias("iec_sl"), F.col("c.published").alias("published"))
 
 
 def pattern_cves(summary: DataFrame, cves: DataFrame, limit: int = 5) -> DataFrame:

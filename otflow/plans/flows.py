@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.knowledge import DEFAULT_MITIGATION, IEC_VIOLATIONS, MITIGATIONS, MITRE, PATTERNS, RULES, values_sql
+from ..functions.knowledge import CVE_KEYWORDS, DEFAULT_MITIGATION, IEC_VIOLATIONS, MITIGATIONS, MITRE, PATTERNS, RULES, VENDORS, values_sql
 from ..operators import detectors as D
 from ..operators import enrich as E
 from ..operators import features as X
@@ -133,6 +133,12 @@ add("fn_cvss_severity", lambda s, d: A.flows(s, d).select("row_id", S.cvss_sever
 for _n in ("fn_cvss_to_sl", "join_cvss_sl"):
     add(_n, lambda s, d: A.flows(s, d).select("row_id", S.cvss_to_sl(F.when(F.col("rPackets") < 7, F.col("sPackets") / 5)).alias("sl")), "SELECT row_id, CASE WHEN rPackets>=7 THEN 'SL-1' WHEN sPackets/5>=9 THEN 'SL-4' WHEN sPackets/5>=7 THEN 'SL-3' WHEN sPackets/5>=4 THEN 'SL-2' ELSE 'SL-1' END AS sl FROM flows", "flows")
 add("fn_numeric", lambda s, d: R(A.flows(s, d).select("row_id", S.filled("rttl", 64.0).alias("filled"), S.safe_duration(F.col("duration")).alias("eps"), S.clip(F.col("sPackets"), 10.0, 40.0).alias("clipped"), F.abs(F.col("sPackets") - 25).alias("absolute"), F.log1p("sBytesSum").alias("logged"), F.bround(F.col("sPackets") / 8, 2).alias("half_even"))), "SELECT row_id, coalesce(rttl,64.0) AS filled, CASE WHEN duration=0 THEN 0.001 ELSE duration END AS eps, least(greatest(sPackets,10.0),40.0) AS clipped, abs(sPackets-25) AS absolute, round(ln(1+sBytesSum),6) AS logged, round_even(sPackets/8,2) AS half_even FROM flows", "flows")
+for _n, _c, _sql in (
+    ("fn_fillna", S.filled("rttl", 64.0), "coalesce(rttl,64.0)"), ("fn_zero_to_eps", S.safe_duration(F.col("duration")), "CASE WHEN duration=0 THEN 0.001 ELSE duration END"), ("fn_clip", S.clip(F.col("sPackets"), 10.0, 40.0), "least(greatest(sPackets,10.0),40.0)"),
+    ("fn_abs", F.abs(F.col("sPackets") - 25), "abs(sPackets-25)"), ("fn_percent_text", S.percent_text(F.col("duration")), "printf('%.1f%%', duration*100)"), ("fn_truncate", S.cut(F.col("sIPs"), 2), "sIPs[1:2]"),
+    ("fn_hex_label", S.hex_label(F.col("sPackets").cast("int")), "'0x'||lpad(upper(to_hex(sPackets::BIGINT)),2,'0')"),
+):
+    add(_n, lambda s, d, c=_c: A.flows(s, d).select("row_id", c.alias("y")), f"SELECT row_id, {_sql} AS y FROM flows", "flows")
 add("fn_safe_div", lambda s, d: R(A.flows(s, d).select("row_id", S.over_at_least(F.col("sPackets"), F.col("rPackets") - 1).alias("a"), S.over_one_more(F.col("sPackets"), F.col("rPackets")).alias("b"))), "SELECT row_id, round(sPackets/greatest(rPackets-1,1.0),6) AS a, round(sPackets/(rPackets+1),6) AS b FROM flows", "flows")
 add("fn_text", lambda s, d: A.flows(s, d).select("row_id", S.percent_text(F.col("duration")).alias("percent"), F.substring("sIPs", 1, 2).alias("cut"), S.hex_label(F.col("sPackets").cast("int")).alias("hexed")), "SELECT row_id, printf('%.1f%%', duration*100) AS percent, sIPs[1:2] AS cut, '0x'||lpad(upper(to_hex(sPackets::BIGINT)),2,'0') AS hexed FROM flows", "flows")
 add("filter_ics_ports", lambda s, d: A.flows(s, d).where(F.col("dst_port").isin(502, 20000, 44818, 102, 4840)).select("row_id", "dst_port"), "SELECT row_id, dst_port FROM flows WHERE dst_port IN (502,20000,44818,102,4840)", "flows")
@@ -209,3 +215,13 @@ add("filter_anomalous", lambda s, d: votes(s, d).where("prediction = 1").select(
 add("win_split_rank", lambda s, d: W.stratified_split(A.flows(s, d).select("row_id", "IT_B_Label"), "IT_B_Label"))
 add("ml_split", lambda s, d: W.stratified_split(A.flows(s, d).select("row_id", "IT_B_Label"), "IT_B_Label").groupBy("IT_B_Label", "is_test").agg(F.count(F.lit(1)).alias("n")), "SELECT IT_B_Label AS \"IT_B_Label\", t AS is_test, CASE WHEN t THEN round(c*0.2)::BIGINT ELSE c-round(c*0.2)::BIGINT END AS n FROM (SELECT IT_B_Label, count(*) AS c FROM flows GROUP BY 1), (VALUES (true),(false)) v(t)", "flows")
 add("sample_rows", lambda s, d: W.sample_rows(A.flows(s, d).select("row_id", "sPackets"), 100))
+
+# --- vulnerabilities ---
+_KEYS = values_sql(CVE_KEYWORDS, "pattern, keyword", "keys")
+_VEND = values_sql(VENDORS, "vendor, product", "vendors")
+_CVES = "cves AS (SELECT cve_id, description[1:300] AS description, score AS cvss_score, CASE WHEN score IS NULL THEN 'UNKNOWN' WHEN score>=9 THEN 'CRITICAL' WHEN score>=7 THEN 'HIGH' WHEN score>=4 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN score IS NULL THEN 'SL-1' WHEN score>=9 THEN 'SL-4' WHEN score>=7 THEN 'SL-3' WHEN score>=4 THEN 'SL-2' ELSE 'SL-1' END AS iec_sl, published FROM nvd)"
+_HITS = "hits AS (SELECT pattern, cve_id, iec_sl, row_number() OVER (PARTITION BY pattern ORDER BY cve_id) AS turn FROM keys JOIN cves ON len(list_filter(string_split(lower(keyword),' '), lambda w: NOT contains(lower(description), w)))=0)"
+add("cve_enrich", lambda s, d: E.cves_of(A.nvd(s, d)), "SELECT cve_id, description, cvss_score, severity, iec_sl, published FROM cves", "nvd", _CVES)
+add("join_pattern_cve", lambda s, d: E.pattern_cves(summary(s, d), E.cves_of(A.nvd(s, d))), "SELECT pattern, coalesce(n,0) AS cves_found, top_cve, coalesce(sl,'SL-2') AS required_iec_sl FROM summary LEFT JOIN (SELECT pattern, count(*) AS n, min_by(cve_id, turn) AS top_cve, min_by(iec_sl, turn) AS sl FROM hits WHERE turn<=5 GROUP BY 1) USING (pattern)", *FDS, "nvd", _CVES, _KEYS, _HITS)
+for _n in ("agg_vendor_cve", "cve_vendor_summary"):
+    add(_n, lambda s, d: E.vendor_cves(E.cves_of(A.nvd(s, d))), "SELECT vendor, count(*) AS total, sum((severity='CRITICAL')::INT)::BIGINT AS critical, sum((severity='HIGH')::INT)::BIGINT AS high, max(iec_sl) AS max_sl FROM (SELECT DISTINCT vendor, cve_id, severity, iec_sl FROM vendors JOIN cves ON contains(lower(description), product)) GROUP BY 1", "nvd", _CVES, _VEND)

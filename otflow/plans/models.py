@@ -64,7 +64,7 @@ def contributions(s, d):
     """The top 5 of each row whose forest score is in the lowest thousandth."""
     scaled, model = _forest(s, d, keyed(training(s, d)))
     scored = model.score(scaled)
-    low = scored.agg(F.percentile("iso_score", 0.001).alias("t"))
+    low = scored.agg(F.percentile_approx("iso_score", 0.001, 100_000).alias("t"))
     rows = scored.crossJoin(F.broadcast(low)).where(F.col("iso_score") <= F.col("t")).select("row_id", *NAMES)
     return ML.explain(model, rows, W.sample_rows(scaled, 50), permutations=4).select("row_id.row_id", "row_id.nth", "feature", "contribution", "percent", "rank", "direction")
 

@@ -92,11 +92,29 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What an adapted vulnerability is about, by its key modulo their number.
+TOPICS = ["Modbus ICS gateway of a modicon line", "Siemens S7 SCADA flaw in simatic panels", "unauthorized Modbus writes on s7-1200", "SCADA MITM between logix stations", "ICS remote code execution in centum", "SCADA replay against ac800m", "web server flaw", "industrial protocol parser of factorytalk"]
+
+
+def nvd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as vulnerabilities in the shape of NVD v2 responses: one response a part, scores under one of three metrics."""
+    k = F.col("p_partkey")
+    score = F.struct(F.struct((k % 101 / 10).cast("double").alias("baseScore")).alias("cvssData"))
+    held = lambda ok: F.when(ok, F.array(score)).otherwise(F.array().cast("array<struct<cvssData:struct<baseScore:double>>>"))
+    metrics = F.struct(held(k % 4 == 0).alias("cvssMetricV31"), held(k % 4 == 1).alias("cvssMetricV30"), held(k % 4 == 2).alias("cvssMetricV2"))
+    text = F.concat(F.element_at(F.array(*[F.lit(t) for t in TOPICS]), (k % len(TOPICS) + 1).cast("int")), F.lit(" in "), F.col("p_name"))
+    texts = F.array(F.struct(F.lit("es").alias("lang"), F.lit("otro").alias("value")), F.struct(F.lit("en").alias("lang"), text.alias("value")))
+    cve = F.struct(F.concat(F.lit("CVE-2024-"), k.cast("string")).alias("id"), texts.alias("descriptions"), metrics.alias("metrics"), F.lit("2024-01-01T00:00:00.000").alias("published"))
+    return table(spark, sf_dir, "part").select(F.array(F.struct(cve.alias("cve"))).alias("vulnerabilities"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("iso"), F.when(F.col("quality") == 0, 1).otherwise(0).alias("xgb"), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0).alias("rf"), F.col("toxic").cast("int").alias("y"), F.when(F.col("doc_id") % 2 == 0, "ddos").otherwise("replay").alias("attack_type"))
 
 
+_TOPICS = ", ".join(f"'{t}'" for t in TOPICS)
 SQL = {
+    "nvd": f"nvd AS (SELECT 'CVE-2024-'||p_partkey AS cve_id, [{_TOPICS}][p_partkey%{len(TOPICS)}+1]||' in '||p_name AS description, CASE WHEN p_partkey%4<3 THEN (p_partkey%101)/10.0::DOUBLE END AS score, '2024-01-01T00:00:00.000' AS published FROM part)",
     "flows": """flows AS (SELECT l_orderkey*8+l_linenumber AS row_id, 's'||l_suppkey AS sIPs, 'p'||(l_partkey%50) AS rIPs,
  CASE WHEN l_linenumber%3=0 THEN 'IPV4-UDP' ELSE 'IPV4-TCP' END AS protocol, [502,20000,44818,102,4840,80,443][l_linenumber] AS dst_port,
  l_quantity AS sPackets, l_linenumber::DOUBLE AS rPackets, l_extendedprice AS sBytesSum, l_extendedprice*(1-l_discount) AS rBytesSum, l_tax AS duration,

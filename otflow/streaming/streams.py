@@ -1,4 +1,5 @@
-"""Structured Streaming forms of the operators. Rows later than the watermark are dropped (``numRowsDroppedByWatermark`` counts them)."""
+"""Structured Streaming forms of the operators. Rows later than the watermark are dropped from windows; :func:`split_late`
+hands them to a sink of their own, and :func:`late_rows` counts those that a query dropped."""
 
 from __future__ import annotations
 
@@ -79,3 +80,31 @@ def chain_for_stream(model: dict) -> tuple[dict, dict]:
         exits[p] = exits.get(p, 0) + n
     states = {r["state"] for r in model["states"].where(F.col("chain") == GLOBAL).collect()}
     return t, {"k": len(states), "exits": exits, "states": states}
+
+
+def split_late(stream: DataFrame, on_time, late, checkpoint: str, seconds: int = 120, time: str = "ts"):
+    """A writer that calls ``on_time(rows, batch)`` and ``late(rows, batch)`` for each micro-batch.
+
+    A row is late if it is more than ``seconds`` behind the largest time of all earlier batches, as with a watermark.
+    That time is kept by batch in a table beside the checkpoint, in a folder that all executors share, so that a batch
+    that is run again after a failure is split as before. A null time is on time."""
+    spark, marks = stream.sparkSession, f"{checkpoint}/largest_time"
+
+    def split(rows: DataFrame, batch: int) -> None:
+        seen = None
+        if batch:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/{batch - 1}")
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                seen = spark.read.schema("t timestamp").parquet(f"{marks}/{batch - 1}").first()["t"]
+        behind = F.lit(False) if seen is None else F.coalesce(F.col(time) < F.lit(seen) - F.expr(f"INTERVAL {int(seconds)} SECONDS"), F.lit(False))
+        on_time(rows.where(~behind), batch)
+        late(rows.where(behind), batch)
+        now = rows.agg(F.greatest(F.max(time), F.lit(seen).cast("timestamp")).alias("t"))
+        now.coalesce(1).write.mode("overwrite").parquet(f"{marks}/{batch}")  # one row
+
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+
+
+def late_rows(query) -> int:
+    """Rows that a running query's stateful operators dropped for being behind the watermark, over the kept progress."""
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p.get("stateOperators", []))

@@ -1,10 +1,12 @@
 """Crafted rows for features, detectors, sessions, chains, packets, models, sources, streams."""
 
 import math
+import random
 import struct
 import warnings
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,11 +137,18 @@ def test_models(spark, tmp_path):
     assert best["rf"].recall == 1.0 and best["iso"].recall > 0.9
     model.forest.save(spark, f"{tmp_path}/forest")
     assert ML.IsolationForest.load(spark, f"{tmp_path}/forest").trees == [[list(n) for n in t] for t in model.forest.trees]
+    model.save(f"{tmp_path}/ensemble")
+    model.save(f"{tmp_path}/ensemble")
+    again = ML.Ensemble.load(spark, f"{tmp_path}/ensemble")
+    key = lambda rows: sorted((r.row_id, r.iso, r.xgb, r.rf, r.prediction, round(r.ensemble_score, 9)) for r in rows.collect())
+    assert key(again.predict(df)) == key(model.predict(df))
     scaled = ML.scale(df, model.parameters)
     why = ML.explain(model.forest, scaled.where("row_id = 1029"), scaled.limit(20), permutations=4, top=2).collect()
     assert len(why) == 2 and sum(r.contribution for r in why) < 0 and why[0].direction == "toward anomaly"
     alone = ML.fit_ensemble(df.where("label = 0"), ["a", "b"], forest={"trees": 5, "psi": 16})
     assert alone.boosted is None and alone.weights() == {"iso": 1.0}
+    alone.save(f"{tmp_path}/alone")
+    assert ML.Ensemble.load(spark, f"{tmp_path}/alone").weights() == {"iso": 1.0}
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -236,3 +245,44 @@ def test_explained_rows(spark, monkeypatch):
     assert len({(r.row_id, r.nth) for r in report}) == 5 and len(report) == 5 * min(10, len(models.NAMES))
     spread = models.attribution(spark, "").collect()
     assert sorted((r.feature, r.label) for r in spread) == sorted((n, y) for n in models.NAMES for y in (0, 1))
+
+
+def test_late_rows(spark, tmp_path):
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    for k, seconds in enumerate(([0, 300], [10, 290, 310], [100, 200, 400])):
+        spark.createDataFrame([(at(s), s) for s in seconds], "t string, s int").selectExpr("to_timestamp(t) AS ts", "s").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    kept, gone = {}, {}
+    take = lambda held: lambda rows, batch: held.__setitem__(batch, sorted(r.s for r in rows.collect()))
+    for k in range(3):  # one folder a batch, in order
+        spark.read.parquet(f"{tmp_path}/in/{k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/live")
+        live = spark.readStream.schema("ts timestamp, s int").parquet(f"{tmp_path}/live")
+        query = streams.split_late(live, take(kept), take(gone), f"{tmp_path}/checkpoint", seconds=120).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert streams.late_rows(query) == 0
+    assert kept == {0: [0, 300], 1: [290, 310], 2: [200, 400]} and gone == {0: [], 1: [10], 2: [100]}
+
+
+def test_running_sums_and_quantiles(spark):
+    rng = random.Random(2)
+    values = [rng.choice([rng.random(), round(rng.random(), 1), -5.0]) for _ in range(500)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 3.0), ("c", None)], "feature string, value double")
+    got = {r.feature: r for r in P.quantiles(df, {"low": 0.01, "mid": 0.5, "high": 0.99}).collect()}
+    want = np.quantile(values, [0.01, 0.5, 0.99])
+    assert np.allclose([got["a"].low, got["a"].mid, got["a"].high], want) and got["b"].mid == 3.0 and "c" not in got
+    counts = df.where("feature = 'a'").groupBy("value").count()
+    for falling in (False, True):
+        out = sorted(((r.value, r.running_count) for r in P.cumulative(counts, [], "value", ["count"], parts=7, descending=falling).collect()))
+        assert out == [(v, sum(x >= v if falling else x <= v for x in values)) for v in sorted(set(values))]
+    assert P.quantiles(df.limit(0), {"mid": 0.5}).collect() == []
+
+
+def test_inspection_in_one_pass(spark):
+    """Events agree with the decoders one by one, over random payloads."""
+    rng = random.Random(5)
+    ports = [502, 502, 502, 20000, 44818, 2222, 102, 4840, 47808, 1911, 789, 80]
+    head = lambda: rng.choice([b"", b"\x05\x64", b"\x03\x00", b"\x00\x01\x00\x00\x00\x06\x01" + bytes([rng.choice([1, 3, 6, 16, 99])]), b"\x6f\x00"])
+    rows = [(i, rng.choice([6, 6, 6, 17]), rng.choice(ports), head() + bytes(rng.randrange(256) for _ in range(rng.randrange(30))) if i % 20 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "pkt_id long, proto int, dst_port int, payload binary").withColumns({"src_ip": F.lit("a"), "dst_ip": F.lit("b")})
+    parts = [I.route(df).where("severity is not null")] + [f(df) for f in (I.modbus, I.dnp3, I.ethernetip, I.s7comm, I.opcua)]
+    want = sorted(tuple(r) for p in parts for r in p.select("pkt_id", "protocol", "severity").collect())
+    assert sorted(tuple(r) for r in I.events(df).collect()) == want and len({w[1:] for w in want}) > 8
