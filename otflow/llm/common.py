@@ -11,6 +11,9 @@ fingerprint with a probability of n / 2**61 over the draw, whatever they hold.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import secrets
 import uuid
 
@@ -22,6 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 STEP_BYTES = 1 << 18
 
 
+def tidy(run):
+    """A task's function over batches that gives freed memory back to the system at its end: Python workers are used again by later stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -124,22 +123,34 @@ def layer(seed):
     return rng, {k: rng.standard_normal(x.shape) * (0.3 if k != "out" else 1) for k, x in w.items()}
 
 
+def stream_of(rng, sizes):
+    """Random tokens before each token of texts of some sizes (filled up as the operator does), starts, and which are real."""
+    hold, block = lm_scoring.HOLD, lm_scoring.BLOCK
+    filled = [-(-n // hold) * hold for n in sizes]
+    n = -(-sum(filled) // block) * block
+    start, real, at = np.full(n, sum(filled)), np.zeros(n, bool), 0
+    for size, whole in zip(sizes, filled, strict=True):
+        start[at : at + whole] = at
+        real[at : at + size] = True
+        at += whole
+    return rng.integers(0, 50, n), start, real
+
+
 def test_gradient_is_the_slope():
     rng, w = layer(0)
     flat = rng.integers(0, 30, 75)
-    first = np.sort(rng.choice(np.arange(1, 75), 49, replace=False))
-    first = np.concatenate([[0], first])  # 50 words of some ids each
-    stream, start = rng.integers(0, 50, 40), np.repeat([0, 25], [25, 15])
-    x, seen, lag = lm_scoring.windows(stream, start)
-    logs = rng.standard_normal((40, lm_scoring.EXPERTS)) * 2
+    first = np.concatenate([[0], np.sort(rng.choice(np.arange(1, 75), 49, replace=False))])  # 50 words of some ids each
+    stream, start, real = stream_of(rng, [25, 3, 30])
+    x, seen = lm_scoring.windows(stream, start)
+    logs = rng.standard_normal((len(stream), lm_scoring.EXPERTS)) * 2
 
     def loss():
-        logits, _ = lm_scoring.attend(w, lm_scoring.embedded(w, flat, first), x, seen, lag)
-        return -lm_scoring.mixed(logits[:40], logs)[0].mean()
+        logits, _ = lm_scoring.attend(w, lm_scoring.embedded(w, flat, first), x, seen)
+        return -lm_scoring.mixed(logits, logs)[0][real].mean()
 
-    g = lm_scoring.gradient(w, lm_scoring.embedded(w, flat, first), flat, first, x, seen, lag, logs)
-    at = int(flat[first[stream[20]]])
-    for name, place in (("ids", (at, 3)), ("ids", (at, 10)), ("ids", (at, 17)), ("ids", (int(flat[first[stream[5]]]), 20)), ("out", (2, 5)), ("bias", (4,)), ("near", (1,))):
+    g = lm_scoring.gradient(w, lm_scoring.embedded(w, flat, first), flat, first, x, seen, logs, real)
+    at, other = int(flat[first[stream[20]]]), int(flat[first[stream[5]]])
+    for name, place in (("ids", (at, 3)), ("ids", (at, 5)), ("ids", (at, 9)), ("ids", (other, 12)), ("ids", (other, 1)), ("out", (2, 5)), ("bias", (4,)), ("near", (1,))):
         kept = w[name][place]
         w[name][place] = kept + 1e-4
         up = loss()
@@ -151,14 +162,21 @@ def test_gradient_is_the_slope():
 def test_windows_score_each_token_once_and_causally():
     rng, w = layer(2)
     flat, first = np.arange(50), np.arange(50)
-    stream, start = rng.integers(0, 50, 70), np.repeat([0, 33], [33, 37])
-    run = lambda s: lm_scoring.attend(w, lm_scoring.embedded(w, flat, first), *lm_scoring.windows(s, start))[0][:70]
+    stream, start, _ = stream_of(rng, [33, 37, 8])
+    hold = lm_scoring.HOLD
+    run = lambda s: lm_scoring.attend(w, lm_scoring.embedded(w, flat, first), *lm_scoring.windows(s, start))[0]
     a = run(stream)
-    changed = stream.copy()
-    changed[40] = 49 - changed[40]
-    b = run(changed)
-    same = np.isclose(a, b).all(axis=1)
-    assert same[:40].all() and not same[40]
+    assert len(a) * hold == len(stream)
+    for changed in range(len(stream)):
+        other = stream.copy()
+        other[changed] = 49 - other[changed]
+        moved = ~np.isclose(a, run(other)).all(axis=1)
+        mine = start[::hold] == start[changed]
+        # nothing before the change, nothing in other texts, nothing beyond the reach
+        assert not moved[~mine].any() and not moved[np.arange(len(a)) * hold < changed].any()
+        assert not moved[np.arange(len(a)) * hold >= changed + lm_scoring.REACH + lm_scoring.BLOCK].any()
+        if changed % hold == 0:
+            assert moved[changed // hold]
 
 
 def test_pipeline(spark, tmp_path):
@@ -186,9 +204,3 @@ def test_pipeline(spark, tmp_path):
     empty = docs.sparkSession.createDataFrame([], DOCS)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
-
-
-@pytest.mark.parametrize("n", [1, 16, 17])
-def test_window_shapes(n):
-    slots, seen, lag = lm_scoring.windows(np.zeros(n, int), np.zeros(n, int))
-    assert slots.shape == (-(-n // 16), 24) and seen.shape == (len(slots), 16, 24) and lag.min() == 0
