@@ -70,8 +70,9 @@ SQL = {
  pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1,len(ws)+1)) AS p FROM w),
  kept AS (SELECT pos.doc_id, count(gone.p) AS g, string_agg(word,' ' ORDER BY pos.p) FILTER (gone.p IS NULL) AS t FROM pos LEFT JOIN gone ON pos.doc_id=gone.doc_id AND pos.p=gone.p GROUP BY 1)
  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g,0)::BIGINT AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
-    "op4_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024*x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
- s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id<>c.vec_id AND len(q.e)=len(c.e) WHERE q.vec_id%100=0),
+    "op4_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024*x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(1024*x::DOUBLE)))=0),
+ q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id%100=0 GROUP BY 1),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM q JOIN v c ON q.vec_id<>c.vec_id AND len(q.e)=len(c.e)),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
  SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank<=10""",
     "op6_minhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),

@@ -42,7 +42,7 @@ def communication_matrix(counts: dict[int, int], shards: int, seed: int) -> dict
 
 
 def _draw(rng, left: np.ndarray, n: int) -> np.ndarray:
-    """Multivariate hypergeometric by conditional univariate draws, each split in two where it exceeds numpy's range."""
+    """Multivariate hypergeometric by conditional univariate draws."""
     got, rest, todo = np.zeros_like(left), int(left.sum()), n
     for s, have in enumerate(left.tolist()):
         rest -= have
@@ -58,8 +58,22 @@ def _one(rng, good: int, bad: int, n: int) -> int:
         return n
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    spread = np.sqrt(n * (good / (good + bad)) * (bad / (good + bad)) * (good + bad - n) / max(1, good + bad - 1))
-    return int(np.clip(round(rng.normal(n * good / (good + bad), spread)), max(0, n - bad), min(n, good)))
+    return large_draw(rng.random(), good, bad, n)
+
+
+def large_draw(u: float, good: int, bad: int, n: int) -> int:
+    """The hypergeometric draw of a uniform ``u``, for totals beyond numpy's range: the law's weights are built outward from its
+    mode by their exact ratios, over all counts within 40 deviations (beyond lies less than a double can tell)."""
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    spread = int(40 * np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))) + 40
+    up = np.arange(mode, min(high, mode + spread), dtype=float)
+    down = np.arange(mode, max(low, mode - spread), -1, dtype=float)
+    above = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    below = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    weights = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(below) + int(np.searchsorted(weights, u * weights[-1], side="right"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, block_rows: int = 2_000) -> DataFrame:
@@ -67,7 +81,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, block_rows: int
 
     A DataFrame that isn't a plain scan should be written first, since its rows
     are visited twice and must lie in the same partitions both times; if they
-    don't, the query fails instead of giving wrong sizes."""
+    don't, the query fails instead of giving wrong sizes. So that they do for a
+    scan, ``spark.sql.files.minPartitionNum`` is set where the session has none."""
     conf = docs.sparkSession.conf
     if conf.get("spark.sql.files.minPartitionNum", None) is None:
         # else the cut of files into partitions follows the executors alive, which may change between the two passes

@@ -178,6 +178,20 @@ def test_matrix_is_hypergeometric():
     assert abs(np.var([d[0] for d in draws]) - 6 * (1 / 3) * (2 / 3) * (6 / 11)) < 0.06
 
 
+def test_large_draws_follow_the_law():
+    """Against numpy where both can: the same law, by its quantiles; and sizes beyond numpy's range."""
+    rng = np.random.default_rng(9)
+    for good, bad, n in ((500, 700, 300), (5, 10_000, 4_000), (30_000, 20, 29_990)):
+        us = (np.arange(4_000) + 0.5) / 4_000
+        ours = np.array([sharding.large_draw(u, good, bad, n) for u in us])
+        theirs = rng.hypergeometric(good, bad, n, 40_000)
+        assert ours.min() >= max(0, n - bad) and ours.max() <= min(n, good)
+        assert abs(ours.mean() - theirs.mean()) < 0.05 * theirs.std() + 1e-9 and abs(ours.std() - theirs.std()) < 0.05 * theirs.std() + 1e-9
+    big = [sharding.large_draw(u, 3 * 10**10, 10**11, 2 * 10**9) for u in (0.001, 0.5, 0.999)]
+    middle = 2 * 10**9 * 3 / 13
+    assert big[0] < big[1] < big[2] and abs(big[1] - middle) < 100 and big[2] - big[0] < 200_000
+
+
 def mixing_rows():
     rng = random.Random(4)
     out = [(i, " ".join("w" for _ in range(rng.randrange(1, 30))), "en", "big" if i % 3 else f"s{i % 5}", 1) for i in range(900)]
