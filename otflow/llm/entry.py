@@ -84,6 +84,15 @@ SQL = {
  reach AS (SELECT doc_id AS node, doc_id AS c FROM w UNION SELECT edges.y, reach.c FROM reach JOIN edges ON edges.x=reach.node WHERE reach.c<edges.y),
  least AS (SELECT node, min(c) AS c FROM reach GROUP BY 1)
  SELECT w.doc_id, coalesce(n.n,0)::BIGINT AS n_shingles, least.c AS component_id, least.c=w.doc_id AS kept FROM w JOIN least ON least.node=w.doc_id LEFT JOIN n ON n.doc_id=w.doc_id""",
+    "op9_suffix_dedup": """WITH d AS (SELECT doc_id, encode(coalesce(text,'')) AS b, octet_length(encode(coalesce(text,''))) AS n FROM documents),
+ win AS (SELECT doc_id, s, md5(b[s:s+399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n-398)) AS s FROM d WHERE n>=400)),
+ twice AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c>1),
+ marked AS (SELECT doc_id, s, CASE WHEN s>lag(s) OVER (PARTITION BY doc_id ORDER BY s)+400 THEN 1 ELSE 0 END AS fresh FROM twice),
+ spans AS (SELECT doc_id, min(s) AS lo, max(s)+399 AS hi FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marked) GROUP BY doc_id, g),
+ gaps AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo),0)+1 AS a, lo-1 AS z FROM spans UNION ALL SELECT doc_id, max(hi)+1, NULL FROM spans GROUP BY 1),
+ kept AS (SELECT gaps.doc_id, list_reduce(list(b[a:coalesce(z,n)] ORDER BY a), lambda x, y: x||y) AS k FROM gaps JOIN d ON d.doc_id=gaps.doc_id WHERE coalesce(z,n)>=a GROUP BY gaps.doc_id),
+ sums AS (SELECT doc_id, sum(hi-lo+1) AS gone, count(*) AS spans FROM spans GROUP BY 1)
+ SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(gone,0)::BIGINT AS n_removed, coalesce(spans,0)::BIGINT AS n_spans, sha256(CASE WHEN gone IS NULL THEN b ELSE coalesce(k, encode('')) END) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
 
 
