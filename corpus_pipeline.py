@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; every result is written and read again. All but the last return the
 columns of ``docs``.
+
+Nulls and oddities: a null or empty text, or one without a letter, goes in the
+first stage. Rows that share a doc_id are one document, of which near-dedup keeps
+one row; a null doc_id names none, so such rows all pass it, however alike. A null
+source is a source of its own. Repeated rows are near copies of each other. Extra
+columns pass through, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
