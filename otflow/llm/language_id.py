@@ -1,13 +1,14 @@
 """Language ID by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of a fixed public vocabulary
-(byte-level, so that any text can be cut into pieces). The probability of a word
-is the sum over all its segmentations, by the forward algorithm; a text's is the
-product over its words. Piece probabilities are fitted by expectation
+Each language has a probability for every piece of up to ``LONGEST`` bytes of a
+fixed public vocabulary (byte-level, with all single bytes, so that any text can be
+cut into pieces). The probability of a word is the sum over all its segmentations
+into such pieces, by the forward algorithm; a text's is the product over its words. Piece probabilities are fitted by expectation
 maximisation on the words of a bounded sample of labelled documents.
 
-Words are cut at white space, lower-cased and reduced to their letters; those
-longer than ``PART`` bytes are scored in parts of ``PART`` bytes. A task scores
+Words are cut at white space, lower-cased and reduced to their letters, without
+the space before them; those longer than ``PART`` bytes are scored in parts of
+``PART`` bytes, whose segmentations aren't summed across the cut. A task scores
 each distinct word once and keeps its scores (forgetting them beyond ``CACHE`` words).
 
 Bounds: at most ``sample`` labelled documents a language are fitted on, in
