@@ -171,6 +171,25 @@ def test_sharding(spark):
     assert [int(matrix[p].sum()) for p in (0, 1, 2)] == [5, 0, 8] and sorted(sum(matrix.values()).tolist()) == [3, 3, 3, 4]
 
 
+def test_shard_digest_of_odd_rows(spark):
+    """Sizes and checksums are those of the UTF-8 bytes; nulls, repeated rows, a very long text and clashing names keep the law."""
+    import zlib
+
+    data = [(i, t) for i, t in enumerate(["", "é", "日本", "x" * 300_000, None, "same", "same"])] + [(None, "same"), (None, None)] + [(100 + i, f"t{i}") for i in range(80)]
+    for name in ("shard", "slot", "_at", "size"):
+        df = spark.createDataFrame([(*r, "x") for r in data], f"doc_id long, text string, {name} string").repartition(3)
+        df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/odd-{name}")
+        rows = sharding.shard_digest(spark.read.parquet(path)).collect()
+        raw = lambda t: (t or "").encode()
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((i, len(raw(t)) + 16, zlib.crc32(raw(t))) for i, t in data)
+        assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+        own = {}
+        for r in rows:
+            own.setdefault(r.shard, []).append(r.slot)
+        assert set(own) == set(range(40)) and all(sorted(x) == list(range(len(x))) for x in own.values())
+        assert {len(x) for x in own.values()} == {2, 3}
+
+
 def test_matrix_is_hypergeometric():
     draws = [sharding.communication_matrix({0: 6, 1: 6}, 3, seed)[0] for seed in range(3000)]
     mean = np.mean(draws, axis=0)
