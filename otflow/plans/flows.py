@@ -134,11 +134,11 @@ for _n in ("fn_cvss_to_sl", "join_cvss_sl"):
     add(_n, lambda s, d: A.flows(s, d).select("row_id", S.cvss_to_sl(F.when(F.col("rPackets") < 7, F.col("sPackets") / 5)).alias("sl")), "SELECT row_id, CASE WHEN rPackets>=7 THEN 'SL-1' WHEN sPackets/5>=9 THEN 'SL-4' WHEN sPackets/5>=7 THEN 'SL-3' WHEN sPackets/5>=4 THEN 'SL-2' ELSE 'SL-1' END AS sl FROM flows", "flows")
 add("fn_numeric", lambda s, d: R(A.flows(s, d).select("row_id", S.filled("rttl", 64.0).alias("filled"), S.safe_duration(F.col("duration")).alias("eps"), S.clip(F.col("sPackets"), 10.0, 40.0).alias("clipped"), F.abs(F.col("sPackets") - 25).alias("absolute"), F.log1p("sBytesSum").alias("logged"), F.bround(F.col("sPackets") / 8, 2).alias("half_even"))), "SELECT row_id, coalesce(rttl,64.0) AS filled, CASE WHEN duration=0 THEN 0.001 ELSE duration END AS eps, least(greatest(sPackets,10.0),40.0) AS clipped, abs(sPackets-25) AS absolute, round(ln(1+sBytesSum),6) AS logged, round_even(sPackets/8,2) AS half_even FROM flows", "flows")
 for _n, _c, _sql in (
-    ("fn_fillna", S.filled("rttl", 64.0), "coalesce(rttl,64.0)"), ("fn_zero_to_eps", S.safe_duration(F.col("duration")), "CASE WHEN duration=0 THEN 0.001 ELSE duration END"), ("fn_clip", S.clip(F.col("sPackets"), 10.0, 40.0), "least(greatest(sPackets,10.0),40.0)"),
-    ("fn_abs", F.abs(F.col("sPackets") - 25), "abs(sPackets-25)"), ("fn_percent_text", S.percent_text(F.col("duration")), "printf('%.1f%%', duration*100)"), ("fn_truncate", S.cut(F.col("sIPs"), 2), "sIPs[1:2]"),
-    ("fn_hex_label", S.hex_label(F.col("sPackets").cast("int")), "'0x'||lpad(upper(to_hex(sPackets::BIGINT)),2,'0')"),
+    ("fn_fillna", lambda: S.filled("rttl", 64.0), "coalesce(rttl,64.0)"), ("fn_zero_to_eps", lambda: S.safe_duration(F.col("duration")), "CASE WHEN duration=0 THEN 0.001 ELSE duration END"), ("fn_clip", lambda: S.clip(F.col("sPackets"), 10.0, 40.0), "least(greatest(sPackets,10.0),40.0)"),
+    ("fn_abs", lambda: F.abs(F.col("sPackets") - 25), "abs(sPackets-25)"), ("fn_percent_text", lambda: S.percent_text(F.col("duration")), "printf('%.1f%%', duration*100)"), ("fn_truncate", lambda: S.cut(F.col("sIPs"), 2), "sIPs[1:2]"),
+    ("fn_hex_label", lambda: S.hex_label(F.col("sPackets").cast("int")), "'0x'||lpad(upper(to_hex(sPackets::BIGINT)),2,'0')"),
 ):
-    add(_n, lambda s, d, c=_c: A.flows(s, d).select("row_id", c.alias("y")), f"SELECT row_id, {_sql} AS y FROM flows", "flows")
+    add(_n, lambda s, d, c=_c: A.flows(s, d).select("row_id", c().alias("y")), f"SELECT row_id, {_sql} AS y FROM flows", "flows")
 add("fn_safe_div", lambda s, d: R(A.flows(s, d).select("row_id", S.over_at_least(F.col("sPackets"), F.col("rPackets") - 1).alias("a"), S.over_one_more(F.col("sPackets"), F.col("rPackets")).alias("b"))), "SELECT row_id, round(sPackets/greatest(rPackets-1,1.0),6) AS a, round(sPackets/(rPackets+1),6) AS b FROM flows", "flows")
 add("fn_text", lambda s, d: A.flows(s, d).select("row_id", S.percent_text(F.col("duration")).alias("percent"), F.substring("sIPs", 1, 2).alias("cut"), S.hex_label(F.col("sPackets").cast("int")).alias("hexed")), "SELECT row_id, printf('%.1f%%', duration*100) AS percent, sIPs[1:2] AS cut, '0x'||lpad(upper(to_hex(sPackets::BIGINT)),2,'0') AS hexed FROM flows", "flows")
 add("filter_ics_ports", lambda s, d: A.flows(s, d).where(F.col("dst_port").isin(502, 20000, 44818, 102, 4840)).select("row_id", "dst_port"), "SELECT row_id, dst_port FROM flows WHERE dst_port IN (502,20000,44818,102,4840)", "flows")
@@ -171,7 +171,7 @@ add("agg_segmentation_ratio", lambda s, d: R(E.segmentation(A.flows(s, d)).selec
 add("agg_flow_stats", lambda s, d: R(A.flows(s, d).agg(F.count(F.lit(1)).alias("total_flows"), F.avg("sPackets").alias("mean_packets"), F.min("sPackets").alias("min_packets"), F.max("sPackets").alias("max_packets"), F.avg("duration").alias("mean_duration")), 4), "SELECT count(*) AS total_flows, round(avg(sPackets),4) AS mean_packets, min(sPackets) AS min_packets, max(sPackets) AS max_packets, round(avg(duration),4) AS mean_duration FROM flows", "flows")
 add("report_stats", lambda s, d: R(A.flows(s, d).agg(F.count(F.lit(1)).alias("total_flows"), F.avg("sBytesSum").alias("mean_bytes"), F.max("sBytesSum").alias("max_bytes")), 3), "SELECT count(*) AS total_flows, round(avg(sBytesSum),3) AS mean_bytes, round(max(sBytesSum),3) AS max_bytes FROM flows", "flows")
 add("agg_ks_drift", lambda s, d: R(P.ks_drift(A.flows(s, d).where("IT_B_Label = 0"), A.flows(s, d).where("IT_B_Label = 1"), ["sPackets", "duration"])), "SELECT feature, round(max(abs(ca/all_a-cb/all_b)),6) AS ks FROM (SELECT feature, sum(a) OVER (PARTITION BY feature ORDER BY value) AS ca, sum(b) OVER (PARTITION BY feature ORDER BY value) AS cb, sum(a) OVER (PARTITION BY feature) AS all_a, sum(b) OVER (PARTITION BY feature) AS all_b FROM (SELECT feature, value, sum(1-y) AS a, sum(y) AS b FROM long WHERE feature IN ('sPackets','duration') GROUP BY 1,2)) GROUP BY 1", "flows", LONG)
-add("ml_scale", lambda s, d: R(ML.scale(A.flows(s, d), ML.scale_parameters(A.flows(s, d), ["sPackets", "duration"]))), "SELECT row_id, round((sPackets-avg(sPackets) OVER ())/stddev_pop(sPackets) OVER (),6) AS \"sPackets\", round((duration-avg(duration) OVER ())/stddev_pop(duration) OVER (),6) AS duration FROM flows", "flows")
+add("ml_scale", lambda s, d: R(ML.scale(A.flows(s, d), ML.scale_parameters(A.flows(s, d), ["sPackets", "duration"])).select("row_id", "sPackets", "duration")), "SELECT row_id, round((sPackets-avg(sPackets) OVER ())/stddev_pop(sPackets) OVER (),6) AS \"sPackets\", round((duration-avg(duration) OVER ())/stddev_pop(duration) OVER (),6) AS duration FROM flows", "flows")
 add("union_files", lambda s, d: A.flows(s, d).select("row_id", "sPackets").unionByName(A.flows(s, d).select("row_id", "duration"), allowMissingColumns=True), "SELECT row_id, sPackets AS \"sPackets\", NULL::DOUBLE AS duration FROM flows UNION ALL SELECT row_id, NULL, duration FROM flows", "flows")
 add("union_columns", lambda s, d: R(X.feature_table(A.flows(s, d), 1).select("row_id", "total_bytes", "byte_rate_asymmetry")), f"SELECT row_id, round(sBytesSum+rBytesSum,6) AS total_bytes, round({ENGIN['byte_rate_asymmetry']},6) AS byte_rate_asymmetry FROM flows", "flows")
 add("join_ground_truth", lambda s, d: R(found(s, d).select("row_id").distinct().withColumn("hit", F.lit(1)).join(A.flows(s, d).groupBy("row_id").agg(F.max("IT_M_Label").alias("attack_type")), "row_id", "right").groupBy("attack_type").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("caught"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))), "SELECT attack_type, count(*) AS total, count(h.row_id) AS caught, round(avg((h.row_id IS NOT NULL)::INT),6) AS recall FROM (SELECT row_id, max(IT_M_Label) AS attack_type FROM flows GROUP BY 1) t LEFT JOIN (SELECT DISTINCT row_id FROM detections) h USING (row_id) GROUP BY 1", *FD)

@@ -113,8 +113,8 @@ _FPF = """SELECT src_ip, src_port, round(fp/greatest(bp,1.0),6) AS packet_ratio,
 add("feat_from_packet_flow", lambda s, d: R(X.from_packet_flow(assembled(s, d)).select("src_ip", "src_port", "packet_ratio", "bytes_per_packet", "packet_size_anomaly", "traffic_symmetry", "scan_signature_score", "src_psh_rate", "src_ttl")), _FPF, *PK)
 add("fn_tcp_flag", lambda s, d: A.packets(s, d).select("pkt_id", *[S.has_flag(F.col("tcp_flags"), b).alias(n) for n, b in K.FLAGS.items()]), "SELECT pkt_id, (tcp_flags&1)<>0 AS fin, (tcp_flags&2)<>0 AS syn, (tcp_flags&4)<>0 AS rst, (tcp_flags&8)<>0 AS psh, (tcp_flags&16)<>0 AS ack, (tcp_flags&32)<>0 AS urg FROM packets", "packets")
 add("fn_bytes", lambda s, d: I.tcp(A.packets(s, d)).where("dst_port = 502").select("pkt_id", S.u16be(F.col("payload"), 0).alias("be"), S.u16le(F.col("payload"), 0).alias("le"), S.byte_at(F.col("payload"), 7).alias("byte"), S.hex_label(S.byte_at(F.col("payload"), 7)).alias("label")), "SELECT pkt_id, tid AS be, ((tid%256)*256+tid//256)::INT AS le, fc AS byte, '0x'||lpad(upper(to_hex(fc::BIGINT)),2,'0') AS label FROM packets WHERE dst_port=502", "packets")
-for _n, _c, _sql in (("fn_u16be", S.u16be(F.col("payload"), 0), "tid"), ("fn_u16le", S.u16le(F.col("payload"), 0), "((tid%256)*256+tid//256)::INT"), ("fn_byte", S.byte_at(F.col("payload"), 7), "fc")):
-    add(_n, lambda s, d, c=_c: I.tcp(A.packets(s, d)).where("dst_port = 502").select("pkt_id", c.alias("y")), f"SELECT pkt_id, {_sql} AS y FROM packets WHERE dst_port=502", "packets")
+for _n, _c, _sql in (("fn_u16be", lambda: S.u16be(F.col("payload"), 0), "tid"), ("fn_u16le", lambda: S.u16le(F.col("payload"), 0), "((tid%256)*256+tid//256)::INT"), ("fn_byte", lambda: S.byte_at(F.col("payload"), 7), "fc")):
+    add(_n, lambda s, d, c=_c: I.tcp(A.packets(s, d)).where("dst_port = 502").select("pkt_id", c().alias("y")), f"SELECT pkt_id, {_sql} AS y FROM packets WHERE dst_port=502", "packets")
 
 # --- inspection ---
 add("dpi_route", lambda s, d: I.route(A.packets(s, d)).select("pkt_id", "protocol", "severity", "alert"), "SELECT pkt_id, p.name AS protocol, CASE WHEN p.name='BACnet' THEN 'MEDIUM' END AS severity, CASE WHEN p.name='BACnet' THEN 'BACnet detected on port 47808' END AS alert FROM packets JOIN (VALUES (502,'Modbus/TCP'),(20000,'DNP3'),(44818,'EtherNet/IP'),(102,'S7comm (Siemens)'),(4840,'OPC UA'),(47808,'BACnet')) p(port,name) ON dst_port=p.port", "packets")
