@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, minhash_dedup, mixing, sharding, substring_dedup, suffix_dedup, topk_search, url_filters
+from . import decontamination, language_id, lm_scoring, minhash_dedup, mixing, phrase_mining, sharding, substring_dedup, suffix_dedup, topk_search, url_filters
 from .common import table
 
 URL_ALLOW = ["example.com/en/7", "net/de/"]
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -93,6 +97,15 @@ SQL = {
  kept AS (SELECT gaps.doc_id, list_reduce(list(b[a:coalesce(z,n)] ORDER BY a), lambda x, y: x||y) AS k FROM gaps JOIN d ON d.doc_id=gaps.doc_id WHERE coalesce(z,n)>=a GROUP BY gaps.doc_id),
  sums AS (SELECT doc_id, sum(hi-lo+1) AS gone, count(*) AS spans FROM spans GROUP BY 1)
  SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(gone,0)::BIGINT AS n_removed, coalesce(spans,0)::BIGINT AS n_spans, sha256(CASE WHEN gone IS NULL THEN b ELSE coalesce(k, encode('')) END) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_phrase_mining": """WITH d AS (SELECT coalesce(lang,'und') AS lang, translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ w AS (SELECT lang, regexp_extract_all(s, '[^\\x20\\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS s FROM d)),
+ f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(ws[i:i+k-1],' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws)-k+2)) AS i FROM w, (VALUES (1),(2),(3)) t(k))) GROUP BY 1,2,3 HAVING count(*)>=10),
+ totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+ c AS (SELECT *, string_split(phrase,' ') AS p FROM f WHERE k>1),
+ cuts AS (SELECT c.lang, c.phrase, c.k, c.a, cut, x.a AS l, y.a AS r, (1000000::HUGEINT*c.a*c.a)//(x.a::HUGEINT*y.a) AS score FROM (SELECT *, unnest(range(1,k)) AS cut FROM c) c JOIN f x ON x.lang=c.lang AND x.phrase=array_to_string(p[1:cut],' ') JOIN f y ON y.lang=c.lang AND y.phrase=array_to_string(p[cut+1:],' ')),
+ worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM cuts) WHERE o=1),
+ held AS (SELECT lang, s, max(a) AS b FROM (SELECT lang, a, unnest([array_to_string(p[1:2],' '), array_to_string(p[2:3],' ')]) AS s FROM c WHERE k=3) GROUP BY 1,2)
+ SELECT * FROM (SELECT worst.lang, row_number() OVER (PARTITION BY worst.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM worst LEFT JOIN held ON held.lang=worst.lang AND held.s=worst.phrase JOIN totals ON totals.lang=worst.lang WHERE b IS NULL OR 100*b<50*a) WHERE rank<=2000""",
 }
 
 
