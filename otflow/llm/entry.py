@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, minhash_dedup, mixing, phrase_mining, sharding, substring_dedup, suffix_dedup, topk_search, url_filters
+from . import decontamination, language_id, lm_scoring, minhash_dedup, mixing, packing, phrase_mining, sharding, substring_dedup, suffix_dedup, topk_search, url_filters
 from .common import table
 
 URL_ALLOW = ["example.com/en/7", "net/de/"]
@@ -61,6 +61,10 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
