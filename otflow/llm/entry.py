@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, minhash_dedup, mixing, packing, phrase_mining, sharding, substring_dedup, suffix_dedup, topk_search, url_filters
+from . import decontamination, language_id, lm_scoring, minhash_dedup, mixing, packing, phrase_mining, prefix_trie, sharding, substring_dedup, suffix_dedup, topk_search, url_filters
 from .common import table
 
 URL_ALLOW = ["example.com/en/7", "net/de/"]
@@ -61,6 +61,10 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: One bit of a CRC-32 whose register is {0}.
+_BIT = "xor({0}>>1, 3988292384*({0}&1))"
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], range(8*length(conv_id::VARCHAR))), lambda a, j: " + _BIT.format("(CASE WHEN j%8=0 THEN xor(a, ascii(substr(conv_id::VARCHAR, (j//8+1)::INT, 1))) ELSE a END)") + "), 4294967295)"
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 SQL = {
     "op3_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text,'')")} AS ws FROM documents),
@@ -101,6 +108,15 @@ SQL = {
  kept AS (SELECT gaps.doc_id, list_reduce(list(b[a:coalesce(z,n)] ORDER BY a), lambda x, y: x||y) AS k FROM gaps JOIN d ON d.doc_id=gaps.doc_id WHERE coalesce(z,n)>=a GROUP BY gaps.doc_id),
  sums AS (SELECT doc_id, sum(hi-lo+1) AS gone, count(*) AS spans FROM spans GROUP BY 1)
  SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(gone,0)::BIGINT AS n_removed, coalesce(spans,0)::BIGINT AS n_spans, sha256(CASE WHEN gone IS NULL THEN b ELSE coalesce(k, encode('')) END) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_prefix_trie": f"""WITH t AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(length(role)||':'||role||text)) AS s, {_CRC}%6 AS h FROM t GROUP BY 1),
+ full_ AS (SELECT own.conv_id, list_concat(coalesce(base.s,[])[1:own.h], own.s[own.h+1:]) AS s FROM own LEFT JOIN own base ON base.conv_id=own.conv_id-own.conv_id%100),
+ pre AS (SELECT conv_id, d, s[1:d] AS p, len(s)=d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s)+1)) AS d FROM full_)),
+ node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS e FROM pre GROUP BY 1,2),
+ kid AS (SELECT p[1:d-1] AS up, d-1 AS ud, count(*) AS k FROM node WHERE d>0 GROUP BY 1,2),
+ known AS (SELECT node.*, coalesce(k,0) AS k, (n-1)*CASE WHEN d=0 THEN 0 ELSE length(p[d].text) END AS w FROM node LEFT JOIN kid ON up=p AND ud=d),
+ sums AS (SELECT p[1:a] AS up, a, sum((k=0)::INT) AS leaves, sum(w) AS saved FROM (SELECT *, unnest(range(0, d+1)) AS a FROM known) GROUP BY 1,2)
+ SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, x.k AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(x.e) AS ends_sha256 FROM known x JOIN sums ON up=x.p AND a=x.d LEFT JOIN node y ON y.d=x.d-1 AND y.p=x.p[1:x.d-1]""",
     "op11_phrase_mining": """WITH d AS (SELECT coalesce(lang,'und') AS lang, translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
  w AS (SELECT lang, regexp_extract_all(s, '[^\\x20\\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS s FROM d)),
  f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(ws[i:i+k-1],' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws)-k+2)) AS i FROM w, (VALUES (1),(2),(3)) t(k))) GROUP BY 1,2,3 HAVING count(*)>=10),
