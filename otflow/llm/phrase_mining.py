@@ -38,6 +38,8 @@ NO_LANG = "und"
 FLUSH = 1 << 20
 #: Candidates up to which their sketch is broadcast (two bits of up to 2**MAX_BITS cells each, a quarter full at most).
 MOST = 1 << 28
+#: Parts of a language's phrases that are ranked apart first.
+PARTS = 64
 
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -227,8 +229,11 @@ def collocations(docs: DataFrame, support: int = 10, most_words: int = 3, covere
     inner = F.expr("flatten(transform(sequence(2, words - 1), k -> transform(sequence(1, words - k + 1), i -> array_join(slice(split(phrase, ' '), i, k), ' '))))")
     holds = phrases.where(F.col("words") > 2).select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     left = worst.join(holds, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * covered_percent))
-    order = Window.partitionBy("lang").orderBy(F.desc("worst.score"), F.desc("a"), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    # the best of a language are among the best of its parts, so that no task takes all phrases of one
+    order, rank = [F.desc("worst.score"), F.desc("a"), F.col("phrase")], F.col("rank") <= first
+    parted = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    parted = parted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(rank)
+    best = parted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(rank)
     return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "words", "worst.cut", "a", "worst.l", "worst.r", "n", "worst.score")
 
 
