@@ -2,17 +2,17 @@
 
 Chains are sparse tables: transitions (chain, prev, cur, n), exits (chain, prev,
 n) and sizes (chain, k). The chain ``*`` is global and follows the input order
-whatever the source; its transitions are found in time buckets whose ends are
-stitched, so no window spans the table.
+whatever the source. Heavy sources, and the table as a whole, are cut into slices of
+about ``SLICE_ROWS`` rows in time order, each led in by the row before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import sigmoid
+from .ordered import SLICE_ROWS, numeric, placed, sliced
 
 GLOBAL, ALPHA, LEAST_FLOWS = "*", 0.1, 5
 
@@ -35,19 +35,20 @@ def with_state(df: DataFrame) -> DataFrame:
     return df.withColumn("state", state_of(df))
 
 
-def with_previous(df: DataFrame) -> DataFrame:
-    return df.withColumn("prev", F.lag("state").over(Window.partitionBy("src_ip").orderBy("ts", "row_id")))
+def _stepped(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """With the state before, in (ts, row_id) order."""
+    cut = sliced(df.withColumn("_at", placed(F.col("ts"))), keys, "_at", numeric(df, "row_id"), rows)
+    led = cut.led(["ts", "row_id"], 1).withColumn("prev", F.lag("state").over(cut.window("ts", "row_id")))
+    return led.where(~F.col("_copy")).drop("_at", "_slice", "_copy")
 
 
-def global_transitions(df: DataFrame, bucket_seconds: float = 86400.0) -> DataFrame:
+def with_previous(df: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
+    return _stepped(df, ["src_ip"], rows)
+
+
+def global_transitions(df: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
     """(prev, cur) of consecutive rows of the whole table in (ts, row_id) order."""
-    held = df.withColumn("b", F.floor(F.col("ts") / bucket_seconds))
-    w = Window.partitionBy("b").orderBy("ts", "row_id")
-    inside = held.withColumn("prev", F.lag("state").over(w)).where("prev is not null").select("prev", F.col("state").alias("cur"))
-    ends = held.groupBy("b").agg(F.min_by("state", F.struct("ts", "row_id")).alias("first"), F.max_by("state", F.struct("ts", "row_id")).alias("last"))
-    # one row a bucket: a window over the buckets of a long table is still small
-    stitched = ends.withColumn("prev", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("b"))).where("prev is not null").select("prev", F.col("first").alias("cur"))
-    return inside.unionByName(stitched)
+    return _stepped(df.select("ts", "row_id", "state"), [], rows).where("prev is not null").select("prev", F.col("state").alias("cur"))
 
 
 def fit(df: DataFrame) -> dict[str, DataFrame]:

@@ -66,6 +66,16 @@ class Sliced:
         return joined.select(*[df[c] for c in df.columns], *[F.coalesce(whole[n], F.lit(0)).alias(n) for n in sums])
 
 
+def placed(time: Column) -> Column:
+    """``time`` as a number to cut by: null, which sorts first, is before all."""
+    return F.coalesce(time.cast("double"), F.lit(float("-inf")))
+
+
+def numeric(df: DataFrame, name: str) -> str | None:
+    """``name``, if it is a number to cut ties by."""
+    return name if dict(df.dtypes).get(name, "").split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal") else None
+
+
 def _search(cuts: Column, at: Column) -> Column:
     """How many of the sorted ``cuts``, in chunks, lie before ``at``: a look at the chunks' first, then at one chunk."""
     chunk = F.size(F.filter(cuts, lambda c: F.get(c, F.lit(0)) < at))
@@ -97,10 +107,10 @@ def sliced(df: DataFrame, keys: list[str], time: str, tie: str | None = None, ro
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
     if ties:
         most = max(t[-1] for t in ties) + 1
-        at = df.sparkSession.createDataFrame(ties, ", ".join(f"`_k_{c}` {kinds[c]}" for c in keys) + f"{', ' if keys else ''}_i int, _at double, _of int")
-        crowded = df.join(F.broadcast(at), _same(df, at, keys, "_k_") & (F.col(time).cast("double") == F.col("_at")))
-        for r in crowded.groupBy("_i", "_at").agg(F.percentile_approx(F.col(tie).cast("double"), [j / most for j in range(1, most)], 20 * most).alias("ties")).collect():
-            points[r["_i"]] = sorted({*points[r["_i"]], *((r["_at"], q) for q in r["ties"])})
+        at = df.sparkSession.createDataFrame(ties, ", ".join(f"`_k_{c}` {kinds[c]}" for c in keys) + f"{', ' if keys else ''}_tie_i int, _tie_at double, _tie_n int")
+        crowded = df.join(F.broadcast(at), _same(df, at, keys, "_k_") & (F.col(time).cast("double") == F.col("_tie_at")))
+        for r in crowded.groupBy("_tie_i", "_tie_at").agg(F.percentile_approx(F.col(tie).cast("double"), [j / most for j in range(1, most)], 20 * most).alias("ties")).collect():
+            points[r["_tie_i"]] = sorted({*points[r["_tie_i"]], *((r["_tie_at"], q) for q in r["ties"])})
     table = [(*[r[c] for c in keys], [points[i][a : a + _INNER] for a in range(0, len(points[i]), _INNER)]) for i, r in enumerate(found)]
     cuts = df.sparkSession.createDataFrame(table, f"{schema}{', ' if keys else ''}_cuts array<array<struct<t:double,u:double>>>")
     named = cuts.select(*[F.col(c).alias("_k_" + c) for c in keys], "_cuts")

@@ -2,8 +2,8 @@
 
 Two definitions exist: over the whole table in time order, and in a centred
 window of seconds. Counts come from group-bys with partial aggregation; windows
-are used only where order matters. For few, heavy sources the centred window
-has a second strategy that cuts time into buckets and joins neighbours.
+are used only where order matters, over slices of heavy sources whose ends are
+carried over (:mod:`.ordered`). The centred window is a sweep over time buckets.
 """
 
 from __future__ import annotations
@@ -12,18 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import entropy_hist, filled
+from ..functions.scalar import filled
+from .ordered import SLICE_ROWS, numeric, placed, sliced
+from .sweep import session_sweep
 
 
-def session_global(df: DataFrame) -> DataFrame:
-    """``df`` with the six session columns; ``timestamp`` text, or numeric ``start`` in seconds, gives the order. A null source is 0."""
+def session_global(df: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with the six session columns; ``timestamp`` text, or numeric ``start`` in seconds, gives the order. A null source is 0.
+
+    Sources with more than ``rows`` flows are cut into slices, each led in by the ten flows before it."""
     time = F.unix_micros(F.try_to_timestamp("timestamp")) / 1e6 if "timestamp" in df.columns else F.col("start").cast("double")
-    base = df.withColumn("_t", time)
-    order = Window.partitionBy("sIPs").orderBy("_t", "row_id")
+    cut = sliced(df.withColumns({"_t": time, "_at": placed(time)}), ["sIPs"], "_at", numeric(df, "row_id"), rows)
+    order = cut.window("_t", "row_id")
     gap = F.coalesce(F.col("_t") - F.lag("_t").over(order), F.lit(0.0))
-    gapped = base.withColumn("src_inter_flow_interval", gap)
+    gapped = cut.led(["_t", "row_id"], 10).withColumn("src_inter_flow_interval", gap)
     spread = F.coalesce(F.var_samp("src_inter_flow_interval").over(order.rowsBetween(-9, 0)), F.lit(0.0))
-    gapped = gapped.withColumn("src_inter_flow_variance", spread)
+    gapped = gapped.withColumn("src_inter_flow_variance", spread).where(~F.col("_copy")).drop("_at", "_slice", "_copy")
     pairs = df.groupBy("sIPs", "rIPs").agg(F.count(F.lit(1)).alias("_pair"))
     sources = pairs.groupBy("sIPs").agg(F.count("rIPs").alias("_distinct"), F.sum("_pair").alias("_flows"))
     held = gapped.join(sources, "sIPs", "left").join(pairs, ["sIPs", "rIPs"], "left")
@@ -40,18 +44,6 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.coalesce("sIPs", F.lit("unknown")).alias("sIPs"), F.coalesce("rIPs", F.lit("unknown")).alias("rIPs"), filled("start").alias("start"), (filled("sPayloadAvg") if "sPayloadAvg" in df.columns else F.lit(0.0)).alias("payload"))
 
 
-def _from_lists(df: DataFrame) -> DataFrame:
-    n, times = F.col("n"), F.sort_array("times")
-    gaps = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get(times, i) - F.get(times, i - 1))
-    mean = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / (n - 1)
-    variance = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)
-    some = n > 1
-    return df.select(
-        "row_id", F.col("d").cast("double").alias("src_unique_dst_count"), n.cast("double").alias("src_flow_count"), F.when(some, mean).otherwise(0.0).alias("src_inter_flow_interval"), F.when(some, variance).otherwise(0.0).alias("src_inter_flow_variance"),
-        (n / F.greatest("d", F.lit(1))).alias("src_dst_flow_ratio"), entropy_hist(F.filter("payloads", lambda x: x > 0)).alias("src_payload_entropy"),
-    )
-
-
 def entropy_by(df: DataFrame, key: str, value: str, bins: int = 10) -> DataFrame:
     """(key, e): entropy in bits of ``bins`` equal bins between a key's least and largest value, from counts of the bins."""
     ends = df.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
@@ -62,16 +54,15 @@ def entropy_by(df: DataFrame, key: str, value: str, bins: int = 10) -> DataFrame
     return joined.groupBy(key).agg(F.coalesce(-F.sum(F.col("k") / F.col("n") * F.log2(F.col("k") / F.col("n"))), F.lit(0.0)).alias("e"))
 
 
-def session_window(df: DataFrame, seconds: int = 60, strategy: str = "range") -> DataFrame:
-    """Session columns over [t - seconds, t + seconds] of the same source. ``bucket`` spreads a heavy source over time buckets."""
+def session_window(df: DataFrame, seconds: float = 60) -> DataFrame:
+    """row_id and the session columns over [t - seconds, t + seconds] of the same source: one sweep over each time bucket.
+
+    A source is spread over its buckets of ``seconds``. A bucket's task holds the numbers of three buckets, about 200
+    bytes a flow, and no lists: memory is linear in the flows, however many of them lie in a window."""
     base = _clean(df)
-    if strategy == "range":
-        w = Window.partitionBy("sIPs").orderBy("start").rangeBetween(-seconds, seconds)
-        held = base.select("row_id", F.count(F.lit(1)).over(w).cast("int").alias("n"), F.size(F.collect_set("rIPs").over(w)).alias("d"), F.collect_list("start").over(w).alias("times"), F.collect_list("payload").over(w).alias("payloads"))
-        return _from_lists(held)
-    near = neighbours(base, seconds)
-    held = near.groupBy("row_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_distinct("other_dst").cast("int").alias("d"), F.collect_list("other_start").alias("times"), F.collect_list("other_payload").alias("payloads"))
-    return _from_lists(held)
+    bucket = F.floor(F.col("start") / seconds)
+    near = base.select("row_id", "sIPs", "start", F.xxhash64("rIPs").alias("dst"), "payload", F.posexplode(F.array(bucket, bucket - 1, bucket + 1)).alias("_way", "_bucket"))
+    return session_sweep(near.withColumn("own", F.col("_way") == 0), ["sIPs", "_bucket"], seconds)
 
 
 def neighbours(base: DataFrame, seconds: int = 60) -> DataFrame:
@@ -87,10 +78,23 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def rate_excess(df: DataFrame, key: str, time: str, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """Rows beyond ``limit`` within the trailing ``seconds`` of their key."""
-    w = Window.partitionBy(key).orderBy(F.col(time)).rangeBetween(-seconds, 0)
-    return df.withColumn("in_window", F.count(F.lit(1)).over(w)).where(F.col("in_window") > limit)
+def rate_excess(df: DataFrame, key: str, time: str, limit: int = 100, seconds: float = 60, rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows beyond ``limit`` within the trailing ``seconds`` of their key, with ``in_window``. Rows without a time are left out.
+
+    In a key with more than ``rows`` rows, the count is that of all rows up to the time less that of all before the
+    window: running counts over slices with what lies before carried over."""
+    timed = df.where(F.col(time).isNotNull())
+    # a row comes at its time, and asks at the window's start, ahead of what comes then
+    event = F.struct(F.col(time).cast("double").alias("at"), F.lit(1).alias("comes")), F.struct((F.col(time) - seconds).cast("double").alias("at"), F.lit(0).alias("comes"))
+    numbered = timed.withColumns({"_row": F.struct(*timed.columns), "_id": F.monotonically_increasing_id()})
+    events = numbered.select(key, "_id", F.explode(F.array(*event)).alias("_e"), "_row").select(key, "_id", "_e.at", "_e.comes", F.when(F.col("_e.comes") == 1, F.col("_row")).alias("_row"))
+    cut = sliced(events, [key], "at", rows=2 * rows)
+    if not cut.heavy:
+        w = Window.partitionBy(key).orderBy(F.col(time)).rangeBetween(-seconds, 0)
+        return timed.withColumn("in_window", F.count(F.lit(1)).over(w)).where(F.col("in_window") > limit)
+    run = cut.carried(cut.df, {"_before": F.sum("comes")}).withColumn("_seen", F.sum("comes").over(cut.window("at", "comes")) + F.col("_before"))
+    both = run.groupBy("_id").agg(F.first("_row", ignorenulls=True).alias("_row"), (F.max(F.when(F.col("comes") == 1, F.col("_seen"))) - F.max(F.when(F.col("comes") == 0, F.col("_seen")))).alias("in_window"))
+    return both.where(F.col("in_window") > limit).select("_row.*", "in_window")
 
 
 def stratified_split(df: DataFrame, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:

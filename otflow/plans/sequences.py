@@ -42,8 +42,8 @@ def window_columns(df):
     return df.select("row_id", *[F.round(F.col(c) / (1000 if c.endswith("variance") else 1), {"src_inter_flow_interval": 3, "src_inter_flow_variance": 1}.get(c, 6)).alias(c) for c in X.SESSION])
 
 
-add("win_session_60s", lambda s, d: window_columns(W.session_window(A.sessions(s, d), SECONDS)), _W60, "sessions", _FRAME, _HIST)
-add("win_session_60s_buckets", lambda s, d: window_columns(W.session_window(A.sessions(s, d), SECONDS, "bucket")), _W60, "sessions", _FRAME, _HIST)
+for _n in ("win_session_60s", "win_session_60s_buckets"):
+    add(_n, lambda s, d: window_columns(W.session_window(A.sessions(s, d), SECONDS)), _W60, "sessions", _FRAME, _HIST)
 add("join_neighbours_60s", lambda s, d: W.neighbours(A.sessions(s, d).withColumn("payload", F.col("sPayloadAvg")), SECONDS).groupBy("row_id").agg(F.count(F.lit(1)).alias("n")), "SELECT row_id, n FROM near", "sessions", _FRAME)
 add("fn_entropy_hist", lambda s, d: R(W.entropy_by(A.sessions(s, d), "sIPs", "sPayloadAvg")), "SELECT sIPs, round(coalesce(max(e),0),6) AS e FROM (SELECT sIPs, -sum(p*log2(p)) AS e FROM (SELECT sIPs, bin, count(*)/max(m)::DOUBLE AS p FROM (SELECT sIPs, least(floor((sPayloadAvg-lo)/(hi-lo)*10),9) AS bin, m FROM (SELECT *, min(sPayloadAvg) OVER (PARTITION BY sIPs) AS lo, max(sPayloadAvg) OVER (PARTITION BY sIPs) AS hi, count(*) OVER (PARTITION BY sIPs) AS m FROM sessions) WHERE hi>lo) GROUP BY 1,2) GROUP BY 1) GROUP BY 1", "sessions")
 add("win_rate_excess", lambda s, d: W.rate_excess(A.sessions(s, d).select("row_id", "sIPs", "start"), "sIPs", "start", 3, 86_400).select("row_id", "in_window"), "SELECT row_id, n AS in_window FROM (SELECT row_id, count(*) OVER (PARTITION BY sIPs ORDER BY start RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM sessions) WHERE n>3", "sessions")
@@ -79,7 +79,7 @@ def flagged(s, d):
 for _n in ("markov_state", "fn_markov_state"):
     add(_n, lambda s, d: M.with_state(A.states(s, d)).select("row_id", "state"), "SELECT row_id, state FROM st", "states", ST)
 add("win_markov_prev", lambda s, d: M.with_previous(M.with_state(A.states(s, d))).select("row_id", "state", "prev"), "SELECT row_id, state, prev FROM seq", *MS)
-add("win_global_transitions", lambda s, d: M.global_transitions(M.with_state(A.states(s, d)), 7200).groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n")), "SELECT gprev AS prev, state AS cur, count(*) AS n FROM seq WHERE gprev IS NOT NULL GROUP BY 1,2", *MS)
+add("win_global_transitions", lambda s, d: M.global_transitions(M.with_state(A.states(s, d))).groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n")), "SELECT gprev AS prev, state AS cur, count(*) AS n FROM seq WHERE gprev IS NOT NULL GROUP BY 1,2", *MS)
 for _n in ("agg_markov_transitions", "markov_fit"):
     add(_n, lambda s, d: model(s, d)["transitions"], "SELECT chain, prev, cur, n FROM tr", *MT)
 add("markov_sizes", lambda s, d: model(s, d)["sizes"], "SELECT chain, k FROM ks", *MT, VOC)
