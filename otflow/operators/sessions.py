@@ -61,8 +61,8 @@ def session_window(df: DataFrame, seconds: float = 60) -> DataFrame:
     bytes a flow, and no lists: memory is linear in the flows, however many of them lie in a window."""
     base = _clean(df)
     bucket = F.floor(F.col("start") / seconds)
-    near = base.select("row_id", "sIPs", "start", F.xxhash64("rIPs").alias("dst"), "payload", F.posexplode(F.array(bucket, bucket - 1, bucket + 1)).alias("_way", "_bucket"))
-    return session_sweep(near.withColumn("own", F.col("_way") == 0), ["sIPs", "_bucket"], seconds)
+    near = base.select("row_id", F.xxhash64("sIPs").alias("_part"), "start", F.xxhash64("rIPs").alias("dst"), "payload", F.posexplode(F.array(bucket, bucket - 1, bucket + 1)).alias("_way", "_bucket"))
+    return session_sweep(near.withColumn("own", F.col("_way") == 0), seconds)
 
 
 def neighbours(base: DataFrame, seconds: int = 60) -> DataFrame:

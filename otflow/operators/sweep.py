@@ -8,7 +8,7 @@ values of a range are small, or finds its k-th smallest, in one step a bit.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .features import SESSION
@@ -92,12 +92,17 @@ def _entropy(payload: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
     return out
 
 
-def windows(start: np.ndarray, dst: np.ndarray, payload: np.ndarray, own: np.ndarray, seconds: float) -> np.ndarray:
-    """The six session columns of the ``own`` flows; flows are in order of ``start``."""
-    here = start[own]
-    low, high = np.searchsorted(start, here - seconds), np.searchsorted(start, here + seconds, side="right")
+def windows(group: np.ndarray, start: np.ndarray, dst: np.ndarray, payload: np.ndarray, own: np.ndarray, seconds: float) -> np.ndarray:
+    """The session columns of the ``own`` flows, each within its group; flows are in order of ``group`` and ``start``."""
+    here, mine = start[own], group[own]
+    # times by rank, so that group and time are one number and bounds are compared as they are
+    times, rank = np.unique(np.concatenate([start, here - seconds, here + seconds]), return_inverse=True)
+    at = lambda g, r: g * len(times) + r
+    n, m = len(start), len(here)
+    place = at(group, rank[:n])
+    low, high = np.searchsorted(place, at(mine, rank[n : n + m])), np.searchsorted(place, at(mine, rank[n + m :]), side="right")
     n = high - low
-    gaps = np.diff(start)
+    gaps = np.where(group[1:] == group[:-1], np.diff(start), 0.0)
     squares = np.concatenate([[0.0], np.cumsum(gaps * gaps)])
     steps = np.maximum(n - 1, 1)
     mean = (start[high - 1] - start[low]) / steps
@@ -111,19 +116,42 @@ def windows(start: np.ndarray, dst: np.ndarray, payload: np.ndarray, own: np.nda
     return np.stack([distinct, n, np.where(n > 1, mean, 0), np.where(n > 1, spread, 0), n / np.maximum(distinct, 1), _entropy(payload, low, high)])
 
 
-def session_sweep(near: DataFrame, keys: list[str], seconds: float) -> DataFrame:
-    """row_id and the session columns of ``own`` flows, by ``keys``, whose groups hold all flows within ``seconds`` of those.
-
-    Destinations are told apart by 64 bits of hash (``dst``)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.iloc[np.argsort(frame["start"].to_numpy(), kind="stable")]
-        own = frame["own"].to_numpy()
-        columns = windows(frame["start"].to_numpy(), frame["dst"].to_numpy(), frame["payload"].to_numpy(), own, seconds) if own.any() else np.zeros((6, 0))
-        return pd.DataFrame({"row_id": frame["row_id"].to_numpy()[own]} | dict(zip(_ORDER, columns, strict=True)))[["row_id", *SESSION]]
-
+def _swept(frame: pa.Table, seconds: float) -> pa.RecordBatch | None:
+    part, bucket, start, dst, payload, own = (frame.column(c).to_numpy() for c in ("_part", "_bucket", "start", "dst", "payload", "own"))
+    if not own.any():
+        return None
+    fresh = (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])
+    columns = windows(np.concatenate([[0], np.cumsum(fresh)]), start, dst, payload, own, seconds)
+    ids = frame.column("row_id").filter(pa.array(own)).combine_chunks()
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns)], names=["row_id", *_ORDER])
+
+
+def session_sweep(near: DataFrame, seconds: float) -> DataFrame:
+    """row_id and the session columns of ``own`` flows, by ``_part`` and ``_bucket``, whose groups hold all flows within
+    ``seconds`` of those. Many small groups are swept at once, a large one in whole. Destinations (``dst``) are 64-bit hashes."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, bucket = batch.column("_part").to_numpy(), batch.column("_bucket").to_numpy()
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])) + 1
+            if held and (held[-1].column("_part")[-1].as_py(), held[-1].column("_bucket")[-1].as_py()) != (part[0], bucket[0]):
+                cuts = np.concatenate([[0], cuts])
+            if len(cuts):  # all groups but the last are whole
+                done = pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))])
+                held = []
+                if out := _swept(done, seconds):
+                    yield out
+                batch = batch.slice(int(cuts[-1]))
+            held.append(batch)
+        if held and (out := _swept(pa.Table.from_batches(held), seconds)):
+            yield out
+
+    ordered = near.repartition("_part", "_bucket").sortWithinPartitions("_part", "_bucket", "start")
     kind = dict(near.dtypes)["row_id"]
-    return near.groupBy(*keys).applyInPandas(run, f"row_id {kind}, " + ", ".join(f"{c} double" for c in SESSION))
+    return ordered.mapInArrow(run, f"row_id {kind}, " + ", ".join(f"{c} double" for c in _ORDER)).select("row_id", *SESSION)
 
 
 _ORDER = ["src_unique_dst_count", "src_flow_count", "src_inter_flow_interval", "src_inter_flow_variance", "src_dst_flow_ratio", "src_payload_entropy"]

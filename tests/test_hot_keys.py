@@ -67,7 +67,7 @@ def test_window_memory_is_linear():
     n = 50_000
     draw = np.random.default_rng(2)
     start, dst, payload = np.sort(draw.random(n) * 60), draw.integers(0, 99, n), draw.random(n)
-    out = windows(start, dst, payload, np.arange(n) < 10_000, 60.0)
+    out = windows(np.zeros(n, np.int64), start, dst, payload, np.arange(n) < 10_000, 60.0)
     assert out.shape == (6, 10_000) and (out[1] == n).all() and (out[0] == 99).all() and (out[5] > 3.3).all()
 
 
