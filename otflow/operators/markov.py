@@ -76,15 +76,19 @@ def probabilities(rows: DataFrame, model: dict[str, DataFrame], alpha: float = A
     return held.withColumn("p", p).drop("n", "out", "k", "prev_known", "cur_known")
 
 
+def scored(steps: DataFrame, model: dict[str, DataFrame], alpha: float = ALPHA) -> DataFrame:
+    """``steps`` (with src_ip, prev and cur) with chain, p and transition_anomaly_score, by the source's own chain where it has one; also for streams."""
+    own = model["sizes"].where(F.col("chain") != GLOBAL).select(F.col("chain").alias("own"))
+    held = steps.join(own, F.col("src_ip") == F.col("own"), "left").withColumn("chain", F.coalesce("own", F.lit(GLOBAL))).drop("own")
+    out = probabilities(held, model, alpha)
+    return out.withColumn("transition_anomaly_score", F.when(F.col("prev").isNull(), 0.0).otherwise(sigmoid(-F.ln("p"))))
+
+
 def score(df: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
     """``df`` with prev, p and transition_anomaly_score; the first row of a source scores 0."""
     if not model:
         raise ValueError("fit a model first")
-    own = model["sizes"].where(F.col("chain") != GLOBAL).select(F.col("chain").alias("own"))
-    held = with_previous(with_state(df)).withColumnRenamed("state", "cur")
-    held = held.join(own, F.col("src_ip") == F.col("own"), "left").withColumn("chain", F.coalesce("own", F.lit(GLOBAL))).drop("own")
-    out = probabilities(held, model)
-    return out.withColumn("transition_anomaly_score", F.when(F.col("prev").isNull(), 0.0).otherwise(sigmoid(-F.ln("p"))))
+    return scored(with_previous(with_state(df)).withColumnRenamed("state", "cur"), model)
 
 
 def flag(df: DataFrame, model: dict[str, DataFrame], threshold: float = 0.5) -> DataFrame:

@@ -3,15 +3,14 @@ hands them to a sink of their own, and :func:`late_rows` counts those that a que
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as feats
 from ..operators.detectors import detect
 from ..operators.inspect import _modbus_fc
-from ..operators.markov import GLOBAL, state_of
+from ..operators.markov import ALPHA, scored, state_of
+from .stateful import centred_stream, flow_stream, previous_stream
 
 WATERMARK = "2 minutes"
 
@@ -21,18 +20,21 @@ def score_stream(flows: DataFrame, mean_size: float, thresholds: dict | None = N
     return detect(feats.feature_table(flows, 2, mean_size=mean_size, sessions=False), thresholds)
 
 
-def session_stream(flows: DataFrame, window: str = "60 seconds", slide: str = "10 seconds", watermark: str = WATERMARK) -> DataFrame:
-    """Counts of a source in sliding windows up to the event, not around it."""
+def session_stream(flows: DataFrame, seconds: float = 60, watermark: str = WATERMARK) -> DataFrame:
+    """The six session columns over [ts - seconds, ts + seconds] of the same source, once the watermark has passed the
+    window's end: the rows of :func:`..operators.sessions.session_window`, late by that much."""
+    return centred_stream(flows, seconds, watermark)
+
+
+def session_counts_stream(flows: DataFrame, window: str = "60 seconds", slide: str = "10 seconds", watermark: str = WATERMARK) -> DataFrame:
+    """Approximate counts of a source in sliding windows, without the wait."""
     w = F.window("ts", window, slide)
     return flows.withWatermark("ts", watermark).groupBy("sIPs", w).agg(F.count(F.lit(1)).alias("src_flow_count"), F.approx_count_distinct("rIPs").alias("src_unique_dst_count"))
 
 
-def assemble_stream(packets: DataFrame, idle: str = "120 seconds", watermark: str = WATERMARK) -> DataFrame:
-    """Flows closed by idleness, on the 5-tuple in either direction."""
-    a, b = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")), F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
-    held = packets.withColumns({"end_a": F.least(a, b), "end_b": F.greatest(a, b), "own": a})
-    out = held.withWatermark("ts", watermark).groupBy("end_a", "end_b", "proto", F.session_window("ts", idle).alias("w"))
-    return out.agg(F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.min_by("own", F.struct("ts", "pkt_id")).alias("src"))
+def assemble_stream(packets: DataFrame, idle: float = 120, linger: float = 2, watermark: str = WATERMARK) -> DataFrame:
+    """Flows with all columns of the batch form, closed ``idle`` seconds after their last packet or, once FIN or RST was seen, ``linger`` seconds."""
+    return flow_stream(packets, idle, linger, watermark)
 
 
 def rules_stream(packets: DataFrame, function: int, count: int, seconds: int, watermark: str = "10 seconds") -> DataFrame:
@@ -45,41 +47,14 @@ def dedup_alerts(alerts: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return alerts.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["pattern", "src_ip"])
 
 
-def markov_stream(flows: DataFrame, transitions: dict, sizes: dict, alpha: float = 0.1) -> DataFrame:
-    """Score of each row against the global chain, keeping the last state of each source.
-
-    ``transitions`` maps (prev, cur) to counts and ``sizes`` has ``k`` and exit counts by state: the states of the
-    port, protocol and function buckets, a few thousand at most."""
-
-    def run(key, frames, state):
-        prev = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values(["ts", "row_id"])
-            out = []
-            for cur in frame["state"]:
-                if prev is None:
-                    out.append(0.0)
-                else:
-                    known = prev in sizes["states"] and cur in sizes["states"]
-                    p = (transitions.get((prev, cur), 0) + alpha) / (sizes["exits"].get(prev, 0) + alpha * sizes["k"]) if known else 1 / (sizes["k"] + 1)
-                    out.append(float(1 / (1 + np.exp(-0.5 * (-np.log(p) - 3)))))
-                prev = cur
-            yield pd.DataFrame({"row_id": frame["row_id"], "src_ip": key[0], "score": out})
-        if prev is not None:
-            state.update((prev,))
-
-    held = flows.withColumn("state", state_of(flows)).select("src_ip", "row_id", "ts", "state")
-    return held.groupBy("src_ip").applyInPandasWithState(run, "row_id long, src_ip string, score double", "prev string", "append", "NoTimeout")
-
-
-def chain_for_stream(model: dict) -> tuple[dict, dict]:
-    """The global chain as small dictionaries."""
-    t = {(r["prev"], r["cur"]): r["n"] for r in model["transitions"].where(F.col("chain") == GLOBAL).collect()}
-    exits: dict = {}
-    for (p, _), n in t.items():
-        exits[p] = exits.get(p, 0) + n
-    states = {r["state"] for r in model["states"].where(F.col("chain") == GLOBAL).collect()}
-    return t, {"k": len(states), "exits": exits, "states": states}
+def markov_stream(flows: DataFrame, model: dict, alpha: float = ALPHA, ttl_seconds: float = 3600) -> DataFrame:
+    """Score of each row: the state before it is kept by source, and the model's tables are joined as in the batch form,
+    a source's own chain where it has one. A source that is silent for ``ttl_seconds`` starts anew.
+
+    That time is processing time, for which there is always another batch: a run with the trigger ``availableNow`` ends
+    only if ``spark.sql.streaming.noDataMicroBatches.enabled`` is false."""
+    steps = previous_stream(flows.withColumn("state", state_of(flows)), ttl_seconds)
+    return scored(steps, model, alpha).select("row_id", "src_ip", F.col("transition_anomaly_score").alias("score"))
 
 
 def split_late(stream: DataFrame, on_time, late, checkpoint: str, seconds: int = 120, time: str = "ts"):

@@ -197,25 +197,15 @@ def test_streams(spark, tmp_path):
     batch = D.detect(X.feature_table(flows, 2, mean_size=1.0, sessions=False), low)
     got = run_stream(streams.score_stream(live, 1.0, low), "scored")
     assert got.count() == batch.count() > 0
-    rows = [(i, "a", float(i), 50000, [502, 80][i % 2], "tcp", 1) for i in range(9)]
-    seq = spark.createDataFrame(rows, "row_id long, src_ip string, ts double, src_port int, dst_port int, protocol string, fc int").coalesce(1)
-    seq.write.parquet(f"{tmp_path}/seq")
-    model = M.fit(seq)
-    transitions, sizes = streams.chain_for_stream(model)
-    out = run_stream(streams.markov_stream(spark.readStream.schema(seq.schema).parquet(f"{tmp_path}/seq"), transitions, sizes), "chain")
-    want = {r.row_id: r.transition_anomaly_score for r in M.score(seq, model).collect()}
-    assert all(abs(r.score - want[r.row_id]) < 1e-9 for r in out.collect()) and out.count() == 9
     packets = spark.createDataFrame([(i, float(i * 50 + (10_000 if i == 9 else 0)), "a", "b", 6, 1, 502, 64, 40, 0, 0, bytes.fromhex("000100000006010100010002")) for i in range(10)], "pkt_id long, ts double, src_ip string, dst_ip string, proto int, src_port int, dst_port int, ttl int, length int, tcp_flags int, tcp_window int, payload binary").withColumn("ts", F.timestamp_seconds("ts"))
     packets.write.parquet(f"{tmp_path}/packets")
     flowing = spark.readStream.schema(packets.schema).parquet(f"{tmp_path}/packets")
-    closed = run_stream(streams.assemble_stream(flowing), "closed")
-    assert [r.packets for r in closed.collect()] == [9]
     ruled = run_stream(streams.rules_stream(flowing, 1, 2, 100), "ruled")
     assert ruled.count() == 4
     alerts = flowing.withColumn("pattern", F.lit("x")).select("pattern", "src_ip", "ts")
     assert run_stream(streams.dedup_alerts(alerts), "alerts").count() == 1
     named = flowing.withColumnRenamed("src_ip", "sIPs").withColumnRenamed("dst_ip", "rIPs")
-    assert run_stream(streams.session_stream(named), "sessions").count() > 0
+    assert run_stream(streams.session_counts_stream(named), "sessions").count() > 0
 
 
 def test_entropy_and_labels(spark):
