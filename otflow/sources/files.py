@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import SESSION, groups_json, leak_guard
+from .captures import PACKETS, captures
 
-PACKETS = "pkt_id long, ts double, src_ip string, dst_ip string, proto int, src_port int, dst_port int, ttl int, length int, tcp_flags int, tcp_window int, payload binary, file string"
+__all__ = ["PACKETS", "captures"]
 
 
 def list_datasets(spark: SparkSession, root: str) -> DataFrame:
@@ -34,45 +32,6 @@ def csv_dataset(spark: SparkSession, folder: str, max_files: int = 5, schema: st
     return out.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def _decode(data: bytes):
-    """Packets of a classic capture; a truncated file gives the packets before the cut."""
-    if len(data) < 24 or data[:4] not in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d"):
-        return
-    order = "<" if data[0] in (0xD4, 0x4D) else ">"
-    unit = 1e9 if data[:4] in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1e6
-    at = 24
-    while at + 16 <= len(data):
-        sec, frac, held, length = struct.unpack(order + "IIII", data[at : at + 16])
-        frame = data[at + 16 : at + 16 + held]
-        if len(frame) < held:
-            return
-        at += 16 + held
-        if len(frame) < 34 or frame[12:14] != b"\x08\x00":
-            continue
-        ip = frame[14:]
-        head = (ip[0] & 15) * 4
-        proto, l4 = ip[9], ip[head : struct.unpack(">H", ip[2:4])[0]]
-        ports, flags, window, payload = (None, None), None, None, b""
-        if proto == 6 and len(l4) >= 20:
-            ports, flags, window, payload = struct.unpack(">HH", l4[:4]), l4[13], struct.unpack(">H", l4[14:16])[0], l4[(l4[12] >> 4) * 4 :]
-        elif proto == 17 and len(l4) >= 8:
-            ports, payload = struct.unpack(">HH", l4[:4]), l4[8:]
-        yield sec + frac / unit, ".".join(map(str, ip[12:16])), ".".join(map(str, ip[16:20])), proto, *ports, ip[8], length, flags, window, payload
-
-
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of capture files, one task a file."""
-
-    def run(frames):
-        names = [c.split()[0] for c in PACKETS.split(", ")]
-        for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                found = [(i, *p, file) for i, p in enumerate(_decode(bytes(content)))]
-                yield pd.DataFrame(found, columns=names).astype({c: "Int32" for c in ("src_port", "dst_port", "tcp_flags", "tcp_window", "proto", "ttl", "length")})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PACKETS)
-
-
 def nvd_responses(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.enrich import cves_of
 
