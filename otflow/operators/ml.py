@@ -129,7 +129,7 @@ def _vector(features: list[str]) -> VectorAssembler:
 
 def fit_boosted(df: DataFrame, features: list[str], label: str = "label", rounds: int = 200, depth: int = 6) -> PipelineModel:
     v = _vector(features)
-    model = GBTClassifier(featuresCol="features", labelCol=label, predictionCol="xgb", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42).setProbabilityCol("xgb_p").setRawPredictionCol("xgb_raw").fit(v.transform(df))
+    model = GBTClassifier(featuresCol="features", labelCol=label, predictionCol="xgb", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42).setProbabilityCol("xgb_p").setRawPredictionCol("xgb_raw").fit(v.transform(df))
     return PipelineModel([v, model])
 
 
@@ -195,27 +195,71 @@ def importance(model: PipelineModel, features: list[str], df: DataFrame, k: int
     return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, values, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def explain(model: IsolationForest, rows: DataFrame, background: DataFrame, permutations: int = 8, top: int = 5, seed: int = 42) -> DataFrame:
-    """Monte-Carlo Shapley contributions to the forest's score: for random orders of the features, the change as each takes
-    the row's value instead of a background row's. ``background`` is at most 100 rows."""
-    names = model.features
-    ground = [[float(r[c]) for c in names] for r in background.select(*names).limit(100).collect()]
-    d = len(names)
-    orders = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
-    each = rows.select("row_id", *names, orders).select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("step"))
-    rank = lambda j: F.xxhash64(F.lit(seed), "row_id", "perm", F.lit(j))
-    order = F.array_sort(F.array(*[F.struct(rank(j).alias("h"), F.lit(j).alias("j")) for j in range(d)]))
-    each = each.withColumn("order", F.transform(order, lambda s: s["j"])).withColumn("taken", F.slice("order", 1, F.col("step")))
-    base = F.get(F.array(*[F.array(*[F.lit(v) for v in g]) for g in ground]), F.pmod(F.xxhash64(F.lit(seed), "row_id", "perm"), F.lit(len(ground))).cast("int"))
-    mixed = each.withColumn("base", base).select("row_id", "perm", "step", "order", *[F.when(F.array_contains("taken", j), F.col(c)).otherwise(F.col("base")[j]).alias(c) for j, c in enumerate(names)])
-    scored = model.score(mixed).select("row_id", "perm", "step", "order", "iso_score")
-    w = Window.partitionBy("row_id", "perm").orderBy("step")
-    deltas = scored.withColumn("delta", F.col("iso_score") - F.lag("iso_score").over(w)).where("step > 0")
-    label = F.get(F.array(*[F.lit(c) for c in names]), F.get("order", F.col("step") - 1))
-    mean = deltas.select("row_id", label.alias("feature"), "delta").groupBy("row_id", "feature").agg(F.avg("delta").alias("contribution"))
-    total = F.sum(F.abs("contribution")).over(Window.partitionBy("row_id"))
-    ranked = mean.withColumns({"percent": 100 * F.try_divide(F.abs("contribution"), total), "rank": F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc(F.abs("contribution")), "feature"))})
-    return ranked.where(F.col("rank") <= top).withColumn("direction", F.when(F.col("contribution") < 0, "toward anomaly").otherwise("toward normal"))
+def _paths(tree: tuple) -> list[tuple[float, list[tuple[int, float, list[tuple[int, bool]]]]]]:
+    """Leaves of a tree: path length, and for each feature on the way its share of the training rows and its turns (node, left)."""
+    feature, _, left, right, size = tree
+    out, todo = [], [(0, 0, {})]
+    while todo:
+        at, depth, way = todo.pop()
+        if feature[at] < 0:
+            out.append((depth + expected_path(size[at]), [(f, z, turns) for f, (z, turns) in way.items()]))
+            continue
+        for child, goes_left in ((left[at], True), (right[at], False)):
+            z, turns = way.get(feature[at], (1.0, []))
+            todo.append((child, depth + 1, way | {feature[at]: (z * size[child] / max(size[at], 1), [*turns, (at, goes_left)])}))
+    return out
+
+
+def path_contributions(trees: list, x: np.ndarray) -> np.ndarray:
+    """Shapley values of the mean path length, by row and feature, where an unknown feature's turns are taken by shares of
+    the training rows.
+
+    A leaf's part of a coalition's value is a product over the features on its way: whether the row goes that way (o) for
+    known ones, the share (z) for others. A feature's Shapley value is then (o - z) times the integral over t in [0, 1] of
+    the product of z (1 - t) + o t over the others, a polynomial that Gauss-Legendre nodes integrate exactly."""
+    out = np.zeros(x.shape)
+    for tree in trees:
+        feature, cut = tree[0], tree[1]
+        inner = np.flatnonzero(feature >= 0)
+        goes = dict(zip(inner.tolist(), x[:, feature[inner]].T < cut[inner, None], strict=True))
+        for length, way in _paths(tree):
+            t, weight = np.polynomial.legendre.leggauss(len(way) // 2 + 1)
+            t, weight = (t[:, None] + 1) / 2, weight / 2
+            takes = [np.logical_and.reduce([goes[node] == goes_left for node, goes_left in turns]) for _, _, turns in way]
+            factors = [z * (1 - t) + o * t for (_, z, _), o in zip(way, takes, strict=True)]
+            after = [np.ones((1, 1))]
+            for f in reversed(factors[1:]):
+                after.append(after[-1] * f)
+            before = np.ones((1, 1))
+            for (name, z, _), o, f, rest in zip(way, takes, factors, reversed(after), strict=True):
+                out[:, name] += length * (o - z) * (weight @ np.broadcast_to(before * rest, (len(weight), len(x))))
+                before = before * f
+    return out / max(len(trees), 1)
+
+
+def contributions(model: IsolationForest, df: DataFrame) -> DataFrame:
+    """``df`` with ``contributions``: for each feature of the forest, its part of the row's mean path length, in units of
+    the expected one. They add up to the path less its mean over the training rows; below 0 is toward anomaly."""
+    trees = df.sparkSession.sparkContext.broadcast([tuple(np.array(c) for c in zip(*t, strict=True)) for t in model.trees])
+    base = max(expected_path(model.psi), 1e-9)
+
+    @F.pandas_udf("array<double>")
+    def parts(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float, na_value=0.0) for c in columns])
+        return pd.Series(list(path_contributions(trees.value, x) / base))
+
+    return df.withColumn("contributions", parts(*[F.col(c) for c in model.features]))
+
+
+def explain(model: IsolationForest, rows: DataFrame, top: int = 5, keep: tuple = ("row_id",)) -> DataFrame:
+    """The ``top`` features of each row by magnitude: feature, contribution, percent, rank and direction. Each row is ranked by itself: no exchange."""
+    each = contributions(model, rows).select(*keep, "contributions")
+    named = F.transform("contributions", lambda c, j: F.struct((-F.abs(c)).alias("size"), F.get(F.array(*[F.lit(n) for n in model.features]), j).alias("feature"), c.alias("contribution")))
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + F.abs(c))
+    ranked = each.select(*keep, total.alias("_total"), F.posexplode(F.slice(F.array_sort(named), 1, top)).alias("_place", "_one"))
+    share = F.coalesce(100 * F.try_divide(F.abs("_one.contribution"), F.col("_total")), F.lit(0.0))
+    toward = F.when(F.col("_one.contribution") < 0, "toward anomaly").otherwise("toward normal")
+    return ranked.select(*keep, "_one.feature", "_one.contribution", share.alias("percent"), (F.col("_place") + 1).alias("rank"), toward.alias("direction"))
 
 
 def global_attribution(contributions: DataFrame, by: tuple = ()) -> DataFrame:
@@ -228,11 +272,11 @@ def true_positives(predictions: DataFrame, label: str = "label", n: int = 5) ->
     return predictions.where((F.col(label) == 1) & (F.col("prediction") == 1)).orderBy("row_id").limit(n).select("row_id", "confidence")
 
 
-def audit_report(predictions: DataFrame, model: Ensemble, scaled: DataFrame, background: DataFrame, label: str = "label", n: int = 5, top: int = 10, permutations: int = 8) -> DataFrame:
+def audit_report(predictions: DataFrame, model: Ensemble, scaled: DataFrame, label: str = "label", n: int = 5, top: int = 10) -> DataFrame:
     """First true positives with confidence and contributions; ``row_id`` must tell rows apart."""
     hit = true_positives(predictions, label, n)
     rows = scaled.join(F.broadcast(hit.select("row_id")), "row_id", "left_semi")
-    return explain(model.forest, rows, background, permutations, top).join(F.broadcast(hit), "row_id")
+    return explain(model.forest, rows, top).join(F.broadcast(hit), "row_id")
 
 
 def evaluate(predictions: DataFrame, label: str = "label") -> DataFrame:

@@ -15,7 +15,8 @@ from .registry import add
 
 NAMES = ["src_packets", "dst_packets", "src_bytes", "byte_ratio", "src_packet_rate", "src_syn_rate", "traffic_symmetry", "bytes_per_packet"]
 REQUEST = ["src_packets", "dst_packets", "src_bytes", "byte_ratio", "src_packet_rate", "bytes_per_packet"]
-FOREST, BOOSTED, TREES = {"trees": 50, "psi": 256}, {"rounds": 10, "depth": 4}, {"trees": 20, "depth": 8}
+#: The forest is of the default size (200 trees of 256 rows).
+FOREST, BOOSTED, TREES = {}, {"rounds": 10, "depth": 4}, {"trees": 20, "depth": 8}
 
 
 def training(s, d):
@@ -61,18 +62,15 @@ def importance(s, d):
 
 
 def contributions(s, d):
-    """The top 5 of each row whose forest score is in the lowest thousandth."""
+    """The top 5 features of every row."""
     scaled, model = _forest(s, d, keyed(training(s, d)))
-    scored = model.score(scaled)
-    low = scored.agg(F.percentile_approx("iso_score", 0.001, 100_000).alias("t"))
-    rows = scored.crossJoin(F.broadcast(low)).where(F.col("iso_score") <= F.col("t")).select("row_id", *NAMES)
-    return ML.explain(model, rows, W.sample_rows(scaled, 50), permutations=4).select("row_id.row_id", "row_id.nth", "feature", "contribution", "percent", "rank", "direction")
+    return ML.explain(model, scaled).select("row_id.row_id", "row_id.nth", "feature", "contribution", "percent", "rank", "direction")
 
 
 def attribution(s, d):
     """By feature and label, over all features of all rows."""
     scaled, model = _forest(s, d, keyed(training(s, d)))
-    why = ML.explain(model, scaled, W.sample_rows(scaled, 50), permutations=4, top=len(NAMES))
+    why = ML.explain(model, scaled, len(NAMES))
     return ML.global_attribution(why.withColumn("label", F.col("row_id.label")), ("label",))
 
 
@@ -80,7 +78,7 @@ def audit(s, d):
     df = keyed(training(s, d))
     model = ML.fit_ensemble(df, NAMES, forest=FOREST, boosted=BOOSTED, trees=TREES)
     scaled = ML.scale(df, model.parameters)
-    out = ML.audit_report(model.predict(df, ("row_id", "label")), model, scaled, W.sample_rows(scaled, 50), permutations=4)
+    out = ML.audit_report(model.predict(df, ("row_id", "label")), model, scaled)
     return out.select("row_id.row_id", "row_id.nth", "confidence", "feature", "contribution", "percent", "rank", "direction")
 
 

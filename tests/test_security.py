@@ -142,7 +142,7 @@ def test_models(spark, tmp_path):
     key = lambda rows: sorted((r.row_id, r.iso, r.xgb, r.rf, r.prediction, round(r.ensemble_score, 9)) for r in rows.collect())
     assert key(again.predict(df)) == key(model.predict(df))
     scaled = ML.scale(df, model.parameters)
-    why = ML.explain(model.forest, scaled.where("row_id = 1029"), scaled.limit(20), permutations=4, top=2).collect()
+    why = ML.explain(model.forest, scaled.where("row_id = 1029"), 2).collect()
     assert len(why) == 2 and sum(r.contribution for r in why) < 0 and why[0].direction == "toward anomaly"
     alone = ML.fit_ensemble(df.where("label = 0"), ["a", "b"], forest={"trees": 5, "psi": 16})
     assert alone.boosted is None and alone.weights() == {"iso": 1.0}
