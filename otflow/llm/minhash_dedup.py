@@ -150,15 +150,15 @@ def _key_sketcher(bits: int):
     return run
 
 
-def _key_rows(whole, bits: int):
+def _key_rows(whole, bits: int, which: slice):
     def run(batches):
         for batch in batches:
-            node, sig = batch.column(0).to_numpy(), batch.column(1)
-            keys = _keys(_sigs(sig))
+            node, label, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            keys = np.ascontiguousarray(_keys(_sigs(sig))[:, which])
             row, col = np.nonzero(sketch.repeated(whole.value, bits, keys.ravel()).reshape(keys.shape))
             for a in range(0, len(row), 100_000):
                 part = row[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part, col[a : a + 100_000]].view(np.int64)), pa.array(node[part]), sig.take(pa.array(part))], names=["key", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part, col[a : a + 100_000]].view(np.int64)), pa.array(node[part]), pa.array(label[part]), sig.take(pa.array(part))], names=["key", "node", "label", "sig"])
 
     return run
 
@@ -222,6 +222,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SMALL, PAIRS = 32, 1 << 16
+#: Keys of a signature, those of its first chunk, that are compared ahead of the others.
+FIRST_KEYS = PLACES // CHUNKS
 
 
 def _small_pairs(heads: np.ndarray, sizes: np.ndarray):
@@ -236,25 +238,27 @@ def _small_pairs(heads: np.ndarray, sizes: np.ndarray):
 
 
 def _near_groups(batches):
-    """Edges (a, b) that join, under each key, all signatures within the distance; one forest for all that a task sees."""
+    """Edges (a, b) between labels that join, under each key, all signatures within the distance; one forest for all that a
+    task sees, without those whose label is the same already."""
     held_a, held_b = [], []
-    for table, heads, n in _units(batches, ["key", "lo", "hi", "block", "node", "sig"]):
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+    for table, heads, n in _units(batches, ["key", "lo", "hi", "block", "label", "sig"]):
+        label, block = table.column("label").to_numpy(), table.column("block").to_numpy()
         sig = _sigs(table.column("sig"))
         lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
         sizes = np.diff(np.concatenate([heads, [n]]))
         plain = (sizes > 1) & (sizes <= SMALL) & (lo[heads] == hi[heads])
         for x, y in _small_pairs(heads[plain], sizes[plain]):
-            near = (sig[x] != sig[y]).sum(axis=1) <= REACH
-            held_a.append(node[x[near]])
-            held_b.append(node[y[near]])
+            near = ((sig[x] != sig[y]).sum(axis=1) <= REACH) & (label[x] != label[y])
+            held_a.append(label[x[near]])
+            held_b.append(label[y[near]])
         for at, size in zip(heads[(sizes > 1) & ~plain], sizes[(sizes > 1) & ~plain], strict=True):
             own = slice(at, at + size)
             close = _distance(sig[own], sig[own]) <= REACH
             if lo[at] != hi[at]:
                 close &= block[own][:, None] != block[own][None, :]
+            close &= label[own][:, None] != label[own][None, :]
             x, y = np.nonzero(np.triu(close, 1))
-            x, y = _forest(node[at + x], node[at + y])
+            x, y = _forest(label[at + x], label[at + y])
             held_a.append(x)
             held_b.append(y)
         if len(held_a) > 64:
@@ -338,10 +342,16 @@ def link_documents(docs: DataFrame, shingle: int = 4, percent: int = 80, block:
     same = filled.join(classes.select("f1", "f2", F.col("node").alias("rep")), ["f1", "f2"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     bits = sketch.bits_for(PLACES * classes.count())
     whole = sketch.merged(classes.select("sig").mapInArrow(_key_sketcher(bits), sketch.SCHEMA), bits)
-    keys = classes.select("node", "sig").mapInArrow(_key_rows(whole, bits), "key long, node long, sig binary")
-    units = in_blocks(keys, "key", block).select("key", "lo", "hi", "block", "node", "sig")
-    near = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_near_groups, "a long, b long")
-    clusters = materialise(components(near))
+
+    def near(labelled: DataFrame, which: slice) -> DataFrame:
+        keys = labelled.select("node", "label", "sig").mapInArrow(_key_rows(whole, bits, which), "key long, node long, label long, sig binary")
+        units = in_blocks(keys, "key", block).select("key", "lo", "hi", "block", "label", "sig")
+        return units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_near_groups, "a long, b long")
+
+    # large groups are joined by their first keys; the other keys then give only what joins two labels
+    first = materialise(components(near(classes.withColumn("label", F.col("node")), slice(0, FIRST_KEYS))))
+    labelled = classes.join(first, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    clusters = materialise(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(near(labelled, slice(FIRST_KEYS, None)))))
     members = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     members = members.join(classes.select("node", "sig", "f1", "f2"), "node").select(F.col("component").alias("cluster"), "node", "sig", "f1", "f2")
     # one row speaks for each class: the one with the class's node; its text is looked up by doc_id and set
