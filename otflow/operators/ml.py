@@ -223,20 +223,29 @@ def path_contributions(trees: list, x: np.ndarray) -> np.ndarray:
         inner = np.flatnonzero(feature >= 0)
         goes = dict(zip(inner.tolist(), x[:, feature[inner]].T < cut[inner, None], strict=True))
         for length, way in _paths(tree):
-            t, weight = np.polynomial.legendre.leggauss(len(way) // 2 + 1)
-            t, weight = (t[:, None] + 1) / 2, weight / 2
-            takes = [np.logical_and.reduce([goes[node] == goes_left for node, goes_left in turns]) for _, _, turns in way]
-            factors = [z * (1 - t) + o * t for (_, z, _), o in zip(way, takes, strict=True)]
-            after = [np.ones((1, 1))]
-            for f in reversed(factors[1:]):
-                after.append(after[-1] * f)
-            before = np.ones((1, 1))
-            for (name, z, _), o, f, rest in zip(way, takes, factors, reversed(after), strict=True):
-                out[:, name] += length * (o - z) * (weight @ np.broadcast_to(before * rest, (len(weight), len(x))))
-                before = before * f
+            # which of the way's features the row takes: a leaf has one answer for each of these patterns
+            pattern = np.zeros(len(x), np.int64)
+            for j, (_, _, turns) in enumerate(way):
+                pattern |= np.logical_and.reduce([goes[node] == goes_left for node, goes_left in turns]).astype(np.int64) << j
+            names = [name for name, _, _ in way]
+            if names:
+                out[:, names] += _leaf_values(np.array([z for _, z, _ in way]), length)[pattern]
     return out / max(len(trees), 1)
 
 
+def _leaf_values(z: np.ndarray, length: float) -> np.ndarray:
+    """Shapley values of a leaf's features for all patterns of taken ones, by pattern and feature."""
+    m = len(z)
+    takes = np.arange(1 << m)[:, None] >> np.arange(m) & 1
+    t, weight = np.polynomial.legendre.leggauss(m // 2 + 1)
+    t, weight = (t + 1) / 2, weight / 2
+    factors = z[:, None] * (1 - t) + takes[:, :, None] * t  # pattern, feature, node
+    ones = np.ones_like(factors[:, :1])
+    before = np.cumprod(np.concatenate([ones, factors[:, :-1]], axis=1), axis=1)
+    after = np.cumprod(np.concatenate([ones, factors[:, :0:-1]], axis=1), axis=1)[:, ::-1]
+    return length * (takes - z) * (before * after @ weight)
+
+
 def contributions(model: IsolationForest, df: DataFrame) -> DataFrame:
     """``df`` with ``contributions``: for each feature of the forest, its part of the row's mean path length, in units of
     the expected one. They add up to the path less its mean over the training rows; below 0 is toward anomaly."""
