@@ -11,8 +11,8 @@ from . import decontamination, language_id, lm_scoring, minhash_dedup, mixing, p
 from .common import table
 
 URL_ALLOW = ["example.com/en/7", "net/de/"]
-#: Token budget of the mixture, in times all tokens.
-MIXED = 1.25
+#: Token budget of the mixture, in times all tokens, and how far its entropy lies on the way to equal shares.
+MIXED, EVENED = 1.25, 0.5
 URL_BLOCK = ["com/en/", "example.net/de/8", "org/es/"]
 
 
@@ -45,7 +45,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.block_permutations(table(spark, sf_dir, "documents"), repetition_limit=2.0, budget_share=MIXED)
+    mixed = mixing.block_permutations(table(spark, sf_dir, "documents"), budget_share=MIXED, entropy_share=EVENED)
     return mixed.withColumn("weight", F.round("weight", 9))
 
 

@@ -2,8 +2,9 @@
 
 Source token shares are raised to an exponent and normalised. The exponent is
 found by bisection: the largest (closest to the natural shares) at which the
-mixture reaches a target entropy, or the smallest (flattest) at which no source
-is passed over more than a repetition limit. The weights are then realised
+mixture reaches a target entropy (given as it is, or as how far it lies on the way
+from the natural shares' to the largest one), or the smallest (flattest) at which
+no source is passed over more than a repetition limit. The weights are then realised
 under a token budget: each source is a sequence of random permutations of its
 documents (blocks), taken whole as often as the budget allows and cut in the
 last one where the budget ends. :func:`block_permutations` gives the sequence
@@ -79,10 +80,17 @@ def bisect_exponent(tokens: dict, target_entropy: float | None = None, repetitio
     return high
 
 
+def entropy_on_the_way(tokens: dict, share: float) -> float:
+    """The entropy that lies at ``share`` between that of the natural shares (0) and that of equal ones (1)."""
+    used = [n for n in tokens.values() if n]
+    natural = entropy(shares(tokens, 1.0))
+    return natural + share * (math.log(len(used)) - natural) if used else 0.0
+
+
 class Plan:
     """What the totals decide: ``held`` (doc_id, source, n_tokens, draw of every row, written) and ``sources``, one broadcast row each."""
 
-    def __init__(self, docs: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget: float | None, budget_share: float | None, seed: int, bucket_rows: int):
+    def __init__(self, docs: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget: float | None, budget_share: float | None, seed: int, bucket_rows: int, entropy_share: float | None = None):
         self.held = materialise(docs.select("doc_id", "source", counted(F.col("text")).alias("n_tokens"), _draw(seed).alias("draw")))
         totals = self.held.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
         if len(totals) > MAX_SOURCES:
@@ -90,6 +98,8 @@ class Plan:
         tokens = {r["source"]: r["tokens"] for r in totals}
         if budget_share is not None:
             budget = budget_share * sum(tokens.values())
+        if entropy_share is not None:
+            target_entropy = entropy_on_the_way(tokens, entropy_share)
         self.alpha = bisect_exponent(tokens, target_entropy, repetition_limit, budget)
         weights = shares(tokens, self.alpha)
         times = passes(tokens, weights, budget)
@@ -124,12 +134,12 @@ def _place(draw: str, block):
     return F.pmod(turn, F.col("_buckets")), turn
 
 
-def block_permutations(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, budget_share: float | None = None, seed: int = 11, bucket_rows: int = 2_000) -> DataFrame:
+def block_permutations(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, budget_share: float | None = None, seed: int = 11, bucket_rows: int = 2_000, entropy_share: float | None = None) -> DataFrame:
     """doc_id, source, n_tokens, weight, block and position: one row for each time that a document is taken.
 
     The budget is in tokens, or as a share of all tokens; without one it is the smallest at which each source is passed
     once. A block's positions are 0, 1, 2, ...; a source's last block ends before the document that would exceed its budget."""
-    plan = Plan(docs, target_entropy, repetition_limit, budget, budget_share, seed, bucket_rows)
+    plan = Plan(docs, target_entropy, repetition_limit, budget, budget_share, seed, bucket_rows, entropy_share)
     last = F.col("_whole") - F.when(F.col("_cut") > 0, 0).otherwise(1)
     copies = plan.with_sources(plan.held).where(last >= 0).withColumn("block", F.explode(F.sequence(F.lit(0), last)))
     bucket, turn = _place("draw", F.col("block"))
@@ -143,12 +153,12 @@ def block_permutations(docs: DataFrame, target_entropy: float | None = None, rep
     return taken.select("doc_id", "source", "n_tokens", "weight", "block", (F.col("_first") + F.col("_at") - 1).alias("position"))
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, budget_share: float | None = None, seed: int = 11, bucket_rows: int = 2_000) -> DataFrame:
+def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, budget_share: float | None = None, seed: int = 11, bucket_rows: int = 2_000, entropy_share: float | None = None) -> DataFrame:
     """``docs`` with ``n_tokens``, ``weight`` and ``copies``: in how many blocks of :func:`block_permutations` the document is taken.
 
     Documents taken in no block (only with a budget below the one of ``passes``)
     are left out. Expand with ``explode(sequence(1, copies))`` for one row a copy."""
-    plan = Plan(docs, target_entropy, repetition_limit, budget, budget_share, seed, bucket_rows)
+    plan = Plan(docs, target_entropy, repetition_limit, budget, budget_share, seed, bucket_rows, entropy_share)
     own = ("n_tokens", "weight", "copies", "_draw", "_number", "_source", "_whole", "_cut", "_buckets", "_bucket", "_turn", "_edge", "_before", "_of")
     base = docs.drop(*[c for c in docs.columns if c.lower() in own])
     bucket, turn = _place("draw", F.col("_whole"))
