@@ -31,7 +31,8 @@ words. Documents with the words of fewer windows, of each item, are clean.
 
 Documents are cut into stretches of ``STRETCH`` tokens that overlap by a window,
 so that no row grows with a text's windows. The benchmark's windows are broadcast
-up to ``BROADCAST_BYTES`` of them and joined by a shuffle beyond.
+up to ``BROADCAST_BYTES`` of them. Beyond, hashes and places alone are exchanged, and
+a stretch's tokens are fetched only for windows that some item has.
 
 Nulls and oddities: null and empty texts hold nothing and are clean; items with
 fewer tokens than a window are one window as a whole (if it takes part); an empty benchmark leaves all clean;
@@ -49,8 +50,12 @@ from pyspark.sql.window import Window
 
 from .common import materialise
 
-# Units as written after a number.
-UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|l|ml|s|ms|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|feet|foot|inches|inch|meters|meter|metres|metre|dollars|dollar|euros|euro|cents|cent|percent|degrees|kw|w|v|hz|gb|mb|kb"
+# Units as written after a number, short and long; long ones also with prefixes and in the plural.
+_SHORT = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|cl|s|ms|min|h|hr|hrs|kw|kwh|w|v|a|j|n|hz|khz|mhz|ghz|gb|mb|kb|tb|mph|kph|kmh|rpm|ft|yd|pt|gal|kcal"
+_PREFIXES = "kilo|centi|milli|mega|giga|micro|nano|deci"
+_PREFIXED = "met(?:er|re)|lit(?:er|re)|gram(?:me)?|watt|volt|hertz|byte|bit|joule|newton|pascal|amp(?:ere)?|second|calorie|ton(?:ne)?"
+_LONG = "hour|minute|day|week|month|year|decade|mile|yard|inch(?:e)?|acre|hectare|gallon|pint|quart|cup|barrel|pound|ounce|stone|dollar|euro|cent|penn(?:y|ie)|degree|percent|knot|radian"
+UNITS = f"(?:(?:{_PREFIXES})?(?:{_PREFIXED})|{_LONG})s?|feet|foot|pence|{_SHORT}"
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
 #: Marks of capitalised words that start a sentence: ordinary ones, and those of an item that are names.
@@ -203,23 +208,37 @@ def possible(docs: DataFrame, words: DataFrame) -> DataFrame:
     return docs.join(_broadcast_if_small(found, F.lit(50)), F.col("doc_id").eqNullSafe(F.col("_found")) & (F.col("row_mark") == F.col("_mark")), "left_semi")
 
 
+def _hits(cut: DataFrame, items: DataFrame, lengths: list[int], small: bool) -> DataFrame:
+    """Windows of the stretches ``cut`` that have the hash of an item's, with both sides' values."""
+    ids, size = ["doc_id", "row_mark", "doc_form", "from"], F.size("tokens")
+    theirs = ["item_id", "item_form", "n_windows", "at", "units", "key", "shape", "filled"]
+    windows = F.posexplode(window_hashes(F.col("tokens"), lengths)).alias("nth", "window")
+    if small:
+        found = cut.select(*ids, "tokens", windows).join(F.broadcast(items), F.col("window") == F.col("hash"))
+    else:
+        cut = materialise(cut.withColumn("stretch", F.monotonically_increasing_id()))
+        hashes = items.select("hash").distinct()
+        few = materialise(cut.select("stretch", windows).join(hashes, F.col("window") == F.col("hash"), "left_semi"))
+        found = few.join(items, F.col("window") == F.col("hash")).join(cut, "stretch")
+    place = F.col("nth") % size
+    return found.select("doc_id", "row_mark", "doc_form", *theirs, (F.col("from") + place).alias("place"), F.floor(F.col("nth") / (size * len(lengths))).cast("int").alias("reading"), F.slice("tokens", place + 1, F.size("shape")).alias("ours"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.5) -> DataFrame:
     """(doc_id, mark, item_id, found, n_windows) of each document and the items that contaminate it."""
     items = materialise(item_windows(benchmark, window))
     lengths = sorted(r["n"] for r in items.select(F.size("shape").alias("n")).distinct().collect()) or [window]
     words = materialise(keywords(items, coverage))
-    items = _broadcast_if_small(items, F.octet_length("key") + F.octet_length(F.array_join("filled", " ")) + 8 * F.size("units") + 24 * F.size("shape") + 100)
+    weight = F.octet_length("key") + F.octet_length(F.array_join("filled", " ")) + 8 * F.size("units") + 24 * F.size("shape") + 100
+    small = (items.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_BYTES
     texts = possible(docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("row_mark"), "text"), words)
     texts = texts.select("doc_id", "row_mark", marked(F.col("text")).alias("mark"))
     cut = texts.select("doc_id", "row_mark", F.explode_outer(forms(F.col("mark"))).alias("x")).select("doc_id", "row_mark", F.col("x.form").alias("doc_form"), F.col("x.tokens").alias("all"))
     cut = cut.select("doc_id", "row_mark", "doc_form", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(STRETCH))).alias("from"))
     cut = cut.select("doc_id", "row_mark", "doc_form", "from", F.slice("all", F.col("from") + 1, STRETCH + max(lengths) - 1).alias("tokens"))
-    size = F.size("tokens")
-    each = cut.select("doc_id", "row_mark", "doc_form", "from", "tokens", F.posexplode(window_hashes(F.col("tokens"), lengths)).alias("nth", "window"))
-    place = F.col("nth") % size
     # hits are written: else the tests below would become part of the join's condition, for which every window's row,
     # with the tokens of its stretch, would be copied
-    hits = materialise(each.join(items, F.col("window") == F.col("hash")).select("doc_id", "row_mark", "doc_form", "item_id", "item_form", "n_windows", "at", "units", "key", "shape", "filled", (F.col("from") + place).alias("place"), F.floor(F.col("nth") / (size * len(lengths))).cast("int").alias("reading"), F.slice("tokens", place + 1, F.size("shape")).alias("ours")))
+    hits = materialise(_hits(cut, items, lengths, small))
     hits = hits.where(F.get(F.array(*templates(F.col("ours"))), "reading") == F.col("key"))
     pairs = F.zip_with(F.arrays_zip("shape", "filled"), F.col("ours"), lambda a, b: F.struct(a["shape"].alias("kind"), F.substring(a["filled"], 1, 1).alias("head"), _bare(a["filled"]).alias("theirs"), _bare(b).alias("ours")))
     hits = hits.withColumn("pairs", F.filter(pairs, lambda p: _is_slot(p["kind"])))
