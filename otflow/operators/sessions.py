@@ -97,11 +97,14 @@ def rate_excess(df: DataFrame, key: str, time: str, limit: int = 100, seconds: f
     return both.where(F.col("in_window") > limit).select("_row.*", "in_window")
 
 
+def _drawn(seed: int) -> Column:
+    """A row's draw: the md5 of the seed and ``row_id``, which other engines have as well."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")))
+
+
 def stratified_split(df: DataFrame, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """``is_test`` for the ``share`` of each class with the smallest hashes; found by rank within hash buckets, so no class lies in one task."""
-    h = F.xxhash64(F.lit(seed), "row_id")
-    bucket = F.pmod(F.shiftright(h, 20), F.lit(256))
-    held = df.withColumns({"_h": h, "_b": bucket})
+    """``is_test`` for the ``share`` of each class with the smallest draws; found by rank within 256 parts by the draw's first digits, so no class lies in one task."""
+    held = df.withColumn("_h", _drawn(seed)).withColumn("_b", F.substring("_h", 1, 2))
     sizes = held.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(label, "_b", (F.sum("_n").over(Window.partitionBy(label).orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
     rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", "row_id"))
@@ -109,4 +112,5 @@ def stratified_split(df: DataFrame, label: str, share: float = 0.2, seed: int =
 
 
 def sample_rows(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id").limit(k)
+    """The ``k`` rows with the smallest draws; rows that share ``row_id`` go by their other columns."""
+    return df.orderBy(_drawn(seed), *df.columns).limit(k)

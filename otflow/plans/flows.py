@@ -212,9 +212,9 @@ add("agg_model_comparison", lambda s, d: R(P.model_comparison(R(P.metrics(votes(
 add("agg_metric_delta", lambda s, d: R(P.metric_delta(P.metrics(votes(s, d), "y", ["iso"]).drop("model", "accuracy"), P.metrics(votes(s, d), "y", ["prediction"]).drop("model", "accuracy"))), "SELECT metric, round(max(v) FILTER (model='iso'),6) AS baseline, round(max(v) FILTER (model='prediction'),6) AS variant, round(max(v) FILTER (model='prediction')-max(v) FILTER (model='iso'),6) AS delta FROM (SELECT model, unnest(['precision','recall','f1']) AS metric, unnest([precision,recall,f1]) AS v FROM m) GROUP BY 1", *SV, METRICS)
 add("agg_ensemble_gain", lambda s, d: R(P.metrics(votes(s, d), "y", ["iso", "xgb", "rf", "prediction"]).agg((100 * (F.max(F.when(F.col("model") == "prediction", F.col("accuracy"))) - F.max(F.when(F.col("model") != "prediction", F.col("accuracy"))))).alias("gain"))), "SELECT round(100*(max(accuracy) FILTER (model='prediction')-max(accuracy) FILTER (model<>'prediction')),6) AS gain FROM m", *SV, METRICS)
 add("filter_anomalous", lambda s, d: votes(s, d).where("prediction = 1").select("doc_id"), "SELECT doc_id FROM votes WHERE p=1", *SV)
-add("win_split_rank", lambda s, d: W.stratified_split(A.flows(s, d).select("row_id", "IT_B_Label"), "IT_B_Label"))
+add("win_split_rank", lambda s, d: W.stratified_split(A.flows(s, d).select("row_id", "IT_B_Label"), "IT_B_Label"), "SELECT row_id, IT_B_Label AS \"IT_B_Label\", r<=round(n*0.2) AS is_test FROM (SELECT row_id, IT_B_Label, row_number() OVER (PARTITION BY IT_B_Label ORDER BY md5('42:'||row_id), row_id) AS r, count(*) OVER (PARTITION BY IT_B_Label) AS n FROM flows)", "flows")
 add("ml_split", lambda s, d: W.stratified_split(A.flows(s, d).select("row_id", "IT_B_Label"), "IT_B_Label").groupBy("IT_B_Label", "is_test").agg(F.count(F.lit(1)).alias("n")), "SELECT IT_B_Label AS \"IT_B_Label\", t AS is_test, CASE WHEN t THEN round(c*0.2)::BIGINT ELSE c-round(c*0.2)::BIGINT END AS n FROM (SELECT IT_B_Label, count(*) AS c FROM flows GROUP BY 1), (VALUES (true),(false)) v(t)", "flows")
-add("sample_rows", lambda s, d: W.sample_rows(A.flows(s, d).select("row_id", "sPackets"), 100))
+add("sample_rows", lambda s, d: W.sample_rows(A.flows(s, d).select("row_id", "sPackets"), 100), "SELECT row_id, sPackets AS \"sPackets\" FROM flows ORDER BY md5('42:'||row_id), row_id, sPackets LIMIT 100", "flows")
 
 # --- vulnerabilities ---
 _KEYS = values_sql(CVE_KEYWORDS, "pattern, keyword", "keys")
