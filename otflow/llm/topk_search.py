@@ -38,6 +38,8 @@ from .common import materialise
 #: Points of a leaf, and components of a shard.
 LEAF, SHARD = 64, 1 << 21
 TOP = (1 << 63) - 1
+#: Bytes of the trees' boxes up to which they are broadcast.
+BOXES = 64 << 20
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -181,11 +183,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int | N
         found = first
     else:
         floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
-        others = asked.join(floors, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
         boxes = trees.select("dim", "shard", "low", "high")
         bound = F.aggregate(F.zip_with("v", F.arrays_zip("low", "high"), lambda x, b: F.greatest(x * b["low"], x * b["high"])), F.lit(0.0), lambda a, x: a + x)
         # doubles may round a sum of large products: a box is passed over only well below the floor
-        others = others.join(boxes, ["dim", "shard"]).where(F.col("floor").isNull() | (bound >= F.col("floor") - F.abs("floor") * 1e-6 - 1)).drop("low", "high")
+        worth = (F.col("shard") != home) & (F.col("floor").isNull() | (bound >= F.col("floor") - F.abs("floor") * 1e-6 - 1))
+        floored = asked.join(floors, "vec_id", "left")
+        if trees.agg(F.sum(F.size("low") * 16)).first()[0] <= BOXES:
+            # boxes are looked at where the query is: only pairs that are worth a visit leave the task
+            others = floored.join(F.broadcast(boxes), "dim").where(worth)
+        else:
+            others = floored.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(boxes, ["dim", "shard"]).where(worth)
+        others = others.drop("low", "high")
         found = first.unionByName(visit(others))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
