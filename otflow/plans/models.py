@@ -32,7 +32,8 @@ def keyed(df):
 
 def _forest(s, d, df=None, **how):
     df = training(s, d) if df is None else df
-    return ML.scale(df, ML.scale_parameters(df, NAMES)), ML.fit_isolation_forest(ML.scale(df, ML.scale_parameters(df, NAMES)), NAMES, **(FOREST | how))
+    scaled = ML.scale(df, ML.scale_parameters(df, NAMES), tuple(c for c in df.columns if c not in NAMES))
+    return scaled, ML.fit_isolation_forest(scaled, NAMES, **(FOREST | how))
 
 
 def isolation_forest(s, d):
@@ -70,8 +71,7 @@ def contributions(s, d):
 def attribution(s, d):
     """By feature and label, over all features of all rows."""
     scaled, model = _forest(s, d, keyed(training(s, d)))
-    why = ML.explain(model, scaled, len(NAMES))
-    return ML.global_attribution(why.withColumn("label", F.col("row_id.label")), ("label",))
+    return ML.attribution(model, scaled, ("label",))
 
 
 def audit(s, d):

@@ -54,3 +54,28 @@ def test_every_row_is_ranked(spark):
     scores = {r.row_id: -math.log2(-r.iso_score) for r in model.score(df).collect()}  # path in units of the expected one
     offsets = [scores[i] - parts[i] for i in parts]
     assert max(offsets) - min(offsets) < 1e-9
+
+
+def test_cells_turn_as_their_rows_do():
+    draw = np.random.default_rng(1)
+    trees = [ML._grow(draw.normal(size=(64, 7)), draw) for _ in range(30)]
+    cells = ML.Cells(trees, 7)
+    cuts = np.array([n[1] for t in trees for n in t if n[0] >= 0])
+    x = np.concatenate([draw.normal(size=(200, 7)) * 2, np.full((1, 7), np.inf), np.full((1, 7), -np.inf), np.full((1, 7), np.nan), draw.choice(cuts, (50, 7))])
+    y = cells.values(list(cells.pack(x)))
+    for tree in trees:
+        for feature, cut, *_ in tree:
+            assert feature < 0 or ((x[:, feature] < cut) == (y[:, feature] < cut)).all()
+
+
+def test_copies_are_explained_once_and_counted(spark):
+    rows = [(i, float(i % 10), float(i * 7 % 13), i % 3 % 2) for i in range(1300)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, label int")
+    model = ML.fit_isolation_forest(df, ["a", "b"], trees=20, psi=64)
+    held = ML.Cells(model.trees, 2)
+    assert model.placed(df, held).select(*held.names).distinct().count() <= 130
+    slow = {(r.feature, r.label): r.mean_abs for r in ML.global_attribution(ML.explain(model, df, 2, ("row_id", "label")), ("label",)).collect()}
+    fast = {(r.feature, r.label): r.mean_abs for r in ML.attribution(model, df, ("label",)).collect()}
+    assert slow.keys() == fast.keys() and all(abs(slow[k] - fast[k]) < 1e-9 for k in slow)
+    scores = sorted(r.iso_score for r in model.score(df).collect())
+    assert len(scores) == 1300 and model.threshold == scores[129] == model.quantile(df, 0.1)
