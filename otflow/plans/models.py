@@ -10,6 +10,7 @@ from ..operators import features as X
 from ..operators import ml as ML
 from ..operators import packets as K
 from ..operators import sessions as W
+from ..operators.ordered import written
 from ..sources import adapters as A
 from .registry import add
 
@@ -19,11 +20,16 @@ REQUEST = ["src_packets", "dst_packets", "src_bytes", "byte_ratio", "src_packet_
 FOREST, BOOSTED, TREES = {}, {"rounds": 10, "depth": 4}, {"trees": 20, "depth": 8}
 
 
-def training(s, d):
+def _training(s, d):
     flows = A.flows(s, d)
     return X.feature_table(flows, 2, keep=("row_id", F.col("IT_B_Label").alias("label")), sessions=False).select("row_id", "label", *NAMES)
 
 
+def training(s, d):
+    """Written: models read it many times."""
+    return written(_training(s, d))
+
+
 def keyed(df):
     """``row_id`` as (row_id, nth, label), which tells apart rows that share order and line."""
     nth = F.row_number().over(Window.partitionBy("row_id").orderBy("label", *NAMES))
@@ -64,18 +70,18 @@ def importance(s, d):
 
 def contributions(s, d):
     """The top 5 features of every row."""
-    scaled, model = _forest(s, d, keyed(training(s, d)))
+    scaled, model = _forest(s, d, written(keyed(_training(s, d))))
     return ML.explain(model, scaled).select("row_id.row_id", "row_id.nth", "feature", "contribution", "percent", "rank", "direction")
 
 
 def attribution(s, d):
     """By feature and label, over all features of all rows."""
-    scaled, model = _forest(s, d, keyed(training(s, d)))
+    scaled, model = _forest(s, d, written(keyed(_training(s, d))))
     return ML.attribution(model, scaled, ("label",))
 
 
 def audit(s, d):
-    df = keyed(training(s, d))
+    df = written(keyed(_training(s, d)))
     model = ML.fit_ensemble(df, NAMES, forest=FOREST, boosted=BOOSTED, trees=TREES)
     scaled = ML.scale(df, model.parameters)
     out = ML.audit_report(model.predict(df, ("row_id", "label")), model, scaled)
@@ -91,7 +97,7 @@ def guard(s, d):
 def packet_scores(s, d):
     flows = X.from_packet_flow(K.assemble(A.packets(s, d))).withColumn("row_id", F.xxhash64("src_ip", "dst_ip", "src_port", "dst_port"))
     names = ["src_packets", "dst_packets", "src_bytes", "byte_ratio", "bytes_per_packet", "flow_burstiness"]
-    table = X.align(flows, names)
+    table = written(X.align(flows, names))
     scaled = ML.scale(table, ML.scale_parameters(table, names))
     out = ML.fit_isolation_forest(scaled, names, **FOREST).score(scaled)
     return out.select("row_id", "iso_score", "iso", severity_from_score(F.col("iso_score"), F.col("iso") == 1).alias("severity"))
@@ -101,14 +107,14 @@ def request_scores(s, d):
     req = A.requests(s, d)
     # (order, line) isn't unique: the forest draws rows by a hash of the whole request
     req = req.withColumns({"request": F.struct(*req.columns), "row_id": F.xxhash64(*req.columns)})
-    feats = X.from_request(req, REQUEST, ("row_id", "request"))
+    feats = written(X.from_request(req, REQUEST, ("row_id", "request")))
     labelled = feats.withColumn("label", F.when(F.col("src_packets") > 45, 1).otherwise(0))
     model = ML.fit_ensemble(labelled, REQUEST, forest=FOREST, boosted=BOOSTED, trees=TREES)
     return ML.score_requests(model, feats).select("row_id", "signed_score", "zone", "zone_severity", "action")
 
 
 def ablation(s, d):
-    df = W.stratified_split(training(s, d), "label")
+    df = written(W.stratified_split(training(s, d), "label"))
     return ML.ablation(df, NAMES[:4], NAMES[4:])
 
 
