@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sketch
-from .common import BASES, Fingerprint, ascii_lower, fresh_bases, materialise, mix, slices, word_bounds
+from .common import BASES, Fingerprint, ascii_lower, fresh_bases, materialise, mix, slices, tidy, word_bounds
 from .graph import components
 
 PLACES, CHUNKS = 64, 16
@@ -117,7 +117,7 @@ def _signer(size: int, bases: list[int], nameless_from: int):
                     names=["doc_id", "node", "n_shingles", "f1", "f2", "sig"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _sigs(column) -> np.ndarray:
@@ -147,7 +147,7 @@ def _key_sketcher(bits: int):
                 yield from local.rows()
         yield from local.rows()
 
-    return run
+    return tidy(run)
 
 
 def _key_rows(whole, bits: int, which: slice):
@@ -160,7 +160,7 @@ def _key_rows(whole, bits: int, which: slice):
                 part = row[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part, col[a : a + 100_000]].view(np.int64)), pa.array(node[part]), pa.array(label[part]), sig.take(pa.array(part))], names=["key", "node", "label", "sig"])
 
-    return run
+    return tidy(run)
 
 
 #: Groups above a block's size are broadcast up to this many (16 bytes each), and joined by a shuffle beyond.
@@ -283,7 +283,7 @@ def _confirm(size: int, percent: int, bases: list[int]):
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def _unit_links(kernel: Shingles, unit: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -346,7 +346,7 @@ def link_documents(docs: DataFrame, shingle: int = 4, percent: int = 80, block:
     def near(labelled: DataFrame, which: slice) -> DataFrame:
         keys = labelled.select("node", "label", "sig").mapInArrow(_key_rows(whole, bits, which), "key long, node long, label long, sig binary")
         units = in_blocks(keys, "key", block).select("key", "lo", "hi", "block", "label", "sig")
-        return units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_near_groups, "a long, b long")
+        return units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(tidy(_near_groups), "a long, b long")
 
     # large groups are joined by their first keys; the other keys then give only what joins two labels
     first = materialise(components(near(classes.withColumn("label", F.col("node")), slice(0, FIRST_KEYS))))
@@ -373,7 +373,7 @@ def _wanted(bits: int):
                 yield from local.rows(twice=True)
         yield from local.rows(twice=True)
 
-    return run
+    return tidy(run)
 
 
 def _texts_of(docs: DataFrame, members: DataFrame, shingle: int, bases: list[int], nameless_from: int) -> DataFrame:
@@ -403,7 +403,7 @@ def _texts_of(docs: DataFrame, members: DataFrame, shingle: int, bases: list[int
             node = np.where(np.array(ids.is_null()), nameless_node(f1, nameless_from), ids.fill_null(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(f1), batch.column(1)], names=["node", "f1", "text"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(wanted, "node long, f1 long, text string")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(wanted), "node long, f1 long, text string")
     return found.join(members, ["node", "f1"]).dropDuplicates(["node", "f1", "f2"]).select("cluster", "node", "sig", "text")
 
 
