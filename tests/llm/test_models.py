@@ -179,6 +179,20 @@ def test_windows_score_each_token_once_and_causally():
             assert moved[changed // hold]
 
 
+def test_every_token_asks_attention_itself():
+    rng, w = layer(3)
+    flat, first = np.arange(50), np.arange(50)
+    stream, start, real = stream_of(rng, [33, 37, 8])
+    run = lambda s: lm_scoring.attend(w, lm_scoring.embedded(w, flat, first), *lm_scoring.windows(s, start))[0]
+    a = run(stream)
+    assert len(a) == len(stream)
+    for changed in np.flatnonzero(real):
+        other = stream.copy()
+        other[changed] = 49 - other[changed]
+        # the word right before a token moves that token's gates
+        assert not np.isclose(a[changed], run(other)[changed]).all()
+
+
 def test_pipeline(spark, tmp_path):
     base = texts(9, 60)
     item = "the quick question about seven rivers and their long bridges near old towns and harbours in spring"
