@@ -52,6 +52,21 @@ def test_missing_values_few_values_and_one_class(spark):
     assert alone.transform(df).where("rf != 0 or rf_p != 0").count() == 0
 
 
+def test_isolation_scores_are_those_of_walking_each_row(spark):
+    model = ML.IsolationForest(["a", "b"], [ML._grow(np.random.default_rng(k).random((64, 2)), np.random.default_rng(k)) for k in range(7)], 64)
+    rows = [(i, float(a), float(b), 0) for i, (a, b) in enumerate(np.random.default_rng(9).random((300, 2)) * 1.4 - 0.2)]
+    for r in model.score(spark.createDataFrame(rows, SCHEMA)).collect():
+        total = 0.0
+        for tree in model.trees:
+            at, steps = 0, 0
+            while tree[at][0] >= 0:
+                at, steps = tree[at][2] if (r.a, r.b)[tree[at][0]] < tree[at][1] else tree[at][3], steps + 1
+            total += steps + ML.expected_path(tree[at][4])
+        assert r.iso_score == -(2.0 ** (-(total / 7) / ML.expected_path(64)))
+    nodes = ML._walk(tuple(np.array(c) for c in zip(*model.trees[0], strict=True)))
+    assert nodes[4] <= 6 and len(nodes[2]) == 2 * len(model.trees[0])
+
+
 def test_draws_are_those_of_their_distributions():
     z = np.concatenate([T.draws(number, 50_000, 3) for number in (5, 6)])
     counts = np.bincount(T.POISSON[z], minlength=4) / len(z)
