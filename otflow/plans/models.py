@@ -16,8 +16,8 @@ from .registry import add
 
 NAMES = ["src_packets", "dst_packets", "src_bytes", "byte_ratio", "src_packet_rate", "src_syn_rate", "traffic_symmetry", "bytes_per_packet"]
 REQUEST = ["src_packets", "dst_packets", "src_bytes", "byte_ratio", "src_packet_rate", "bytes_per_packet"]
-#: The forest is of the default size (200 trees of 256 rows).
-FOREST, BOOSTED, TREES = {}, {"rounds": 10, "depth": 4}, {"trees": 20, "depth": 8}
+#: Isolation forest (200 trees of 256 rows) and boosting (200 rounds of depth 6) are of the operators' default sizes.
+FOREST, BOOSTED, TREES = {}, {}, {"trees": 20, "depth": 8}
 
 
 def _training(s, d):
