@@ -16,8 +16,8 @@ from .registry import add
 
 NAMES = ["src_packets", "dst_packets", "src_bytes", "byte_ratio", "src_packet_rate", "src_syn_rate", "traffic_symmetry", "bytes_per_packet"]
 REQUEST = ["src_packets", "dst_packets", "src_bytes", "byte_ratio", "src_packet_rate", "bytes_per_packet"]
-#: Isolation forest (200 trees of 256 rows) and boosting (200 rounds of depth 6) are of the operators' default sizes.
-FOREST, BOOSTED, TREES = {}, {}, {"trees": 20, "depth": 8}
+#: Models are of the operators' default sizes: 200 trees of 256 rows, 200 rounds of depth 6, 200 trees of depth 15.
+FOREST, BOOSTED, TREES = {}, {}, {}
 
 
 def _training(s, d):

@@ -37,6 +37,15 @@ def test_boosted_trees_have_all_rounds(spark, monkeypatch):
     assert (asked[0].arguments["rounds"], asked[0].arguments["depth"], asked[0].arguments["share"]) == (200, 6, 0.8)
 
 
+def test_random_forest_has_all_trees(spark, monkeypatch):
+    found, fit = [], ML.fit_forest
+    monkeypatch.setattr(ML, "fit_forest", lambda *a, **how: found.append(fit(*a, **how)) or found[-1])
+    out = models.forest(spark, "/root/testdata/sf0.001")
+    assert out.count() == 6000
+    assert len(found[0].feature) == 200 and found[0].depth == 15 and deepest(found[0]) > 8
+    assert all((f >= 0).any() for f in found[0].feature)
+
+
 def same(one, other):
     assert all((a == b).all() for k in ("feature", "cut") for a, b in zip(getattr(one, k), getattr(other, k), strict=True))
     assert all(np.allclose(a, b) for k in ("value", "gains") for a, b in zip(getattr(one, k), getattr(other, k), strict=True))
