@@ -76,12 +76,12 @@ def contributions(s, d):
 
 def attribution(s, d):
     """By feature and label, over all features of all rows."""
-    scaled, model = _forest(s, d, written(keyed(_training(s, d))))
+    scaled, model = _forest(s, d, written(keyed(training(s, d))))
     return ML.attribution(model, scaled, ("label",))
 
 
 def audit(s, d):
-    df = written(keyed(_training(s, d)))
+    df = written(keyed(training(s, d)))
     model = ML.fit_ensemble(df, NAMES, forest=FOREST, boosted=BOOSTED, trees=TREES)
     scaled = ML.scale(df, model.parameters)
     out = ML.audit_report(model.predict(df, ("row_id", "label")), model, scaled)
